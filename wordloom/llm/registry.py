@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 
 from wordloom.llm import sql
 from wordloom.llm.common import table
+from wordloom.llm.language_id import identify
 from wordloom.llm.packing import pack
 from wordloom.llm.quality import quality_rules
 from wordloom.llm.token_counts import count_tokens
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -29,6 +34,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op3_quality_rules": op3_quality_rules,
         "op6_packing": op6_packing,
         "op7_token_counts": op7_token_counts,
