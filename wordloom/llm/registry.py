@@ -12,6 +12,7 @@ from wordloom.llm.common import table
 from wordloom.llm.language_id import identify
 from wordloom.llm.packing import pack
 from wordloom.llm.quality import quality_rules
+from wordloom.llm.secrets import BASE, listed, scan
 from wordloom.llm.token_counts import count_tokens
 
 
@@ -32,12 +33,20 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.expr(f"filter(spans, x -> x.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in BASE]
+    base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op3_quality_rules": op3_quality_rules,
         "op6_packing": op6_packing,
         "op7_token_counts": op7_token_counts,
+        "op8_secret_scan": op8_secret_scan,
     }
 
 
