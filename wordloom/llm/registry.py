@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from wordloom.llm import sql
 from wordloom.llm.common import table
+from wordloom.llm.chat import digest, format_turns
 from wordloom.llm.language_id import identify
 from wordloom.llm.packing import pack
 from wordloom.llm.quality import quality_rules
 from wordloom.llm.secrets import BASE, listed, scan
 from wordloom.llm.token_counts import count_tokens
+from wordloom.llm.url_graph import filter_urls
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +42,16 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(sql.CONTROL_TEXT))
+    return digest(format_turns(turns.union(more)))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -47,8 +59,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op7_token_counts": op7_token_counts,
         "op8_secret_scan": op8_secret_scan,
+        "op9_chat_format": op9_chat_format,
+        "op10_url_filter": op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": sql.op3()}
+    return {
+        "op3_quality_rules": sql.op3(),
+        "op9_chat_format": sql.op9(),
+        "op10_url_filter": sql.op10(),
+    }

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from wordloom.llm import quality
+from wordloom.llm import chat, quality, url_graph
+
+#: What both turns of the conversation that the query adds say.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
 def op3() -> str:
@@ -59,3 +62,64 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT (base_failed OR EXISTS (SELECT 1 FROM cut WHERE cut.stratum IS NOT DISTINCT FROM scored.stratum AND ({score}) > cutoff)) AS kept
 FROM scored
 """
+
+
+def op9() -> str:
+    quoted = ["".join(f"\\{c}" if c in "[]|" else c for c in x) for x in chat.CONTROL]
+    pattern = "|".join(f"{x}" for x in quoted)
+    escaped = lambda c: f"length({c}) + (length({c}) - length(replace({c}, '{chat.ESCAPE}', ''))) + len(regexp_extract_all({c}, '{pattern}'))"
+    marks = sum(map(len, chat.MARKERS))
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{CONTROL_TEXT}'), (-7, 1, '{chat.TRAINED_ROLE}', '{CONTROL_TEXT}')
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = '{chat.TRAINED_ROLE}'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = '{chat.TRAINED_ROLE}'), '')) AS loss_sha256,
+       sum({marks} + {escaped("role")} + {escaped("text")})::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
+def op10(rules: tuple[url_graph.Rule, ...] = url_graph.RULES, damping: float = 0.85, rounds: int = 15) -> str:
+    host = lambda u: f"CASE WHEN contains({u}, '://') THEN translate(regexp_extract(substr({u}, strpos({u}, '://') + 3), '^[^/?#]*'), '{url_graph.UPPER}', '{url_graph.LOWER}') ELSE '' END"
+    values = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in rules)
+    step = lambda k: f"""
+, s{k} AS MATERIALIZED (
+  SELECT kind, host, sum(score) AS score FROM (
+    SELECT kind, host, {1 - damping} * score AS score FROM s0
+    UNION ALL SELECT m.kind, taker, score * share * {damping} FROM moves m JOIN s{k - 1} s ON s.kind = m.kind AND s.host = giver
+  ) GROUP BY ALL
+)"""
+    return f"""
+WITH urls AS (
+  SELECT page_id, html, {host("url")} AS host,
+         CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM pages
+), rules(rhost, rpath, verdict) AS (VALUES {values}
+), ruled AS (
+  SELECT u.page_id, u.host, u.path, rhost || rpath AS rule, verdict,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC NULLS LAST) AS k
+  FROM urls u LEFT JOIN rules ON (u.host = rhost OR ends_with(u.host, '.' || rhost)) AND starts_with(u.path, rpath)
+), edges AS MATERIALIZED (
+  SELECT src, dst, count(*) AS n
+  FROM (SELECT host AS src, {host("CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END")} AS dst
+        FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']?([^"''\\s>]+)', 1)) AS link FROM urls))
+  WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL
+), moves AS MATERIALIZED (
+  SELECT 'trust' AS kind, src AS giver, dst AS taker, n / sum(n) OVER (PARTITION BY src) AS share FROM edges
+  UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM edges
+), s0 AS MATERIALIZED (
+  SELECT kind, host, 1.0::DOUBLE / count(*) OVER (PARTITION BY kind) AS score
+  FROM (SELECT host, CASE WHEN min(verdict) = 'allow' THEN 'trust' ELSE 'distrust' END AS kind
+        FROM ruled WHERE k = 1 AND verdict IS NOT NULL AND host <> '' GROUP BY host HAVING min(verdict) = max(verdict))
+){"".join(step(k) for k in range(1, rounds + 1))}
+, blocked AS (
+  SELECT host FROM (SELECT * FROM s{rounds} WHERE (SELECT count(*) FROM moves) > 0 UNION ALL SELECT * FROM s0 WHERE (SELECT count(*) FROM moves) = 0) GROUP BY host
+  HAVING round(coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0), 12) > round(coalesce(sum(score) FILTER (WHERE kind = 'trust'), 0), 12)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled WHERE k = 1
+"""
