@@ -11,6 +11,7 @@ from wordloom.llm import sql
 from wordloom.llm.common import table
 from wordloom.llm.chat import digest, format_turns
 from wordloom.llm.language_id import identify
+from wordloom.llm.mixing import mix_sizes
 from wordloom.llm.packing import pack
 from wordloom.llm.quality import quality_rules
 from wordloom.llm.secrets import BASE, listed, scan
@@ -22,6 +23,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +60,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_source_mix": op2_source_mix,
         "op3_quality_rules": op3_quality_rules,
         "op6_packing": op6_packing,
         "op7_token_counts": op7_token_counts,
