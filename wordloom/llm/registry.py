@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import sql
+from wordloom.llm import jaccard, sql
 from wordloom.llm.common import table
 from wordloom.llm.chat import digest, format_turns
 from wordloom.llm.language_id import identify
@@ -31,6 +31,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op2_source_mix": op2_source_mix,
         "op3_quality_rules": op3_quality_rules,
+        "op5_ngram_join": op5_ngram_join,
         "op6_packing": op6_packing,
         "op7_token_counts": op7_token_counts,
         "op8_secret_scan": op8_secret_scan,
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": sql.op3(),
+        "op5_ngram_join": sql.op5(),
         "op9_chat_format": sql.op9(),
         "op10_url_filter": sql.op10(),
     }

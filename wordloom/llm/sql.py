@@ -64,6 +64,27 @@ FROM scored
 """
 
 
+def op5() -> str:
+    return r"""
+WITH RECURSIVE base AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END) AS s
+  FROM base
+), grams AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), links AS MATERIALIZED (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b USING (g) WHERE a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT doc_id, y FROM reach JOIN links ON x = r
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id
+FROM sets JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+
 def op9() -> str:
     quoted = ["".join(f"\\{c}" if c in "[]|" else c for c in x) for x in chat.CONTROL]
     pattern = "|".join(f"{x}" for x in quoted)
