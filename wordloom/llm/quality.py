@@ -156,3 +156,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     scored = settle(features(docs, text_col, stratum_col, rules, keep=[id_col]))
     cutoffs = calibrate(scored, labels, id_col, rules=rules)
     return judge(scored, cutoffs).select(id_col, *COUNTS, "base_failed", "kept")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
+    """The rows of docs that the rules keep, with docs' columns. Texts are read twice and never moved."""
+    scored = settle(features(docs, text_col, stratum_col, rules, keep=[id_col]))
+    cutoffs = calibrate(scored, labels, id_col, rules=rules)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"), F.col(stratum_col).alias("_stratum_of"))
+    judged = judge(features(whole, "_text", "_stratum_of", rules, keep=["_row"]), cutoffs)
+    # A filter on kept itself would be moved below the projections and its many uses of each written out; one on a generator's output stays.
+    judged = judged.select("_row", F.explode(F.array("kept")).alias("_stays")).filter("_stays")
+    return judged.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wordloom.llm import jaccard, sql
 from wordloom.llm.common import table
 from wordloom.llm.chat import digest, format_turns
+from wordloom.llm.hamming import top_k
 from wordloom.llm.language_id import identify
 from wordloom.llm.mixing import mix_sizes
 from wordloom.llm.packing import pack
@@ -31,6 +32,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 100."""
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
@@ -66,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op2_source_mix": op2_source_mix,
         "op3_quality_rules": op3_quality_rules,
+        "op4_hamming_topk": op4_hamming_topk,
         "op5_ngram_join": op5_ngram_join,
         "op6_packing": op6_packing,
         "op7_token_counts": op7_token_counts,
@@ -78,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": sql.op3(),
+        "op4_hamming_topk": sql.op4(),
         "op5_ngram_join": sql.op5(),
         "op9_chat_format": sql.op9(),
         "op10_url_filter": sql.op10(),

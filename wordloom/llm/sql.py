@@ -64,6 +64,19 @@ FROM scored
 """
 
 
+def op4() -> str:
+    return """
+WITH codes AS (
+  SELECT vec_id, list_transform(embedding, lambda x: coalesce(x > 0, false)) AS code FROM embeddings WHERE embedding IS NOT NULL
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, distance::INTEGER AS distance
+FROM (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.code, v.code), lambda z: (z[1] <> z[2])::INTEGER)) AS distance,
+             row_number() OVER (PARTITION BY q.vec_id ORDER BY distance, v.vec_id) AS rank
+      FROM codes q, codes v WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id)
+WHERE rank <= 10
+"""
+
+
 def op5() -> str:
     return r"""
 WITH RECURSIVE base AS (
