@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,3 +29,13 @@ def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and cut its lineage there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the cluster delete the shuffle files of plans that nothing refers to any more.
+
+    Spark deletes them when the driver's garbage collectors have noticed, which
+    on a quiet driver may be long after the last use.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

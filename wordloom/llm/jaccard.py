@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from wordloom.llm.common import settle
+from wordloom.llm.common import release, settle
 from wordloom.llm.components import connected_components
 
 #: Ids are broadcast up to this number, else joined by shuffle.
@@ -209,19 +209,38 @@ def _candidates(prefixes: DataFrame, classes: DataFrame, sets: DataFrame, join:
     return pairs.filter(room >= need).select("a", "b")
 
 
-def _links(docs: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
-    """Links (a, b) between documents of different sets that give their classes; sizes: (id, n) of docs."""
+def _with_a_chance(docs: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
+    """Settled ids of the documents that step 2 leaves."""
     prefixes = _prefixes(docs, join)
     shared = prefixes.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h")
     met = prefixes.join(shared.hint("shuffle_hash"), "h", "left_semi").groupBy("id").agg(F.count("*").alias("k"))
     least = f"(({join.numerator} * n + {join.denominator - 1}) DIV {join.denominator})"
-    chance = settle(met.join(sizes, "id").filter(F.expr(f"k >= 1 + {least} DIV 8")).select("id"))
+    return settle(met.join(sizes, "id").filter(F.expr(f"k >= 1 + {least} DIV 8")).select("id"))
+
+
+def _first_links(rare: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    """Settled links of documents to their pivots."""
+    pivots = rare.filter("pivot <> id").groupBy("id", "pivot").agg(F.count("*").alias("k")).groupBy("id").agg(F.max_by("pivot", F.struct("k", -F.col("pivot"))).alias("b"))
+    return settle(verify(pivots.select(F.col("id").alias("a"), "b"), sets, join))
+
+
+def _links(docs: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
+    """Links (a, b) between documents of different sets that give their classes; sizes: (id, n) of docs.
+
+    Each step is settled before the next begins, and its shuffle files go then:
+    the disk holds one step's at a time.
+    """
+    spark = docs.sparkSession
+    chance = _with_a_chance(docs, sizes, join)
+    release(spark)
     sets = settle(_sets(only(docs, chance, "left_semi"), join))
     rare = settle(rare_prefixes(sets, join))
-    pivots = rare.filter("pivot <> id").groupBy("id", "pivot").agg(F.count("*").alias("k")).groupBy("id").agg(F.max_by("pivot", F.struct("k", -F.col("pivot"))).alias("b"))
-    first = settle(verify(pivots.select(F.col("id").alias("a"), "b"), sets, join))
-    classes = settle(connected_components(first))
-    rest = verify(settle(_candidates(rare, classes, sets, join)), sets, join)
+    release(spark)
+    classes = settle(connected_components(_first_links(rare, sets, join)))
+    release(spark)
+    pairs = settle(_candidates(rare, classes, sets, join))
+    rest = settle(verify(pairs, sets, join))
+    release(spark)
     return classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)
 
 
