@@ -5,26 +5,54 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-FLAGSHIP = "source_profile"
+from wordloom.functions.text import APOSTROPHES
+from wordloom.plans.queries import QUERIES
+from wordloom.sources.reference_tables import scheme
 
+FLAGSHIP = "method_shares"
 
-def source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and characters by source."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_text_chars"))
+_WORD = f"\\p{{Cyrillic}}+(?:[{APOSTROPHES}-]\\p{{Cyrillic}}+)*".replace("'", "''")
+_LATIN = f"\\p{{L}}+(?:[{APOSTROPHES}-]\\p{{L}}+)*".replace("'", "''")
+_TOKENS = f"""tokens AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '(?s){_WORD}|{_LATIN}|\\d+(?:[.,]\\d+)*|\\s+|[^\\p{{L}}\\d\\s]+|.')) AS token FROM documents
+), kinds AS (
+  SELECT doc_id, token, CASE WHEN regexp_matches(token, '^\\p{{Cyrillic}}') THEN 'word' WHEN regexp_matches(token, '^\\p{{L}}') THEN 'latin'
+                             WHEN regexp_matches(token, '^\\d') THEN 'number' WHEN regexp_matches(token, '^\\s') THEN 'space' ELSE 'punct' END AS kind
+  FROM tokens
+)"""
 
 
-_SOURCE_PROFILE = """
-SELECT source, count(*) AS n_docs, sum(length(text))::BIGINT AS n_text_chars
-FROM documents GROUP BY source
-"""
+def _scheme_sql() -> tuple[str, str]:
+    """The reverse scheme as an alternation, longest first, and as a map."""
+    table = sorted(scheme("lacinka_reverse"), key=lambda m: -len(m.source))
+    return "|".join(m.source for m in table) + "|.", "MAP {" + ", ".join(f"'{m.source}': '{m.target}'" for m in table) + "}"
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"source_profile": source_profile}
+def oracle_sql() -> dict[str, str]:
+    alternation, mapping = _scheme_sql()
+    return {
+        "source_profile": "SELECT source, count(*) AS n_docs, sum(length(text))::BIGINT AS n_text_chars FROM documents GROUP BY source",
+        "token_kinds": f"WITH {_TOKENS} SELECT kind, count(*) AS n, sum(length(token))::BIGINT AS chars FROM kinds GROUP BY kind",
+        "word_frequencies": f"WITH {_TOKENS} SELECT lower(token) AS word, count(*) AS n FROM kinds WHERE kind IN ('word', 'latin') AND length(token) >= 2 GROUP BY lower(token)",
+        "tokens_joined": "SELECT doc_id, md5(text) AS digest FROM documents WHERE text <> ''",
+        "word_cases": f"""WITH {_TOKENS}, forms AS (
+  SELECT token, count(*) AS n, any_value(regexp_replace(token, '[^\\p{{L}}]', '', 'g')) AS s FROM kinds WHERE kind = 'latin' GROUP BY token
+) SELECT CASE WHEN s = lower(s) THEN 'lower' WHEN substr(s, 1, 1) <> lower(substr(s, 1, 1)) AND substr(s, 2) = lower(substr(s, 2)) THEN 'title'
+              WHEN s = upper(s) THEN 'upper' ELSE 'mixed' END AS form, sum(n)::BIGINT AS n, count(*) AS words FROM forms GROUP BY 1""",
+        "sanitized": f"SELECT doc_id, md5(translate(nfc_normalize(text), '{APOSTROPHES.replace(chr(39), chr(39) * 2)}', '’’’’’')) AS digest FROM documents",
+        "scripts": """SELECT lang, CASE WHEN letters = 0 THEN NULL WHEN 2 * cyr > letters THEN 'cyrillic' WHEN l AND o THEN NULL WHEN l THEN 'lacinka' WHEN o THEN 'official' ELSE 'lacinka' END AS script,
+  letters > 0 AND (2 * cyr > letters OR l <> o) AS certain, count(*) AS n
+FROM (SELECT lang, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) AS letters, length(regexp_replace(text, '[^\\x{0400}-\\x{04FF}]', '', 'g')) AS cyr,
+             regexp_matches(text, '[łŁ]') AS l, regexp_matches(text, '[ĺĹ]') AS o FROM documents) GROUP BY ALL""",
+        "quality_intervals": """SELECT source, n, good, round(greatest(0, c - m), 9) AS low, round(least(1, c + m), 9) AS high
+FROM (SELECT source, n, good, (p + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) AS c, 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n)) / (1 + 1.96 * 1.96 / n) AS m
+      FROM (SELECT source, count(*) AS n, sum(quality)::BIGINT AS good, sum(quality)::DOUBLE / count(*) AS p FROM documents JOIN labels USING (doc_id) GROUP BY source))""",
+        "length_percentiles": "SELECT source, quantile_disc(n_chars, 0.5)::BIGINT AS p50, quantile_disc(n_chars, 0.95)::BIGINT AS p95, max(n_chars)::BIGINT AS p100 FROM documents GROUP BY source",
+        "cyrillic_words": f"""WITH {_TOKENS} SELECT word, array_to_string(list_transform(regexp_extract_all(word, '{alternation}'), lambda x: coalesce({mapping}[x], x)), '') AS cyrillic, n
+FROM (SELECT lower(token) AS word, count(*) AS n FROM kinds WHERE kind = 'latin' GROUP BY 1)""",
+    }
 
 
-def oracle_sql() -> dict[str, str]:
-    return {"source_profile": _SOURCE_PROFILE}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)

@@ -6,6 +6,7 @@ import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The alphabets and the characters that are folded.
 LETTERS = "абвгґдеёжзійклмнопрстуўфхцчшыьэюя"
@@ -21,7 +22,7 @@ CYRILLIC_ALIKE = "аеорсухіАЕОРСУХІТНКМВ"
 KINDS = {"cyrillic": "\\p{IsCyrillic}", "latin": "\\p{IsLatin}"}
 
 
-@F.udf(returnType="string", useArrow=True)
+@F.udf(returnType=StringType(), useArrow=True)
 def _nfc(text: str | None) -> str | None:
     return None if text is None else unicodedata.normalize("NFC", text)
 

@@ -6,6 +6,7 @@ import difflib
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from wordloom.functions import text as tx
 from wordloom.functions.rules import apply_rules
@@ -64,7 +65,7 @@ def classify_scope(source: Column, expected: Column) -> Column:
     return tx.let(F.struct(tx.neutral_fold(source).alias("a"), tx.neutral_fold(expected).alias("b")), decide)
 
 
-@F.udf(returnType="double", useArrow=True)
+@F.udf(returnType=DoubleType(), useArrow=True)
 def form_similarity(a: str, b: str) -> float:
     """Ratio of matching blocks of the folded words; the JVM's distances are other measures."""
     return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
