@@ -193,16 +193,13 @@ def _candidates(prefixes: DataFrame, classes: DataFrame, sets: DataFrame, join:
     right = mixed.select("h", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("class").alias("cy"), "largest")
     once = (F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y"))
     similar = F.least("nx", "ny") * join.denominator >= F.greatest("nx", "ny") * join.numerator
-    # Of an n-gram that both have, no more are common than what precedes it in either, itself, and what follows in either.
+    # Before a pair's first common n-gram nothing is common, so it leaves room for the overlap in both orders; one such
+    # n-gram is in the lists of both, and the join asks it of every row.
     need = F.expr(f"({join.numerator} * (nx + ny) + {join.numerator + join.denominator - 1}) DIV {join.numerator + join.denominator}")
-    reach = F.least("px", "py") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
-    met = left.join(right, "h").filter((F.col("cx") != F.col("cy")) & once & similar & (reach >= need))
-    swap = F.col("x") > F.col("y")
-    pick = lambda p, q: F.when(swap, F.col(q)).otherwise(F.col(p))
-    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), pick("nx", "ny").alias("nx"), pick("ny", "nx").alias("ny"), pick("px", "py").alias("px"), pick("py", "px").alias("py"))
-    pairs = met.groupBy("a", "b").agg(F.min("px").alias("px"), F.min("py").alias("py"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
-    # The first common n-gram of a pair is a prefix n-gram of both: nothing before it is common.
-    pairs = pairs.filter(1 + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= need)
+    early = (F.col("nx") - F.col("px") + 1 >= need) & (F.col("ny") - F.col("py") + 1 >= need)
+    met = left.join(right, "h").filter((F.col("cx") != F.col("cy")) & once & similar & early)
+    pairs = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.first(F.col("nx") + F.col("ny")).alias("both"))
+    need = F.expr(f"({join.numerator} * both + {join.numerator + join.denominator - 1}) DIV {join.numerator + join.denominator}")
     bins = sets.select("id", "bins")
     pairs = pairs.join(bins.select(F.col("id").alias("a"), F.col("bins").alias("ba")), "a").join(bins.select(F.col("id").alias("b"), F.col("bins").alias("bb")), "b")
     room = F.expr("aggregate(zip_with(ba, bb, (p, q) -> least(p, q)), 0L, (s, x) -> s + x)")
