@@ -256,7 +256,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", joi
     if repeats:
         named = named.groupBy("id").agg(F.min("text").alias("text"))
     sizes = settle(_sizes(named, join))
-    stands = sizes.filter("n > 0").groupBy("f", "g").agg(F.min("id").alias("stand"))
+    # Only sets with copies need one to stand for them. The table is dealt anew, so that the join below deals both sides
+    # and Spark can split the key of a large group.
+    stands = sizes.filter("n > 0").groupBy("f", "g").agg(F.min("id").alias("stand"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    stands = settle(stands.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     members = settle(sizes.join(stands, ["f", "g"], "left").select("id", "n", F.coalesce("stand", "id").alias("stand")))
     others = settle(members.filter("id <> stand OR n = 0").select("id"))
     links = _links(only(named, others, "left_anti"), members.select("id", "n"), join)
