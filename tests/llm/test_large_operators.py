@@ -1,0 +1,301 @@
+"""Operators that compare documents, against brute force on small fixtures."""
+
+import itertools
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from wordloom.llm import hamming, jaccard, mixing, quality, url_graph
+from wordloom.llm.components import connected_components
+
+SCHEMA = "doc_id long, text string"
+
+
+def words_of(text):
+    return [] if not text else text.encode().lower().split()
+
+
+def shingles(text, n=5):
+    w = words_of(text)
+    return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def brute_classes(rows):
+    sets = {k: shingles(t) for k, t in rows}
+    parent = {k: k for k, _ in rows}
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for (a, s), (b, t) in itertools.combinations(sorted(sets.items()), 2):
+        if s and t and 100 * len(s & t) >= 75 * len(s | t):
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    return {k: (len(sets[k]), find(k)) for k, _ in rows}
+
+
+def near_copies(seed, n=160):
+    r = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(300)]
+    rows, base, passage = [], [], r.choices(vocabulary, k=60)
+    for k in range(n):
+        if base and r.random() < 0.6:
+            text = r.choice(base).split()
+            for _ in range(r.choice([0, 0, 1, 2, 4, 8])):
+                text[r.randrange(len(text))] = r.choice(vocabulary)
+            if r.random() < 0.2:
+                text = text[: max(1, len(text) - r.randint(1, 20))]
+        else:
+            text = r.choices(vocabulary, k=r.choice([1, 3, 4, 5, 6, 30, 80, 200]))
+            if r.random() < 0.3:
+                text = text + passage
+        base.append(" ".join(text))
+        rows.append((k * 7 + 3, base[-1].upper() if r.random() < 0.1 else base[-1]))
+    r.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ngram_join_is_exact(spark, seed):
+    rows = near_copies(seed) + [(5000, None), (5001, ""), (5002, " \n "), (5003, "one"), (5004, "ONE")]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("id", F.lit("clash")).withColumn("n", F.lit(0)).withColumn("component_id", F.lit(0))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(docs).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_ngram_join_of_odd_rows(spark):
+    text = "a b c d e f g h"
+    rows = [(2, text), (2, text), (9, text), (None, text), (1, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.classes(docs).collect()), key=str)
+    assert got == sorted([(False, 1, 0, 1), (False, 2, 4, 2), (False, 2, 4, 2), (False, 9, 4, 2), (True, 0, 4, None)], key=str)
+    kept = sorted(((r.doc_id or 0) for r in jaccard.one_of_each(docs).collect()))
+    assert kept == [0, 1, 2]
+    assert jaccard.classes(docs.limit(0)).count() == 0
+
+
+def test_a_large_group_of_near_copies(spark):
+    r = random.Random(8)
+    base = [f"v{k}" for k in range(120)]
+    rows = []
+    for k in range(220):
+        text = list(base)
+        for _ in range(r.randint(0, 7)):
+            text[r.randrange(120)] = f"x{r.randrange(40)}"
+        rows.append((k, " ".join(text)))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_components(spark):
+    r = random.Random(3)
+    edges = [(k, k + 1) for k in range(50)] + [(100 + r.randrange(30), 100 + r.randrange(30)) for _ in range(25)] + [(7, 7), (None, 3)]
+    parent = {}
+
+    def find(k):
+        parent.setdefault(k, k)
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: find(k) for k in parent}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_hamming_search(spark):
+    rng = np.random.default_rng(0)
+    points = rng.normal(size=(300, 24))
+    points[50:90] = points[50]
+    points[100:110] = points[100] + rng.normal(scale=0.4, size=(10, 24))
+    rows = [(k, [float(x) for x in p]) for k, p in enumerate(points)] + [(400, None), (None, [1.0] * 24), (5, [float(x) for x in points[5]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("code", F.lit("clash")).withColumn("id", F.lit(1))
+    codes = np.array(points, np.float32) > 0
+    for k in (3, 10):
+        got = {}
+        for r in hamming.top_k(df, F.col("vec_id") % 10 == 0, k=k).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.distance))
+        for q in range(0, 300, 10):
+            d = (codes[q] != codes).sum(1)
+            want = sorted((int(d[v]), v) for v in range(300) if v != q)[:k]
+            assert sorted(got[q]) == [(n + 1, v, x) for n, (x, v) in enumerate(want)]
+        assert set(got) == set(range(0, 300, 10))
+    assert hamming.top_k(df.limit(0), F.lit(True)).count() == 0
+    few = hamming.top_k(df.filter("vec_id < 3"), F.lit(True), k=10)
+    assert few.count() == 6
+
+
+def brute_targets(sizes, recipe):
+    """Water filling by bisection on the level."""
+    weights = [recipe.weights[k % 3] for k in range(len(sizes))]
+    low, high = 0.0, 10.0 * sum(sizes) + 1
+    for _ in range(200):
+        level = (low + high) / 2
+        if sum(min(2 * s, level * w) for s, w in zip(sizes, weights, strict=True)) < recipe.share * sum(sizes):
+            low = level
+        else:
+            high = level
+    return [min(2 * s, high * w) for s, w in zip(sizes, weights, strict=True)]
+
+
+def test_mix(spark):
+    r = random.Random(6)
+    rows = [(k, " ".join("w" for _ in range(r.randint(0, 60))), r.choice(["b", "b", "b", "a", "ü", None, "c"])) for k in range(900)]
+    rows += [(2000, None, "a"), (2001, "", "empty"), rows[5], (None, "x y z", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash")).withColumn("target", F.lit(1))
+    got = mixing.mix_sizes(docs).collect()
+    recipe = mixing.Recipe()
+    assert len(got) == len(rows)
+    size = lambda t: len((t or "").split())
+    names = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(size(t) for _, t, s in rows if s == name) for name in names]
+    want = dict(zip(names, brute_targets(sizes, recipe), strict=True))
+    source = {k: s for k, _, s in rows}
+    taken = dict.fromkeys(names, 0)
+    for x in got:
+        assert x.source_size == sizes[names.index(source[x.doc_id])]
+        assert x.target == pytest.approx(want[source[x.doc_id]])
+        assert x.taken == x.size * len(x.slots) and 0 <= x.taken <= 2 * x["size"]
+        taken[source[x.doc_id]] += x.taken
+    for name in names:
+        assert abs(taken[name] - want[name]) <= 61
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sizes(docs.repartition(3)).collect()))
+    mixed = mixing.mix(docs, recipe=mixing.Recipe(shard_words=2000))
+    assert mixed.columns == docs.columns
+    assert sum(size(x.text) for x in mixed.collect()) == sum(taken.values())
+    assert mixing.mix_sizes(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_quotas_are_split_exactly():
+    quotas = np.array([100, 0, 37, 3])
+    shards = mixing.split_quotas(quotas, 7, 1)
+    assert [sum(s.get(k, 0) for s in shards) for k in range(4)] == quotas.tolist()
+    assert max(sum(s.values()) for s in shards) - min(sum(s.values()) for s in shards) <= 1
+
+
+def brute_quality(text):
+    words = [w for w in "".join(" " if c in "\t\n\x0b\x0c\r " else c for c in text or "").split(" ") if w]
+    windows = {}
+    for k in range(len(words) - 7):
+        windows.setdefault(tuple(words[k : k + 8]), []).append(k)
+    covered = {k + j for places in windows.values() if len(places) > 1 for k in places for j in range(8)}
+    lines = [line for line in (text or "").split("\n") if line.strip(" \t\n\x0b\x0c\r")]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_counts(spark):
+    r = random.Random(9)
+    parts = ["a", "bb", "ccc", " ", " ", " ", "\n", "\n", "#", "é", " ", "\x0b", "\U0001f600", "one two three four five six seven eight "]
+    rows = [(k, "".join(r.choices(parts, k=r.randint(0, 90))), r.choice(["x", None])) for k in range(300)]
+    rows += [(900, None, "x"), (901, "", None), (902, "w1 w2 " * 20000, "x"), (None, "a b", "x"), rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n_words", F.lit("clash")).withColumn("Kept", F.lit(1))
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (77777, 1)], "doc_id long, quality int")
+    texts = {k: t for k, t, _ in rows}
+    got = quality.quality_rules(docs, labels).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        want = brute_quality(texts[x.doc_id])
+        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == want
+        assert x.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0])
+        assert x.kept == (not x.base_failed)
+    assert quality.quality_rules(docs.limit(0), labels).count() == 0
+
+
+def binomial_tail(n, k, p):
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
+def test_cutoffs_hold_their_risk(spark):
+    r = random.Random(10)
+    vocabulary = [f"word{k}" for k in range(2000)]
+
+    def text(symbols):
+        words = r.choices(vocabulary, k=60)
+        return " ".join(w + "#" * (r.random() < symbols) * 3 for w in words)
+
+    rows, labels = [], []
+    for k in range(3000):
+        lang = "big" if k < 2600 else "small"
+        good = r.random() < 0.8
+        rows.append((k, text(0.0 if good and r.random() < 0.999 else 0.9), lang))
+        labels.append((k, int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    scored = quality.features(docs, keep=["doc_id"]).cache()
+    cuts = {c.stratum: c for c in quality.calibrate(scored, table).collect()}
+    rules = quality.Rules()
+    pdf = scored.toPandas().merge(table.toPandas())
+    level = rules.failure / (2 * len(quality.GRIDS))
+    for stratum in ("big", "small"):
+        part = pdf[(pdf.stratum == stratum) & (pdf.quality == 1) & ~pdf.base_failed]
+        for rule, grid in quality.GRIDS.items():
+            cut = None
+            for c in grid:
+                if binomial_tail(len(part), int((part[rule] > c).sum()), rules.risk / len(quality.GRIDS)) > level:
+                    break
+                cut = c
+            assert cuts[stratum][f"{rule}_cutoff"] == cut
+    assert cuts["big"]["symbol_share_cutoff"] is not None and cuts["small"]["symbol_share_cutoff"] is None
+    kept = {x.doc_id: x.kept for x in quality.judge(scored, quality.calibrate(scored, table)).collect()}
+    assert all(kept[k] for k in pdf[(pdf.stratum == "small")].doc_id)
+    assert np.mean([kept[k] for k in pdf[(pdf.stratum == "big") & (pdf.quality == 0)].doc_id]) < 0.05
+    same = {x.doc_id for x in quality.keep_good(docs, table).collect()}
+    assert same == {k for k, v in kept.items() if v}
+
+
+def brute_rank(edges, seeds, damping, rounds):
+    hosts = {h for e in edges for h in e} | set(seeds)
+    total = {}
+    for (a, _), n in edges.items():
+        total[a] = total.get(a, 0) + n
+    base = {h: (1 - damping) / len(seeds) if h in seeds else 0.0 for h in hosts}
+    now = {h: 1 / len(seeds) if h in seeds else 0.0 for h in hosts}
+    for _ in range(rounds):
+        new = dict(base)
+        for (a, b), n in edges.items():
+            new[b] += damping * now[a] * n / total[a]
+        now = new
+    return now
+
+
+def test_url_rules_and_propagation(spark):
+    link = lambda *urls: "".join(f'<a class="x" href="{u}">t</a>' for u in urls)
+    pages = [
+        (1, "http://good.org/a", link("http://friend.net/", "/own", "//friend.net/x")),
+        (2, "https://Bad.COM/de/x?y", link("http://other.net/")),
+        (3, "http://pal.net/p", link("http://bad.com/de/", "https://bad.com/")),
+        (4, "http://friend.net/?q", link("http://pal.net/")),
+        (5, "http://sub.example.org/es/1", None),
+        (6, "http://example.org/en/12#z", ""),
+        (7, None, link("http://bad.com/")),
+        (8, "no scheme", None),
+        (9, "http://site.com/fr/1", None),
+        (None, "http://lonely.info", None),
+        (1, "http://good.org/a", None),
+        (10, "http://notorg/x", None),
+        (11, "http://bad.com/en/", None),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("kind", F.lit(0))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_graph.filter_urls(df).collect()}
+    assert got[1] == ("good.org", "/a", "org/", "allow")
+    assert got[2] == ("bad.com", "/de/x", "com/de/", "block")
+    assert got[5][2:] == ("example.org/es/", "block") and got[6][2:] == ("example.org/en/1", "block")
+    assert got[7] == ("", "", None, "allow") and got[8] == ("", "", None, "allow") and got[None] == ("lonely.info", "", None, "allow")
+    assert got[9][2:] == ("com/fr/", "allow") and got[10] == ("notorg", "/x", None, "allow")
+    assert got[4][:2] == ("friend.net", "/")
+    edges = {("good.org", "friend.net"): 2, ("bad.com", "other.net"): 1, ("pal.net", "bad.com"): 2, ("friend.net", "pal.net"): 1}
+    trust = brute_rank(edges, ["good.org", "site.com"], 0.85, 15)
+    # sub.example.org and example.org have blocked pages only, as bad.com has.
+    distrust = brute_rank({(b, a): n for (a, b), n in edges.items()}, ["bad.com", "sub.example.org", "example.org"], 0.85, 15)
+    for page, host in ((3, "pal.net"), (4, "friend.net"), (11, "bad.com")):
+        assert got[page][3] == ("block" if distrust[host] > trust.get(host, 0) else "allow")
+    assert url_graph.filter_urls(df.limit(0)).count() == 0
