@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from wordloom.llm.common import settle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Blocked hosts are broadcast up to this number, else joined by shuffle.
+BROADCAST_HOSTS = 200_000
 LINK = "(?i)<a\\s[^>]*?href\\s*=\\s*[\"']?([^\"'\\s>]+)"
 
 
@@ -122,7 +124,9 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     ruled = urls.filter("_verdict IS NOT NULL AND host <> ''").groupBy("host").agg(F.min("_verdict").alias("a"), F.max("_verdict").alias("b")).filter("a = b")
     seeds = ruled.select("host", F.when(F.col("a") == "allow", "trust").otherwise("distrust").alias("kind"))
     scores = propagate(settle(host_edges(pages, url_col, html_col)), settle(seeds), damping, rounds)
-    blocked = scores.filter(F.round("distrust", digits) > F.round("trust", digits)).select(F.col("host").alias("_host"))
+    blocked = settle(scores.filter(F.round("distrust", digits) > F.round("trust", digits)).select(F.col("host").alias("_host")))
+    if blocked.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+        blocked = F.broadcast(blocked)
     both = urls.join(blocked, F.col("host") == F.col("_host"), "left")
     method = F.when(F.col("_host").isNotNull(), "block").otherwise("allow")
     return both.select(id_col, "host", "path", "rule", F.coalesce("_verdict", method).alias("verdict"))
