@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordloom.llm.common import bounded_batches
+
 ESCAPE = "\u241b"
 MARKERS = ("<|turn|>", "<|text|>", "<|end|>")
 #: The control strings of this and other public chat templates.
@@ -85,6 +87,7 @@ def format_turns(turns: DataFrame, vocabulary: str | None = None, trained_role:
     conversation. An empty table gives an empty result. Other columns are not read.
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    bounded_batches(turns.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template = Template(path)
@@ -110,6 +113,7 @@ def format_turns(turns: DataFrame, vocabulary: str | None = None, trained_role:
 def digest(formatted: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """What the output of format_turns says, a row for each conversation; turns stream by, one at a time."""
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    bounded_batches(formatted.sparkSession)
     kind = formatted.schema["conv_id"].dataType.simpleString()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 

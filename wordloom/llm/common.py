@@ -12,6 +12,8 @@ BLANKS = "\\x20\\x09-\\x0D"
 #: The six ASCII blanks themselves, for translate().
 BLANK_CHARS = " \t\n\x0b\f\r"
 
+BATCH_ROWS = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,6 +33,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Have Spark hand texts to Python a thousand rows at a time or fewer, not ten thousand: batches are held on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, rows)
+
+
 def release(spark: SparkSession) -> None:
     """Let the cluster delete the shuffle files of plans that nothing refers to any more.
 

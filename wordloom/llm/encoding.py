@@ -62,23 +62,20 @@ class PieceEncoder:
     remembered: entries kept at most; when full, memory starts anew.
     """
 
-    def __init__(self, path: str, remembered: int = 400_000, batch_bytes: int = 1 << 20, slice_chars: int = 1 << 16):
+    def __init__(self, path: str, remembered: int = 200_000, batch_bytes: int = 1 << 20, slice_chars: int = 1 << 16):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
         self._library = Tokenizer.from_file(path)
         self._remembered, self._batch_bytes, self._slice_chars = remembered, batch_bytes, slice_chars
         self._memory: dict[str, bytes] = {}
-        self._kind = self._kind_of(spec)
-        vocabulary = spec["model"].get("vocab", {})
+        self._kind = self._kind_of(path)
         if self._kind == "byte":
             self._is_word = _SPACED_WORD
-            self._edge = self._table(i for token, i in vocabulary.items() if token.startswith("Ġ"))
+            self._edge = self._table(i for token, i in self._library.get_vocab(False).items() if token.startswith("Ġ"))
         elif self._kind == "word":
             self._is_word = _LOWER_WORD
-            self._edge = self._table(i for token, i in vocabulary.items() if token.endswith("</w>"))
+            self._edge = self._table(i for token, i in self._library.get_vocab(False).items() if token.endswith("</w>"))
 
     _shared: ClassVar[dict[tuple, PieceEncoder]] = {}
 
@@ -97,14 +94,19 @@ class PieceEncoder:
         return table
 
     @staticmethod
-    def _kind_of(spec: dict) -> str:
-        before, model = spec.get("pre_tokenizer") or {}, spec["model"]
-        if any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in spec.get("added_tokens", [])) or model["type"] != "BPE" or spec.get("post_processor"):
+    def _kind_of(path: str) -> str:
+        """Which of the two proven ways of cutting fits the file; its long lists are not parsed."""
+        with open(path, encoding="utf-8") as file:
+            text = file.read()
+        at = text.index('"model"')
+        head, model = json.loads(text[:at].rstrip(", \n") + "}"), text[at : text.index('"vocab"', at)]
+        before = head.get("pre_tokenizer") or {}
+        if any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in head.get("added_tokens", [])) or not re.search('"type": ?"BPE"', model) or head.get("post_processor"):
             return "whole"
-        if before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec.get("normalizer"):
+        if before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not head.get("normalizer"):
             return "byte"
-        steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        if model.get("end_of_word_suffix") == "</w>" and steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in before.get("pretokenizers", [])] == ["Split", "ByteLevel"]:
+        steps = [x.get("type") for x in (head.get("normalizer") or {}).get("normalizers", [])]
+        if re.search('"end_of_word_suffix": ?"</w>"', model) and steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in before.get("pretokenizers", [])] == ["Split", "ByteLevel"]:
             return "word"
         return "whole"
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from wordloom.llm.common import release, settle
+from wordloom.llm.common import bounded_batches, release, settle
 from wordloom.llm.components import connected_components
 
 #: Ids are broadcast up to this number, else joined by shuffle.
@@ -250,6 +250,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", joi
     linked with nothing: such a document is its own component. An empty table
     gives an empty result. Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     named, nameless = given.filter("id IS NOT NULL"), given.filter("id IS NULL")
     repeats = not named.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").isEmpty()

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.llm.common import bounded_batches
+
 
 UNKNOWN = "und"
 
@@ -193,6 +195,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     windows only. More than ``most_languages`` labels are an error.
     """
     s = settings
+    bounded_batches(docs.sparkSession)
     fit = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).filter(~held_out("id") & F.col("label").isNotNull() & F.col("text").rlike("\\p{L}"))
     counts = {r["label"]: r["n"] for r in fit.groupBy("label").agg(F.count("*").alias("n")).limit(s.most_languages + 1).collect()}
     if len(counts) > s.most_languages:
@@ -228,6 +231,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
 
 def predict(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, lang_pred, score), a row for each row of docs; only texts go to the network."""
+    bounded_batches(docs.sparkSession)
     weights, languages, settings = net.weights, net.languages, net.settings
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import settle
+from wordloom.llm.common import bounded_batches, settle
 from wordloom.llm.encoding import PieceEncoder
 
 CAPACITY = 4096
@@ -98,6 +98,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     Other columns are not read. Needs a checkpoint folder that executors share.
     """
     path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     fields = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     schema = f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"

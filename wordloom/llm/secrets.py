@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.llm.common import bounded_batches
+
 #: Kinds in the order in which spans that start alike are listed; the first three are patterns.
 KINDS = ("assign", "access", "hex", "random")
 BASE = KINDS[:3]
@@ -74,6 +76,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     empty table gives an empty result. Other columns are not read. No shuffle.
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -99,6 +102,7 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_c
     span stay as they are, and so does their chars_col.
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    bounded_batches(docs.sparkSession)
 
     def clean(text: str | None, encoding) -> str | None:
         if not text:

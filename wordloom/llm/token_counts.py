@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.llm.common import bounded_batches
 from wordloom.llm.encoding import PieceEncoder
 
 
@@ -23,6 +24,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     An empty table gives an empty result. Other columns are not read.
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
+    bounded_batches(docs.sparkSession)
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.shared(path, batch_bytes=batch_bytes, slice_chars=slice_chars)
