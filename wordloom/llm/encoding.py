@@ -40,6 +40,7 @@ _LOWER_WORD = re.compile(f"[{_LOWER}]+").fullmatch
 #: Cuts at blanks, for other texts: a piece is a run of blanks and what follows up to the next.
 _BLANK_PIECES = re.compile("[ \\t\\n\\r]*[^ \\t\\n\\r]+|[ \\t\\n\\r]+").findall
 _OTHER_BLANK = re.compile("[^\\S \\t\\n\\r]|[\\x1c-\\x1f]").search
+_CALL = 2000
 #: A cut of a long text: between a Latin letter and a space that another one follows.
 _CUT = re.compile("[A-Za-z](?= [A-Za-z])").search
 
@@ -131,17 +132,21 @@ class PieceEncoder:
         # Words alone are a split each, so they can be encoded as one text; an edge token begins (ends) each.
         together = [x for x in new if self._is_word(x)] if self._kind != "whole" else []
         alone = [x for x in new if not self._is_word(x)] if together else new
-        if together:
-            text = ("" if self._kind == "byte" else " ").join(together)
+        # A few thousand pieces a call: what the library holds beside the ids is many times their size.
+        for at in range(0, len(together), _CALL):
+            part = together[at : at + _CALL]
+            text = ("" if self._kind == "byte" else " ").join(part)
             ids = np.array(self._library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             edges = np.flatnonzero(self._edge[ids])
             cuts = [*edges.tolist(), len(ids)] if self._kind == "byte" else [0, *(edges + 1).tolist()]
-            if len(cuts) != len(together) + 1 or cuts[0] != 0 or cuts[-1] != len(ids):
+            if len(cuts) != len(part) + 1 or cuts[0] != 0 or cuts[-1] != len(ids):
                 raise AssertionError("an edge token is missing: this vocabulary can't be read by words")
             data = ids.tobytes()
-            self._memory.update(zip(together, [data[4 * x : 4 * y] for x, y in pairwise(cuts)], strict=True))
-        for x, got in zip(alone, self._library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self._memory[x] = np.array(got.ids, "<u4").tobytes()
+            self._memory.update(zip(part, [data[4 * x : 4 * y] for x, y in pairwise(cuts)], strict=True))
+        for at in range(0, len(alone), _CALL):
+            part = alone[at : at + _CALL]
+            for x, got in zip(part, self._library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self._memory[x] = np.array(got.ids, "<u4").tobytes()
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit numbers. Texts go to the library in batches of about equal bytes."""
