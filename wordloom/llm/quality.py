@@ -37,6 +37,8 @@ GRIDS = {
 }
 #: Cutoffs of up to so many strata (a row each) are broadcast; more are joined by shuffle.
 BROADCAST_STRATA = 10_000
+#: Likewise keys of rejected documents.
+BROADCAST_REJECTED = 500_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -119,8 +121,8 @@ def calibrate(scored: DataFrame, labels: DataFrame, id_col: str = "doc_id", labe
     A document counts as good if all its labels are 1; documents that fail the
     base rules are left out. Labels without a document, and null ids, count nowhere.
     """
-    good = labels.groupBy(id_col).agg(F.min(F.coalesce(label_col, F.lit(0))).alias("_good")).filter("_good = 1").select(F.col(id_col).alias("_id"))
-    tried = scored.filter(~F.col("base_failed")).join(good, F.col(id_col) == F.col("_id"), "left_semi")
+    good = labels.groupBy(id_col).agg(F.min(F.coalesce(label_col, F.lit(0))).alias("_good")).filter("_good = 1").select(F.col(id_col).alias("_of"))
+    tried = scored.filter(~F.col("base_failed")).join(good, F.col(id_col) == F.col("_of"), "left_semi")
     over = [F.sum((F.col(r) > c).cast("long")).alias(f"{r}_{i}") for r, grid in GRIDS.items() for i, c in enumerate(grid)]
     counts = settle(tried.groupBy("stratum").agg(F.count("*").alias("n_good"), *over))
     tests = max(1, counts.count()) * len(GRIDS)
@@ -159,11 +161,17 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
-    """The rows of docs that the rules keep, with docs' columns. Texts are read twice and never moved."""
-    scored = settle(features(docs, text_col, stratum_col, rules, keep=[id_col]))
-    cutoffs = calibrate(scored, labels, id_col, rules=rules)
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"), F.col(stratum_col).alias("_stratum_of"))
-    judged = judge(features(whole, "_text", "_stratum_of", rules, keep=["_row"]), cutoffs)
-    # A filter on kept itself would be moved below the projections and its many uses of each written out; one on a generator's output stays.
-    judged = judged.select("_row", F.explode(F.array("kept")).alias("_stays")).filter("_stays")
-    return judged.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    """The rows of docs that the rules keep, with docs' columns.
+
+    Rows are judged once; those rejected leave by id, text and stratum (the
+    latter two hashed), so that repeated ids are told apart. Few such keys are
+    broadcast and no text moves; many are joined by shuffle.
+    """
+    digest = lambda: F.xxhash64(text_col, stratum_col)
+    rows = docs.select(F.col(id_col).alias("_id"), digest().alias("_digest"), F.col(text_col).alias("_text"), F.col(stratum_col).alias("_stratum_of"))
+    scored = settle(features(rows, "_text", "_stratum_of", rules, keep=["_id", "_digest"]))
+    cutoffs = calibrate(scored, labels.withColumnRenamed(id_col, "_id"), "_id", rules=rules)
+    out = settle(judge(scored, cutoffs).filter("NOT kept").select("_id", "_digest").distinct())
+    if out.count() <= BROADCAST_REJECTED:
+        out = F.broadcast(out)
+    return docs.join(out, F.col(id_col).eqNullSafe(F.col("_id")) & (digest() == F.col("_digest")), "left_anti")
