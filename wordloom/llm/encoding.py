@@ -63,7 +63,7 @@ class PieceEncoder:
     remembered: entries kept at most; when full, memory starts anew.
     """
 
-    def __init__(self, path: str, remembered: int = 200_000, batch_bytes: int = 1 << 20, slice_chars: int = 1 << 16):
+    def __init__(self, path: str, remembered: int = 100_000, batch_bytes: int = 1 << 20, slice_chars: int = 1 << 16):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

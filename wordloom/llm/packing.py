@@ -27,7 +27,7 @@ from wordloom.llm.encoding import PieceEncoder
 CAPACITY = 4096
 #: Lengths below CAPACITY // CLASSES are classes of their own.
 CLASSES = 64
-_ROWS, _BYTES = 4096, 8 << 20
+_ROWS, _BYTES = 1024, 2 << 20
 
 
 def piece_lengths(n: int, capacity: int = CAPACITY, classes: int = CLASSES) -> list[int]:
