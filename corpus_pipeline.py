@@ -13,8 +13,8 @@ from wordloom.llm.common import shared_folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+    """Documents that the rules keep, with cutoffs for small languages too."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"), together=True)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,3 +69,31 @@ def test_run(spark, folder):
             assert offset == at
             at += length
         assert at <= 4096
+
+
+def test_small_languages_lose_their_junk(spark, tmp_path):
+    """Some hundred labels are enough for cutoffs; a rule that many good texts break doesn't keep the others from theirs."""
+    r = random.Random(13)
+    vocabulary = ["".join(r.choices("abcdefghij", k=6)) for _ in range(2000)]
+
+    def text(end, upper=False):
+        words = " ".join(w + end for w in r.choices(vocabulary, k=40))
+        return words.upper() if upper else words
+
+    rows = []
+    for lang, n in (("small", 420), ("few", 120), ("capitals", 1800)):
+        for k in range(n):
+            good = k % 6 > 0
+            rows.append((len(rows), text("" if good else "##", lang == "capitals"), lang, int(good)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    table.select("doc_id", "quality").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = table.select("doc_id", "text", "lang")
+    kept = {x.doc_id for x in corpus_pipeline.quality_stage(spark, docs, str(tmp_path)).collect()}
+    # Hundred good labels can't bound 2 % of the good documents, so nothing may leave there.
+    assert kept == {k for k, _, lang, good in rows if good or lang == "few"}
+    scored = quality.features(docs, keep=["doc_id"])
+    cuts = {c.stratum: c for c in quality.calibrate_together(scored, table.select("doc_id", "quality")).collect()}
+    assert {lang: c.n_good for lang, c in cuts.items()} == {"small": 350, "few": 100, "capitals": 1500}
+    assert [cuts["small"][f"{rule}_cutoff"] for rule in quality.GRIDS] == [grid[-1] for grid in quality.GRIDS.values()]
+    assert [cuts["few"][f"{rule}_cutoff"] for rule in quality.GRIDS] == [None] * 4
+    assert cuts["capitals"].upper_share_cutoff is None and cuts["capitals"].symbol_share_cutoff == 0.02

@@ -12,13 +12,19 @@ reject at most ``risk`` of the good documents that pass the base rules. A stratu
 with too few labels to show that gets no cutoff. The grids below are fixed in
 advance, hence every label counts as held out.
 
+``calibrate_together`` needs fewer labels: it also tries the rules' cutoffs all at
+once, along one fixed path, on the documents that any of them rejects. Then
+neither risk nor failure is divided by the rules. Half of the failure goes to
+either way, so both bounds hold at once and each stratum may take the way that
+rejects more of its documents labelled bad.
+
 Everything here is DataFrame and SQL expressions.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +41,9 @@ GRIDS = {
     "repeat_share": (0.28, 0.25, 0.2, 0.15, 0.1),
     "upper_share": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3),
 }
+STEPS = max(map(len, GRIDS.values()))
+#: Cutoffs of all rules together, from lax to strict: each step has every rule at the same part of its grid.
+PATH = [{r: grid[k * len(grid) // STEPS] for r, grid in GRIDS.items()} for k in range(STEPS)]
 #: Cutoffs of up to so many strata (a row each) are broadcast; more are joined by shuffle.
 BROADCAST_STRATA = 10_000
 #: Likewise keys of rejected documents.
@@ -135,6 +144,36 @@ def calibrate(scored: DataFrame, labels: DataFrame, id_col: str = "doc_id", labe
     return settle(counts.select("stratum", "n_good", *cutoffs))
 
 
+def calibrate_together(scored: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", rules: Rules = Rules()) -> DataFrame:
+    """Like calibrate, with each stratum's cutoffs found rule by rule or along PATH, whichever rejects more labelled bad documents."""
+    half = replace(rules, failure=rules.failure / 2)
+    marks = labels.groupBy(id_col).agg(F.min(F.coalesce(label_col, F.lit(0))).alias("_good")).select(F.col(id_col).alias("_of"), "_good")
+    tried = settle(scored.filter(~F.col("base_failed")).join(marks, F.col(id_col) == F.col("_of")).select("stratum", *GRIDS, (F.col("_good") == 1).alias("_good")))
+
+    def rejected(cutoffs: dict[str, Column]) -> Column:
+        any_over: Column = F.lit(False)
+        for r, c in cutoffs.items():
+            any_over = any_over | F.coalesce(F.col(r) > c, F.lit(False))
+        return F.sum(any_over.cast("long"))
+
+    over = [rejected({r: F.lit(c) for r, c in cutoffs.items()}).alias(f"_{k}") for k, cutoffs in enumerate(PATH)]
+    counts = settle(tried.filter("_good").groupBy("stratum").agg(F.count("*").alias("n_good"), *over))
+    level = half.failure / max(1, counts.count())
+    fails_at = F.array_position(F.array(*[tail(F.col("n_good"), F.col(f"_{k}"), rules.risk) <= level for k in range(STEPS)]), False)
+    strictest = F.when(fails_at == 0, F.lit(STEPS)).otherwise(fails_at - 1).cast("int")
+    together = counts.select(F.col("stratum").alias("_stratum"), *[F.get(F.array(*[F.lit(v[r]) for v in PATH]), strictest - 1).alias(f"{r}_together") for r in GRIDS])
+    alone = calibrate(scored, labels, id_col, label_col, half)
+    both = settle(alone.join(together, F.col("stratum").eqNullSafe(F.col("_stratum"))).drop("_stratum"))
+    limits = both.withColumnRenamed("stratum", "_stratum")
+    bad = tried.filter("NOT _good").join(limits, F.col("stratum").eqNullSafe(F.col("_stratum")))
+    caught = bad.groupBy("stratum").agg(*[rejected({r: F.col(f"{r}_{way}") for r in GRIDS}).alias(f"_{way}") for way in ("cutoff", "together")])
+    caught = caught.withColumnRenamed("stratum", "_stratum")
+    first = next(iter(GRIDS))
+    pick = F.col(f"{first}_together").isNotNull() & ~F.coalesce(F.col("_cutoff") > F.col("_together"), F.lit(False))
+    chosen = [F.when(pick, F.col(f"{r}_together")).otherwise(F.col(f"{r}_cutoff")).alias(f"{r}_cutoff") for r in GRIDS]
+    return settle(both.join(caught, F.col("stratum").eqNullSafe(F.col("_stratum")), "left").select("stratum", "n_good", *chosen))
+
+
 def judge(scored: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """scored with ``kept``: false if base_failed or over a cutoff of its stratum."""
     limits = cutoffs.select(F.col("stratum").alias("_stratum"), *[f"{r}_cutoff" for r in GRIDS])
@@ -160,8 +199,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return judge(scored, cutoffs).select(id_col, *COUNTS, "base_failed", "kept")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
-    """The rows of docs that the rules keep, with docs' columns.
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", rules: Rules = Rules(), together: bool = False) -> DataFrame:
+    """The rows of docs that the rules keep, with docs' columns. together: cutoffs by calibrate_together.
 
     Rows are judged once; those rejected leave by id, text and stratum (the
     latter two hashed), so that repeated ids are told apart. Few such keys are
@@ -170,7 +209,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     digest = lambda: F.xxhash64(text_col, stratum_col)
     rows = docs.select(F.col(id_col).alias("_id"), digest().alias("_digest"), F.col(text_col).alias("_text"), F.col(stratum_col).alias("_stratum_of"))
     scored = settle(features(rows, "_text", "_stratum_of", rules, keep=["_id", "_digest"]))
-    cutoffs = calibrate(scored, labels.withColumnRenamed(id_col, "_id"), "_id", rules=rules)
+    find = calibrate_together if together else calibrate
+    cutoffs = find(scored, labels.withColumnRenamed(id_col, "_id"), "_id", rules=rules)
     out = settle(judge(scored, cutoffs).filter("NOT kept").select("_id", "_digest").distinct())
     if out.count() <= BROADCAST_REJECTED:
         out = F.broadcast(out)
