@@ -182,3 +182,26 @@ def test_language_identification(spark):
     assert language_id.identify(docs.limit(0)).count() == 0
     again = {x.doc_id: x.lang_pred for x in language_id.identify(docs).collect()}
     assert again == {x.doc_id: x.lang_pred for x in got}
+
+
+def test_random_strings_of_every_kind():
+    """Keys of one case, in groups, short ones, and what lies beside a UUID or a pattern's span."""
+    encoding = secrets._encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    r = random.Random(21)
+    draw = lambda alphabet, n: "".join(r.choices(alphabet, k=n))
+    find = lambda text: [(text[a:b], k) for a, b, k in secrets.find(text, encoding, 2.0)]
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for make in (
+        lambda: draw(lower, 32),
+        lambda: draw(upper, 32),
+        lambda: "-".join(draw(upper, 5) for _ in range(5)),
+        lambda: "_".join(draw(lower, 8) for _ in range(4)),
+        lambda: draw(lower, 4) + draw(upper, 4) + draw(digits, 2) + draw(lower + upper + digits, 4),
+    ):
+        keys = [make() for _ in range(200)]
+        assert sum(find(f"x {key} y") == [(key, "random")] for key in keys) >= 195
+    key, uuid = "x7Kd92mQpLz81NvTyWq03BcRfHsJ4Ug5", "550e8400-e29b-41d4-a716-446655440000"
+    assert find(f"x {uuid}/{key} y") == [(f"/{key}", "random")]
+    assert find(f"x {key}_{'0123456789abcdef' * 2} y") == [(f"{key}_", "random"), ("0123456789abcdef" * 2, "hex")]
+    clean = ("2024-01-02T10:20:30Z", "20240102T102030Z", "2024-01-02/2024-02-03/2024", "+1-202-555-0143-20", "WPA2-PSK-AES256", "/2024/01/02/03/article", "a_very_long_name_of_a_function", "NOT_A_KEY_BUT_A_CONSTANT", uuid)
+    assert [x for x in clean if find(f"x {x} y")] == []

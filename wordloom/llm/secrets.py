@@ -2,9 +2,9 @@
 
 A long run of characters that occur in keys is tokenised with a byte-pair
 vocabulary. Words and names give several characters a token; random strings
-give fewer than two, whatever their alphabet. Runs that are known digests,
-UUIDs or numbers are left out before, and those of one letter case alone, which
-are words.
+give fewer than two, whatever their alphabet. What patterns have found and whole
+UUIDs are cut out of a run, and each rest is a run of its own. Known digests,
+numbers and times are left out before, and short names.
 """
 
 from __future__ import annotations
@@ -31,13 +31,20 @@ HEX = re.compile("[0-9a-f]{16,}")
 ASSIGN_LEAST = 12
 
 _KEY = "A-Za-z0-9+/_=-"
-RUN_LEAST = 20
+#: Shorter runs are not tested; those up to NAME_LEAST only if they don't look like names.
+RUN_LEAST = 12
+NAME_LEAST = 20
 RUN = re.compile(f"(?<![{_KEY}])[{_KEY}]{{{RUN_LEAST},}}")
 DIGEST = re.compile("(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
-UUID = re.compile("(?i:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})")
+UUID = re.compile("(?i:(?<![0-9a-f])[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![0-9a-f]))")
 #: A word, a number, or such joined by the signs that names have: identifiers, whose parts have one case or an initial capital.
 IDENTIFIER = re.compile("[+/_=-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)[+/_=-]+)*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)[0-9]{0,4}[+/_=-]*")
+#: Short names: every part may end in a few digits.
+NAME = re.compile("[+/_=-]*(?:(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}|[0-9]+)(?:[+/_=-]+|$))*")
+NUMBERS = re.compile("[+/_=-]*[0-9]+(?:[+/_=-]+[0-9]+)*[+/_=-]*")
+TIME = re.compile("[0-9]{4}-?[0-9]{2}-?[0-9]{2}[Tt_-][0-9]{2}(?:-?[0-9]{2}){0,2}(?:[Zz]|[+-][0-9]{2,4})?")
+LETTERS = re.compile("[A-Za-z]+")
 
 
 @cache
@@ -49,6 +56,31 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _rests(run: re.Match, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """What of run lies outside the spans in base and outside UUIDs."""
+    start, end = run.span()
+    cuts = [(a, b) for a, b, _ in base if a < end and start < b]
+    cuts += [m.span() for m in UUID.finditer(run.string, start, end)]
+    for a, b in sorted(cuts):
+        if start < a:
+            yield start, a
+        start = max(start, b)
+    if start < end:
+        yield start, end
+
+
+def _random(run: str, encoding, ratio: float) -> bool:
+    """Whether so few characters make a token. Identifiers are judged by their letters, as words of small ones."""
+    if DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS or NUMBERS.fullmatch(run) or TIME.fullmatch(run):
+        return False
+    if len(run) < NAME_LEAST and NAME.fullmatch(run):
+        return False
+    if IDENTIFIER.fullmatch(run):
+        parts = LETTERS.findall(run)
+        return sum(map(len, parts)) <= ratio * len(encoding.encode_ordinary(" " + " ".join(parts).lower()))
+    return len(run) <= ratio * len(encoding.encode_ordinary(run))
+
+
 def find(text: str, encoding, ratio: float) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind) in code points, by start and then kind as listed."""
     out = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= ASSIGN_LEAST]
@@ -57,13 +89,9 @@ def find(text: str, encoding, ratio: float) -> list[tuple[int, int, str]]:
     out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     base = sorted(out)
     for m in RUN.finditer(text):
-        run = m[0]
-        if any(a < m.end() and m.start() < b for a, b, _ in base):
-            continue
-        if DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS or UUID.search(run) or IDENTIFIER.fullmatch(run):
-            continue
-        if len(run) <= ratio * len(encoding.encode_ordinary(run)):
-            out.append((m.start(), m.end(), "random"))
+        for a, b in _rests(m, base):
+            if b - a >= RUN_LEAST and _random(text[a:b], encoding, ratio):
+                out.append((a, b, "random"))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
