@@ -299,3 +299,16 @@ def test_url_rules_and_propagation(spark):
     for page, host in ((3, "pal.net"), (4, "friend.net"), (11, "bad.com")):
         assert got[page][3] == ("block" if distrust[host] > trust.get(host, 0) else "allow")
     assert url_graph.filter_urls(df.limit(0)).count() == 0
+
+
+def test_distrust_reaches_far_and_small(spark):
+    """Over more links than there are rounds, and where so many links share a score that it is tiny."""
+    link = lambda url, n=1: f'<a href="{url}">t</a>' * n
+    pages = [(0, "http://bad.com/de/", None), (1, "http://h1.net/", link("http://bad.com/"))]
+    pages += [(k, f"http://h{k}.net/", link(f"http://h{k - 1}.net/")) for k in range(2, 23)]
+    pages += [(100, "http://worse.com/de/", None), (101, "http://p1.net/", link("http://worse.com/"))]
+    pages += [(100 + k, f"http://p{k}.net/", link(f"http://p{k - 1}.net/")) for k in (2, 3)]
+    pages += [(200 + k, "http://noise.net/", link(url, 20000)) for k, url in enumerate(("http://worse.com/", "http://p1.net/", "http://p2.net/"))]
+    pages += [(300, "http://clean.net/", link("http://nowhere.net/"))]
+    got = {r.page_id: r.verdict for r in url_graph.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {key: "allow" if key == 300 else "block" for key, _, _ in pages}

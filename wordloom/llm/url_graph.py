@@ -3,11 +3,13 @@
 Trust starts from hosts all of whose ruled pages are allowed and follows links;
 distrust starts from hosts all of whose ruled pages are blocked and goes against
 them, from a host to those that link to it. Both are personalised PageRank with
-a fixed number of rounds; a host with more distrust than trust is blocked.
+a fixed number of rounds, or as many more as it takes to reach every host that
+links lead to; a host with more distrust than trust is blocked.
 """
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -76,13 +78,19 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return edges.filter("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
+def _all_reached(moves: DataFrame, scores: DataFrame) -> bool:
+    takers = moves.join(scores.select("kind", F.col("host").alias("giver")), ["kind", "giver"], "left_semi").select("kind", F.col("taker").alias("host"))
+    return takers.join(scores, ["kind", "host"], "left_anti").isEmpty()
+
+
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 15) -> DataFrame:
     """(host, trust, distrust) of all hosts that either reaches. seeds: (host, kind), kind trust or distrust.
 
     Edges are stored once, those of either kind in its own direction with the
     share of the giver's score that they pass on; each round is one join on the
     giver and one sum by the taker, and what a round's plan holds is cut every
-    five rounds. A giver without edges passes nothing on.
+    five rounds. A giver without edges passes nothing on. After the given rounds
+    it goes on, five at a time, while some host is still to be reached.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("total"))
@@ -97,12 +105,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     scores = start
     if not moves.isEmpty():
         base = start.select("kind", "host", (F.col("score") * (1 - damping)).alias("score"))
-        for k in range(rounds):
+        for k in itertools.count(1):
             given = moves.join(scores.withColumnRenamed("host", "giver"), ["kind", "giver"])
             taken = given.select("kind", F.col("taker").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
             scores = base.unionByName(taken).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-            if k % 5 == 4 or k + 1 == rounds:
+            if k % 5 == 0 or k == rounds:
                 scores = settle(scores)
+                if k >= rounds and _all_reached(moves, scores):
+                    break
     by_kind = [F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind) for kind in ("trust", "distrust")]
     return scores.groupBy("host").agg(*by_kind)
 
@@ -111,7 +121,8 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """(id_col, host, path, rule, verdict), a row for each row of pages.
 
     Where no rule fits, a page is blocked if its host has more distrust than
-    trust (compared at so many digits, so that the order of sums doesn't count).
+    trust (by more than their last of so many significant digits, so that the
+    order of sums doesn't count, and small scores of large graphs do).
     A host with no score, an empty one included, is allowed. A null or broken
     url has an empty host and path; null html has no links. Ids may be null or
     repeat; repeated pages repeat their links. Other columns are not read.
@@ -124,7 +135,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     ruled = urls.filter("_verdict IS NOT NULL AND host <> ''").groupBy("host").agg(F.min("_verdict").alias("a"), F.max("_verdict").alias("b")).filter("a = b")
     seeds = ruled.select("host", F.when(F.col("a") == "allow", "trust").otherwise("distrust").alias("kind"))
     scores = propagate(settle(host_edges(pages, url_col, html_col)), settle(seeds), damping, rounds)
-    blocked = settle(scores.filter(F.round("distrust", digits) > F.round("trust", digits)).select(F.col("host").alias("_host")))
+    blocked = settle(scores.filter(F.col("distrust") - F.col("trust") > F.col("distrust") * 10.0**-digits).select(F.col("host").alias("_host")))
     if blocked.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         blocked = F.broadcast(blocked)
     both = urls.join(blocked, F.col("host") == F.col("_host"), "left")
