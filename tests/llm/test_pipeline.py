@@ -1,12 +1,18 @@
 """The pipeline's stages, each on what the one before kept."""
 
 import random
+import zlib
+from collections import Counter
 
+import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from test_large_operators import brute_classes, brute_quality, brute_targets
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from wordloom.llm import jaccard, quality
+from wordloom.llm import jaccard, mixing, quality
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +103,73 @@ def test_small_languages_lose_their_junk(spark, tmp_path):
     assert [cuts["small"][f"{rule}_cutoff"] for rule in quality.GRIDS] == [grid[-1] for grid in quality.GRIDS.values()]
     assert [cuts["few"][f"{rule}_cutoff"] for rule in quality.GRIDS] == [None] * 4
     assert cuts["capitals"].upper_share_cutoff is None and cuts["capitals"].symbol_share_cutoff == 0.02
+
+
+def pairs(rows):
+    return Counter((x.doc_id, x.text) for x in rows)
+
+
+def check_quality(given, out, labelled_good):
+    # So few labels can't show that at most 2 % of the good documents go, hence no cutoffs.
+    assert 0.98 ** len(labelled_good) > 0.05
+    want = [x for x in given for n in [brute_quality(x.text)] if n[0] >= 20 and 100 * n[4] <= 30 * n[0]]
+    assert pairs(out) == pairs(want)
+
+
+def check_near_duplicates(given, out):
+    found = brute_classes([(x.doc_id, x.text) for x in {x.doc_id: x for x in given if x.doc_id is not None}.values()])
+    heads = {x.doc_id: x for x in given if x.doc_id is not None and found[x.doc_id][1] == x.doc_id}
+    assert pairs(out) == pairs([*heads.values(), *(x for x in given if x.doc_id is None)])
+
+
+def check_secrets(given, out):
+    want = [(x.doc_id, (x.text or "").replace('token = "0123456789abcdef0123', "[SECRET]")) for x in given]
+    assert pairs(out) == Counter(want) and all(x.n_chars == len(x.text) for x in out)
+
+
+def check_mix(given, out):
+    size = lambda x: len(x.text.split())
+    names = sorted({x.source for x in given}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(size(x) for x in given if x.source == name) for name in names]
+    assert {(x.doc_id, x.text, x.source) for x in out} <= {(x.doc_id, x.text, x.source) for x in given}
+    copies, largest = pairs(out), max(map(size, given))
+    for name, n, target in zip(names, sizes, brute_targets(sizes, mixing.Recipe()), strict=True):
+        assert abs(sum(size(x) for x in out if x.source == name) - target) <= largest
+        whole = int(target / n + 1e-9)
+        for x in given:
+            if x.source == name:
+                assert whole <= copies[x.doc_id, x.text] <= (whole + 1 if target > whole * n + 1e-6 else whole)
+
+
+def check_packing(given, out):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    copies, texts = Counter(x.doc_id for x in given), {x.doc_id: x.text for x in given}
+    assert {x.doc_id for x in out} == set(copies)
+    for key, text in texts.items():
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        mine = [x for x in out if x.doc_id == key]
+        pieces = Counter((x.start, x.length) for x in mine)
+        assert set(pieces.values()) == {copies[key]}
+        ends = [0, *np.cumsum([n for _, n in sorted(pieces)]).tolist()]
+        assert [a for a, _ in sorted(pieces)] == ends[:-1] and ends[-1] == len(ids)
+        assert all(x.ids_crc32 == zlib.crc32(ids[x.start : x.start + x.length].tobytes()) and x.doc_tokens == len(ids) for x in mine)
+
+
+def test_stages_against_plain_python(spark, folder, tmp_path):
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    checks = {
+        "quality rules": lambda given, out: check_quality(given, out, labels.filter("quality = 1").collect()),
+        "near duplicates": check_near_duplicates,
+        "secret scan": check_secrets,
+        "source mix": check_mix,
+        "packing": check_packing,
+    }
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, folder).write.parquet(f"{tmp_path}/{k}")
+        given, docs = docs.collect(), spark.read.parquet(f"{tmp_path}/{k}")
+        out = docs.collect()
+        checks[name](given, out)
+        lost = next(x for x in out if name != "source mix" or x.source == "a")
+        with pytest.raises(AssertionError):
+            checks[name](given, [x for x in out if x is not lost])
