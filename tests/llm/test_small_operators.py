@@ -36,16 +36,28 @@ def with_clashes(spark, rows=ROWS):
 
 def test_pieces_give_the_librarys_ids():
     r = random.Random(5)
-    alphabet = [*" \n\t'\"abszéßİſ.,!1²½ª中́\x1c\x85", "<|endoftext|>", "'s", "'re", " the", "  "]
+    alphabet = [*" \n\t'\"abszéßİſ.,!1²½ª中́\x1c\x85бЯ字カ゛한。、，\xa0\u3000Σς", "<|endoftext|>", "'s", "'re", " the", "  "]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         path = public_tokenizers.path(name)
         library = Tokenizer.from_file(path)
-        encoder = PieceEncoder(path, remembered=500, batch_bytes=50, slice_chars=8)
+        encoder = PieceEncoder(path, memory_bytes=4000, batch_bytes=50, slice_chars=8)
         texts = ["".join(r.choices(alphabet, k=r.randint(0, 16))) for _ in range(4000)]
+        texts += ["字" * 300 + "。" + "字" * 200, "a" * 500, "слова " * 100, "".join(r.choices(alphabet, k=5000))]
         for text, got in zip(texts, encoder.encode(texts), strict=True):
             assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_the_encoders_memory_is_bounded():
+    """By bytes, whatever the pieces' lengths: long ones without a blank are not kept."""
+    encoder = PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), memory_bytes=200_000)
+    r = random.Random(6)
+    texts = ["".join(r.choices("бвгджз", k=20_000)) for _ in range(20)] + [" ".join("".join(r.choices("abcdefgh", k=9)) for _ in range(400)) for _ in range(30)]
+    for _ in encoder.encode(texts):
+        pass
+    assert max(map(len, [*encoder._young, *encoder._old])) <= 64
+    assert 0 < len(encoder._young) + len(encoder._old) < 13_000
+
+
 def test_token_counts(spark):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = sorted(map(tuple, count_tokens(with_clashes(spark)).collect()), key=str)

@@ -1,8 +1,8 @@
 """Whole-text encoding with a public tokenizer, one library call for each batch of unseen pieces.
 
 A text is cut where no token of the tokenizer can span: the pieces' ids, joined,
-are the ids of the text. Each piece is encoded once and remembered (the memory
-has a fixed number of entries), so a corpus costs about as much as its
+are the ids of the text. Each piece is encoded once and remembered while it is
+used (the memory is bounded in bytes), so a corpus costs about as much as its
 vocabulary. Texts for which the cuts are not proven safe go to the library whole.
 
 Why the cuts are safe. Both supported files split a text with a regular
@@ -16,6 +16,12 @@ expression before merging, and merges never leave such a split:
 "Letters" are the basic Latin ones and those of the Latin-1 and Extended-A
 blocks, for which lower-casing and normal form C act on single characters.
 Any other text is cut at blanks only, or not at all.
+
+Long texts are sliced first, in any script: neither file's expression looks
+behind, and none of its matches goes on from a character that is no blank into a
+blank, or from a letter into punctuation. So between these, a new match begins,
+and what lies before and after is encoded alike apart. Only a text without such
+a place (some 65,000 letters on end) goes whole.
 """
 
 from __future__ import annotations
@@ -40,9 +46,17 @@ _LOWER_WORD = re.compile(f"[{_LOWER}]+").fullmatch
 #: Cuts at blanks, for other texts: a piece is a run of blanks and what follows up to the next.
 _BLANK_PIECES = re.compile("[ \\t\\n\\r]*[^ \\t\\n\\r]+|[ \\t\\n\\r]+").findall
 _OTHER_BLANK = re.compile("[^\\S \\t\\n\\r]|[\\x1c-\\x1f]").search
+_BLANK = re.compile("\\s").search
 _CALL = 2000
-#: A cut of a long text: between a Latin letter and a space that another one follows.
-_CUT = re.compile("[A-Za-z](?= [A-Za-z])").search
+#: Letters of scripts that need not have blanks (and others), and the punctuation that follows them.
+_RUNNING = "A-Za-z\u0400-\u0481\u048a-\u04ff\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3"
+_STOPS = ".,;:!?\u3001\u3002\uff01\uff0c\uff0e\uff1a\uff1b\uff1f"
+#: A cut of a long text: between a character that is no blank and a blank, or such a letter and such a sign.
+_CUT = re.compile(f"[^\\s\x1c-\x1f](?=[ \\t\\n\\r])|[{_RUNNING}](?=[{_STOPS}])").search
+#: Longer pieces are not remembered.
+_LONGEST = 64
+#: Bytes that an entry of the memory takes beside its key and ids, about.
+_ENTRY = 200
 
 
 def slices(text: str, most: int) -> Iterator[str]:
@@ -60,16 +74,20 @@ def slices(text: str, most: int) -> Iterator[str]:
 class PieceEncoder:
     """Ids of whole texts under one ``tokenizers`` file, as the library gives them without added special tokens.
 
-    remembered: entries kept at most; when full, memory starts anew.
+    memory_bytes: about what remembered pieces may take. They are held in two
+    halves: what is used moves to the young one, and when that is full, it
+    becomes the old one and the former old one goes.
     """
 
-    def __init__(self, path: str, remembered: int = 100_000, batch_bytes: int = 1 << 20, slice_chars: int = 1 << 16):
+    def __init__(self, path: str, memory_bytes: int = 48 << 20, batch_bytes: int = 1 << 20, slice_chars: int = 1 << 16):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        self._remembered, self._batch_bytes, self._slice_chars = remembered, batch_bytes, slice_chars
-        self._memory: dict[str, bytes] = {}
+        self._half, self._batch_bytes, self._slice_chars = memory_bytes // 2, batch_bytes, slice_chars
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._held = 0
         self._kind = self._kind_of(path)
         if self._kind == "byte":
             self._is_word = _SPACED_WORD
@@ -102,7 +120,7 @@ class PieceEncoder:
         at = text.index('"model"')
         head, model = json.loads(text[:at].rstrip(", \n") + "}"), text[at : text.index('"vocab"', at)]
         before = head.get("pre_tokenizer") or {}
-        if any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in head.get("added_tokens", [])) or not re.search('"type": ?"BPE"', model) or head.get("post_processor"):
+        if any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or _CUT(x["content"]) or _BLANK(x["content"]) for x in head.get("added_tokens", [])) or not re.search('"type": ?"BPE"', model) or head.get("post_processor"):
             return "whole"
         if before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not head.get("normalizer"):
             return "byte"
@@ -121,14 +139,21 @@ class PieceEncoder:
             return _BYTE_PIECES(text)
         return [text] if _OTHER_BLANK(text) else _BLANK_PIECES(text)
 
-    def _learn(self, pieces: Iterable[str]) -> None:
-        met = dict.fromkeys(pieces)
-        new = [x for x in met if x not in self._memory]
-        if not new:
-            return
-        if len(self._memory) + len(new) > self._remembered:
-            self._memory.clear()
-            new = list(met)
+    def _learn(self, pieces: Iterable[str]) -> list[str]:
+        """Have all pieces in the young half; the result names those to be forgotten after use."""
+        if self._held > self._half:
+            self._old, self._young, self._held = self._young, {}, 0
+        young, old = self._young, self._old
+        new, long = [], []
+        for x in set(pieces).difference(young):
+            known = old.get(x)
+            if known is None:
+                new.append(x)
+                if len(x) > _LONGEST:
+                    long.append(x)
+            else:
+                young[x] = known
+                self._held += _ENTRY + len(x)
         # Words alone are a split each, so they can be encoded as one text; an edge token begins (ends) each.
         together = [x for x in new if self._is_word(x)] if self._kind != "whole" else []
         alone = [x for x in new if not self._is_word(x)] if together else new
@@ -140,13 +165,16 @@ class PieceEncoder:
             edges = np.flatnonzero(self._edge[ids])
             cuts = [*edges.tolist(), len(ids)] if self._kind == "byte" else [0, *(edges + 1).tolist()]
             if len(cuts) != len(part) + 1 or cuts[0] != 0 or cuts[-1] != len(ids):
-                raise AssertionError("an edge token is missing: this vocabulary can't be read by words")
+                alone += part  # a vocabulary without some edge token
+                continue
             data = ids.tobytes()
-            self._memory.update(zip(part, [data[4 * x : 4 * y] for x, y in pairwise(cuts)], strict=True))
+            young.update(zip(part, [data[4 * x : 4 * y] for x, y in pairwise(cuts)], strict=True))
         for at in range(0, len(alone), _CALL):
             part = alone[at : at + _CALL]
             for x, got in zip(part, self._library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self._memory[x] = np.array(got.ids, "<u4").tobytes()
+                young[x] = np.array(got.ids, "<u4").tobytes()
+        self._held += sum(_ENTRY + len(x) for x in new if len(x) <= _LONGEST)
+        return long
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit numbers. Texts go to the library in batches of about equal bytes."""
@@ -155,7 +183,7 @@ class PieceEncoder:
         begun: list[bytes] = []  # encoded parts of the text at hand
         held = 0
         for text in texts:
-            parts = list(slices(text or "", self._slice_chars))
+            parts = list(slices(text or "", self._slice_chars)) if self._kind != "whole" else [text or ""]
             for k, part in enumerate(parts):
                 waiting.append(self._pieces(part))
                 ends.append(k + 1 == len(parts))
@@ -166,12 +194,14 @@ class PieceEncoder:
         yield from self._flush(waiting, ends, begun)
 
     def _flush(self, waiting: list[list[str]], ends: list[bool], begun: list[bytes]) -> Iterator[bytes]:
-        self._learn(chain.from_iterable(waiting))
-        get = self._memory.__getitem__
+        long = self._learn(chain.from_iterable(waiting))
+        get = self._young.__getitem__
         for pieces, last in zip(waiting, ends, strict=True):
             begun.append(b"".join(map(get, pieces)))
             if last:
                 yield b"".join(begun)
                 begun.clear()
+        for x in long:
+            del self._young[x]
         waiting.clear()
         ends.clear()
