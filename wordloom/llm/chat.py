@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import bounded_batches
+from wordloom.llm.common import sliced, sparing
 
 ESCAPE = "\u241b"
 MARKERS = ("<|turn|>", "<|text|>", "<|end|>")
@@ -87,11 +87,10 @@ def format_turns(turns: DataFrame, vocabulary: str | None = None, trained_role:
     conversation. An empty table gives an empty result. Other columns are not read.
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    bounded_batches(turns.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template = Template(path)
-        for batch in batches:
+        for batch in sliced(batches):
             made = [template.ids(role, text) for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             trained = [x.as_py() == trained_role for x in batch.column(2)]
             columns = [
@@ -104,22 +103,27 @@ def format_turns(turns: DataFrame, vocabulary: str | None = None, trained_role:
 
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     kind = rows.schema["conv_id"].dataType.simpleString()
-    encoded = rows.mapInArrow(encode, f"conv_id {kind}, turn long, role string, text string, ids binary, n long, a long, b long")
+    encoded = rows.mapInArrow(sparing(encode), f"conv_id {kind}, turn long, role string, text string, ids binary, n long, a long, b long")
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return encoded.select("conv_id", F.row_number().over(order).alias("position"), "ids", before.alias("first"), "a", "b").select("conv_id", "position", "ids", "first", (F.col("first") + F.col("a")).alias("loss_start"), (F.col("first") + F.col("b")).alias("loss_end"))
 
 
 def digest(formatted: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """What the output of format_turns says, a row for each conversation; turns stream by, one at a time."""
+    """What the output of format_turns says, a row for each conversation; turns stream by, one at a time.
+
+    The turns may come in any order and from any table: the window below deals
+    and sorts them, which costs nothing where format_turns has just done so. An
+    empty table gives an empty result; null conv_ids are one conversation.
+    """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    bounded_batches(formatted.sparkSession)
     kind = formatted.schema["conv_id"].dataType.simpleString()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template = Template(path)
         key, open_, done = None, False, []
+        types: list[pa.DataType] = []
         n = loss_chars = chars = 0
         turns = loss = None
 
@@ -131,7 +135,7 @@ def digest(formatted: DataFrame, vocabulary: str | None = None) -> DataFrame:
             types = [part.schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             for k in range(part.num_rows):
                 conv = part.column(0)[k].as_py()
-                if not open_ or conv != key:
+                if part.column(6)[k].as_py() == 1:
                     if open_:
                         done.append((key, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
                     key, open_ = conv, True
@@ -154,5 +158,6 @@ def digest(formatted: DataFrame, vocabulary: str | None = None) -> DataFrame:
             done.append((key, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
             yield batch()
 
-    ordered = formatted.sortWithinPartitions("conv_id", "position")
-    return ordered.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("position"))
+    ordered = formatted.select("conv_id", "position", "ids", "first", "loss_start", "loss_end", place.alias("place"))
+    return ordered.mapInArrow(sparing(run), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -31,10 +31,11 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from itertools import chain, pairwise
-from typing import ClassVar
 
 import numpy as np
 
+from wordloom.llm.common import held
+
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ſ"
 _LOWER = "a-zß-öø-ÿĀ-įı-ſ"
 #: Letters and signs for which the pieces are proven safe. U+0130 is left out: its lower case has two characters.
@@ -96,16 +97,10 @@ class PieceEncoder:
             self._is_word = _LOWER_WORD
             self._edge = self._table(i for token, i in self._library.get_vocab(False).items() if token.endswith("</w>"))
 
-    _shared: ClassVar[dict[tuple, PieceEncoder]] = {}
-
     @classmethod
     def shared(cls, path: str, **options: int) -> PieceEncoder:
         """This Python worker's encoder for the file, with what it remembers from earlier tasks."""
-        key = (path, *sorted(options.items()))
-        if key not in cls._shared:
-            cls._shared.clear()
-            cls._shared[key] = cls(path, **options)
-        return cls._shared[key]
+        return held((path, *sorted(options.items())), lambda: cls(path, **options))
 
     def _table(self, ids: Iterable[int]) -> np.ndarray:
         table = np.zeros(self._library.get_vocab_size() + 1, bool)

@@ -32,13 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from wordloom.llm.common import bounded_batches, release, settle
+from wordloom.llm.common import discard, freeing_shuffles, settle, sparing, unused
 from wordloom.llm.components import connected_components
 
 #: Ids are broadcast up to this number, else joined by shuffle.
 BROADCAST_IDS = 500_000
-#: Parts of the range of hashes whose sizes the suffix filter compares.
-BINS = 16
+#: Parts of the range of hashes by which the suffix filter compares what is left of two sets.
+BINS = 8
 _ROWS = 100_000
 
 
@@ -98,16 +98,19 @@ def _each(docs: DataFrame, emit: Callable[[object, np.ndarray], list[tuple]], ty
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        held = 0
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows.append(emit(key, shingle_set(text.as_py(), n)))
-                if len(rows) >= 2000:
+                found = shingle_set(text.as_py(), n)
+                rows.append(emit(key, found))
+                held += len(found)
+                if len(rows) >= 2000 or held >= 10 * _ROWS:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-                    rows = []
+                    rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(sparing(run), schema)
 
 
 def _sizes(docs: DataFrame, join: Join) -> DataFrame:
@@ -141,17 +144,16 @@ def _prefixes(docs: DataFrame, join: Join) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], names=["h", "id"])
 
-    return docs.mapInArrow(run, "h long, id long")
+    return docs.mapInArrow(sparing(run), "h long, id long")
 
 
 def _sets(docs: DataFrame, join: Join) -> DataFrame:
-    """(id, n, set, bins): bins has the set's size in each part of the range of hashes."""
+    """(id, n, set)."""
 
     def emit(key, s):
-        bins = np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=BINS)
-        return key, len(s), s.view(np.int64), bins
+        return key, len(s), s.view(np.int64)
 
-    return _each(docs, emit, [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())], ["id", "n", "set", "bins"], "id long, n long, set array<long>, bins array<long>", join.n)
+    return _each(docs, emit, [pa.int64(), pa.int64(), pa.list_(pa.int64())], ["id", "n", "set"], "id long, n long, set array<long>", join.n)
 
 
 def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -173,37 +175,46 @@ def verify(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
 
 
 def rare_prefixes(sets: DataFrame, join: Join) -> DataFrame:
-    """(id, h, n, pos, pivot): the shared n-grams of each set's rare-first prefix; pos: place in the set's order from 1; pivot: the smallest id with the n-gram."""
+    """(id, h, n, pos, pivot, suffix): the shared n-grams of each set's rare-first prefix.
+
+    pos: place in the set's order from 1; pivot: the smallest id with the n-gram;
+    suffix: how many shared n-grams follow in the set's order, by the part of the
+    range of hashes in which they are (those that no other set has come first,
+    and can't be common to two).
+    """
     grams = sets.select("id", "n", F.explode("set").alias("h"))
     known = grams.groupBy("h").agg(F.count("*").alias("df"), F.min("id").alias("pivot")).filter("df > 1")
     shared = grams.join(known, "h")
     order = Window.partitionBy("id").orderBy("df", "h")
-    ranked = shared.withColumn("pos", F.row_number().over(order) + F.col("n") - F.count("*").over(Window.partitionBy("id")))
+    whole, so_far = Window.partitionBy("id"), order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bits = (BINS - 1).bit_length()
+    here = [F.count_if(F.shiftrightunsigned("h", 64 - bits) == b) for b in range(BINS)]
+    left = F.array(*[(x.over(whole) - x.over(so_far)).cast("int") for x in here])
+    ranked = shared.withColumn("pos", F.row_number().over(order) + F.col("n") - F.count("*").over(whole)).withColumn("suffix", left)
     least = F.expr(f"({join.numerator} * n + {join.denominator - 1}) DIV {join.denominator}")
-    return ranked.filter(F.col("pos") <= F.col("n") - least + 1).select("id", "h", "n", "pos", "pivot")
+    return ranked.filter(F.col("pos") <= F.col("n") - least + 1).select("id", "h", "n", "pos", "pivot", "suffix")
 
 
-def _candidates(prefixes: DataFrame, classes: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+def _candidates(prefixes: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     """Pairs (a, b) in different classes that share a prefix n-gram and pass the filters, each once."""
     known = prefixes.join(classes.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component", "pivot")
     by_class = known.groupBy("h", "class").agg(F.count("*").alias("k"))
     lists = by_class.groupBy("h").agg(F.count("*").alias("classes"), F.max_by("class", F.struct("k", "class")).alias("largest")).filter("classes > 1").drop("classes")
     mixed = known.join(lists, "h")
-    left = mixed.filter("class <> largest").select("h", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("class").alias("cx"))
-    right = mixed.select("h", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("class").alias("cy"), "largest")
+    left = mixed.filter("class <> largest").select("h", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("suffix").alias("sx"), F.col("class").alias("cx"))
+    right = mixed.select("h", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("suffix").alias("sy"), F.col("class").alias("cy"), "largest")
     once = (F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y"))
     similar = F.least("nx", "ny") * join.denominator >= F.greatest("nx", "ny") * join.numerator
     # Before a pair's first common n-gram nothing is common, so it leaves room for the overlap in both orders; one such
     # n-gram is in the lists of both, and the join asks it of every row.
     need = F.expr(f"({join.numerator} * (nx + ny) + {join.numerator + join.denominator - 1}) DIV {join.numerator + join.denominator}")
     early = (F.col("nx") - F.col("px") + 1 >= need) & (F.col("ny") - F.col("py") + 1 >= need)
-    met = left.join(right, "h").filter((F.col("cx") != F.col("cy")) & once & similar & early)
-    pairs = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.first(F.col("nx") + F.col("ny")).alias("both"))
-    need = F.expr(f"({join.numerator} * both + {join.numerator + join.denominator - 1}) DIV {join.numerator + join.denominator}")
-    bins = sets.select("id", "bins")
-    pairs = pairs.join(bins.select(F.col("id").alias("a"), F.col("bins").alias("ba")), "a").join(bins.select(F.col("id").alias("b"), F.col("bins").alias("bb")), "b")
-    room = F.expr("aggregate(zip_with(ba, bb, (p, q) -> least(p, q)), 0L, (s, x) -> s + x)")
-    return pairs.filter(room >= need).select("a", "b")
+    # Likewise for the suffixes: beside that n-gram only what follows in both can be common, in each part of the hashes.
+    room = F.lit(1)
+    for b in range(BINS):
+        room = room + F.least(F.get("sx", F.lit(b)), F.get("sy", F.lit(b)))
+    met = left.join(right, "h").filter((F.col("cx") != F.col("cy")) & once & similar & early & (room >= need))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _with_a_chance(docs: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
@@ -224,20 +235,20 @@ def _first_links(rare: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
 def _links(docs: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
     """Links (a, b) between documents of different sets that give their classes; sizes: (id, n) of docs.
 
-    Each step is settled before the next begins, and its shuffle files go then:
-    the disk holds one step's at a time.
+    Each step is settled before the next begins, and what only it has read is
+    deleted then: the disk holds one step's files at a time.
     """
-    spark = docs.sparkSession
     chance = _with_a_chance(docs, sizes, join)
-    release(spark)
     sets = settle(_sets(only(docs, chance, "left_semi"), join))
+    discard(chance)
     rare = settle(rare_prefixes(sets, join))
-    release(spark)
-    classes = settle(connected_components(_first_links(rare, sets, join)))
-    release(spark)
-    pairs = settle(_candidates(rare, classes, sets, join))
+    first = _first_links(rare, sets, join)
+    classes = settle(connected_components(first))
+    discard(first)
+    pairs = settle(_candidates(rare, classes, join))
+    discard(rare)
     rest = settle(verify(pairs, sets, join))
-    release(spark)
+    discard(pairs, sets)
     return classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)
 
 
@@ -250,7 +261,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", joi
     linked with nothing: such a document is its own component. An empty table
     gives an empty result. Other columns are not read.
     """
-    bounded_batches(docs.sparkSession)
+    with freeing_shuffles(docs.sparkSession):
+        return _classes(docs, id_col, text_col, join)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, join: Join) -> DataFrame:
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     named, nameless = given.filter("id IS NOT NULL"), given.filter("id IS NULL")
     repeats = not named.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").isEmpty()
@@ -262,8 +277,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", joi
     stands = sizes.filter("n > 0").groupBy("f", "g").agg(F.min("id").alias("stand"), F.count("*").alias("k")).filter("k > 1").drop("k")
     stands = settle(stands.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     members = settle(sizes.join(stands, ["f", "g"], "left").select("id", "n", F.coalesce("stand", "id").alias("stand")))
+    discard(sizes, stands)
     others = settle(members.filter("id <> stand OR n = 0").select("id"))
     links = _links(only(named, others, "left_anti"), members.select("id", "n"), join)
+    discard(others)
     found = connected_components(links)
     result = members.join(found.withColumnRenamed("node", "stand"), "stand", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "stand").alias("component_id"))
     if repeats:
@@ -273,17 +290,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", joi
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
-    """docs without those that are linked, over any number of links, with a smaller id; docs' columns.
+    """docs without those that are linked, over any number of links, with a smaller id; docs' columns, whatever their names.
 
-    Of rows that repeat an id one stays; rows without an id stay.
+    Of rows that repeat an id one stays, that with the smallest text (null last);
+    rows without an id stay, and so does a null or empty text, which is linked
+    with nothing. An empty table gives an empty result.
     """
-    found = settle(classes(docs.select(id_col, text_col), id_col, text_col, join))
-    out = settle(found.filter(f"`{id_col}` <> component_id").select(F.col(id_col).alias("_out")).distinct())
+    out_col, place = unused("_out", docs.columns), unused("_place", docs.columns)
+    key = F.col(f"`{id_col}`")
+    found = settle(classes(docs.select(key.alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text", join))
+    out = settle(found.filter("id <> component_id").select(F.col("id").alias(out_col)).distinct())
     small = out.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(out) if small else out, F.col(id_col).cast("long") == F.col("_out"), "left_anti")
-    named = found.filter(f"`{id_col}` IS NOT NULL")
-    if named.groupBy(id_col).agg(F.count("*").alias("k")).filter("k > 1").isEmpty():
+    kept = docs.join(F.broadcast(out) if small else out, key.cast("long") == F.col(out_col), "left_anti")
+    repeats = not found.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").isEmpty()
+    discard(found)
+    if not repeats:
         return kept
-    first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
-    unique = kept.filter(F.col(id_col).isNotNull()).withColumn("_place", F.row_number().over(first)).filter("_place = 1").drop("_place")
-    return unique.unionByName(kept.filter(F.col(id_col).isNull()))
+    first = Window.partitionBy(key).orderBy(F.col(f"`{text_col}`").asc_nulls_last())
+    unique = kept.filter(key.isNotNull()).withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).drop(place)
+    return unique.unionByName(kept.filter(key.isNull()))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import bounded_batches
+from wordloom.llm.common import sliced, sparing
 
 
 UNKNOWN = "und"
@@ -25,13 +25,20 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """sample_per_language: expected number of training documents of each language (all, where there are fewer); sample_windows: of each document."""
+    """The bounds of the training sample, and the network's shape.
+
+    sample_per_language: expected number of training documents of each language
+    (all, where there are fewer); sample_documents: of all languages, which with
+    many of them lowers that of each; sample_windows: of each document;
+    most_languages: the most frequent ones are learned, others never predicted.
+    """
 
     window: int = 256
     embedding: int = 8
     widths: tuple[int, ...] = (2, 3, 4, 5)
     filters: int = 16
     sample_per_language: int = 600
+    sample_documents: int = 20_000
     sample_windows: int = 6
     most_languages: int = 1000
     epochs: int = 8
@@ -192,26 +199,24 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     The sample is drawn by a hash of id and text at a rate that gives each
     language ``sample_per_language`` documents on average, and of a document up
     to ``sample_windows`` windows at even distances. The driver gets these
-    windows only. More than ``most_languages`` labels are an error.
+    windows only. Of more than ``most_languages`` labels, the most frequent ones
+    (of equal ones the first) are learned.
     """
     s = settings
-    bounded_batches(docs.sparkSession)
     fit = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).filter(~held_out("id") & F.col("label").isNotNull() & F.col("text").rlike("\\p{L}"))
-    counts = {r["label"]: r["n"] for r in fit.groupBy("label").agg(F.count("*").alias("n")).limit(s.most_languages + 1).collect()}
-    if len(counts) > s.most_languages:
-        raise ValueError(f"{label_col} has over {s.most_languages} values")
+    counts = {r["label"]: r["n"] for r in fit.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(s.most_languages).collect()}
     languages = sorted(counts)
     net = ByteConvNet(s, languages)
     if len(languages) < 2:
         return net
-    per = max(1, min(s.sample_per_language, 60_000 // len(languages)))
+    per = max(1, min(s.sample_per_language, s.sample_documents // len(languages)))
     draw = F.pmod(F.xxhash64("id", F.col("text")), F.lit(1 << 30))
     rate = F.lit(0)
     for k, n in counts.items():
         rate = F.when(F.col("label") == k, F.lit(int(min(1.0, per / n) * (1 << 30)))).otherwise(rate)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             label, data = [], []
             for k, text in enumerate(batch.column(1)):
                 value = text.as_py()
@@ -221,7 +226,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
                     data.append(windows(value[at : at + s.window], s.window)[0].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in label], pa.string()), pa.array(data, pa.binary())], names=["label", "data"])
 
-    rows = fit.filter(draw < rate).select("label", "text").mapInArrow(take, "label string, data binary").collect()
+    rows = fit.filter(draw < rate).select("label", "text").mapInArrow(sparing(take), "label string, data binary").collect()
     rows.sort(key=lambda r: (r["label"], bytes(r["data"])))
     if rows:
         at = {k: i for i, k in enumerate(languages)}
@@ -231,20 +236,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
 
 def predict(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, lang_pred, score), a row for each row of docs; only texts go to the network."""
-    bounded_batches(docs.sparkSession)
     weights, languages, settings = net.weights, net.languages, net.settings
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = ByteConvNet(settings, languages, weights)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                got = own.predict(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=["id", "lang_pred", "score"])
+        for part in sliced(batches):
+            got = own.predict(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=["id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(sparing(run), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", settings: Settings = Settings()) -> DataFrame:

@@ -10,7 +10,7 @@ shards differ as a shuffle's would while quotas hold exactly. Each shard takes
 its own, disjoint, permuted blocks and shuffles them locally.
 
 The driver holds sums by source and by block: their number is bounded by
-``blocks`` and ``most_sources``, whatever the number of documents.
+``most_blocks`` and ``most_sources``, whatever the number of documents.
 """
 
 from __future__ import annotations
@@ -23,19 +23,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from wordloom.llm.common import BLANKS, settle
+from wordloom.llm.common import BLANKS, discard, settle
 
 
 @dataclass(frozen=True)
 class Recipe:
-    """weights repeat over the sources in their order; share: words of the mix for each word of the input; passes: most times a source is used."""
+    """What is mixed, and in which portions.
+
+    weights repeat over the sources in their order; share: words of the mix for
+    each word of the input; passes: most times a source is used. A block, a shard
+    and a partition have about so many words, or more where there would be over
+    most_blocks blocks or most_shards shards; every source has a block.
+    """
 
     weights: tuple[float, ...] = (5, 2, 1)
     share: float = 1.5
     passes: int = 2
-    blocks: int = 16_384
-    shard_words: int = 50_000_000
-    most_shards: int = 10_000
+    block_words: int = 10_000
+    most_blocks: int = 131_072
+    shard_words: int = 100_000
+    most_shards: int = 65_536
+    partition_words: int = 4_000_000
     most_sources: int = 100_000
     seed: int = 11
 
@@ -91,10 +99,11 @@ class Mix:
     sources: DataFrame  # source, number, blocks, source_size, target
     slots: DataFrame  # number, block, slots: array of (pass, shard, cut); cut: words to take of the block, null for all
     shards: int
+    words: int  # of the whole mix, about
 
     def apply(self, rows: DataFrame, hash_col: str, size_col: str, source_col: str) -> DataFrame:
         """rows with source_size, target, slots (pass, shard) and taken."""
-        # Both tables are small by construction: most_sources rows, and passes * (blocks + most_sources) rows.
+        # Both tables are small by construction: most_sources rows, and passes * (most_blocks + most_sources) rows.
         rows = rows.join(F.broadcast(self.sources), rows[source_col].eqNullSafe(F.col("_source")), "left").drop("_source")
         uniform = F.shiftrightunsigned(hash_col, 11) / F.lit(float(1 << 53))
         rows = rows.withColumn("_block", F.floor(uniform * F.col("_blocks")).cast("int"))
@@ -120,7 +129,7 @@ def plan_mix(sized: DataFrame, hash_col: str, size_col: str, source_col: str, re
     named = sorted(((r[0], int(r["n"] or 0)) for r in sums), key=lambda x: (x[0] is None, x[0] or ""))
     sizes = [n for _, n in named]
     aims = targets(sizes, recipe)
-    per_block = max(1, -(-sum(sizes) // recipe.blocks))
+    per_block = max(1, recipe.block_words, -(-sum(sizes) // recipe.most_blocks))
     blocks = [max(1, -(-n // per_block)) for n in sizes]
     schema = T.StructType().add("_source", sized.schema[source_col].dataType).add("_number", T.IntegerType()).add("_blocks", T.IntegerType()).add("source_size", T.LongType()).add("target", T.DoubleType())
     sources = spark.createDataFrame([(s, k, blocks[k], sizes[k], aims[k]) for k, (s, _) in enumerate(named)], schema)
@@ -162,7 +171,7 @@ def plan_mix(sized: DataFrame, hash_col: str, size_col: str, source_col: str, re
             at[k] += n
     schema = "_number int, _block int, _slots array<struct<pass:int,shard:int,cut:double>>"
     table = spark.createDataFrame([(k, b, x) for (k, b), x in slots.items()], schema)
-    return Mix(recipe, sources, table, shards)
+    return Mix(recipe, sources, table, shards, int(sum(aims)))
 
 
 def row_hash(id_col: str, text_col: str, seed: int) -> Column:
@@ -184,15 +193,21 @@ def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", recipe: Recipe = Recipe()) -> DataFrame:
-    """The mix itself: rows of docs, each as often as it is taken, by shard and shuffled within it; docs' columns.
+    """The mix itself: rows of docs, each as often as it is taken, by shard and shuffled within it; docs' columns, whatever their names.
 
     The order within a shard is that of a hash of the row and its pass. Texts
-    are moved once, to their shards.
+    are moved once, to the partition of their shard. A null, empty or blank text
+    has no words: its row comes along with its block, but counts nothing and may
+    be left out. A null source is a source of its own, the last; repeated rows
+    are taken each. An empty table gives an empty result.
     """
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), row_hash(id_col, text_col, recipe.seed).alias("_hash"), word_count(F.col(text_col)).alias("_size"), F.col(source_col).alias("_of"))
     sized = settle(rows.select("_hash", "_size", "_of"))
     plan = plan_mix(sized, "_hash", "_size", "_of", recipe)
+    discard(sized)
     taken = plan.apply(rows, "_hash", "_size", "_of").select("_row", "_hash", F.explode("slots").alias("_slot"))
-    dealt = taken.repartition(plan.shards, "_slot.shard") if plan.shards > 1 else taken.repartition(max(1, docs.rdd.getNumPartitions()), "_hash")
+    # Partition p has the shards from p * shards / partitions on.
+    partitions = max(1, min(plan.shards, -(-plan.words // recipe.partition_words)))
+    dealt = taken.repartitionById(partitions, (F.col("_slot.shard") * partitions / plan.shards).cast("int"))
     return dealt.sortWithinPartitions("_slot.shard", F.xxhash64(F.lit(recipe.seed), "_hash", "_slot.pass")).select(*[F.col(f"_row.`{c}`").alias(c) for c in names])

@@ -12,6 +12,7 @@ input, and goes best fit into mixed sequences.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -21,13 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import bounded_batches, settle
+from wordloom.llm.common import shared_folder, sparing
 from wordloom.llm.encoding import PieceEncoder
 
 CAPACITY = 4096
 #: Lengths below CAPACITY // CLASSES are classes of their own.
 CLASSES = 64
 _ROWS, _BYTES = 1024, 2 << 20
+_ROW_GROUP = 8 << 20
 
 
 def piece_lengths(n: int, capacity: int = CAPACITY, classes: int = CLASSES) -> list[int]:
@@ -98,7 +100,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     Other columns are not read. Needs a checkpoint folder that executors share.
     """
     path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
-    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     fields = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     schema = f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -141,19 +142,28 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
             if out:
                 yield batch()
 
-        return fill
+        return sparing(fill)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(docs.schema[id_col].dataType)
-    rows = settle(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(level(0, False), schema))
-    done, number = rows.filter("sequence_id IS NOT NULL"), 0
-    workers = rows.rdd.getNumPartitions()
+    spark = docs.sparkSession
+    folder = f"{shared_folder(spark)}/packing-{uuid.uuid4().hex}"
+
+    def written(rows: DataFrame, number: int) -> DataFrame:
+        """rows in the shared folder. Open pieces come last in each file, so a filter on them skips nearly all its row groups."""
+        rows.write.option("parquet.block.size", _ROW_GROUP).parquet(f"{folder}/{number}")
+        return spark.read.schema(schema).parquet(f"{folder}/{number}")
+
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    workers, number = given.rdd.getNumPartitions(), 0
+    rows = written(given.mapInArrow(level(0, False), schema), 0)
+    done = rows.filter("sequence_id IS NOT NULL")
     while True:
         number, workers = number + 1, -(-workers // fan_in)
         last = workers <= 1
         waiting = rows.filter("sequence_id IS NULL").coalesce(max(1, workers))
-        rows = settle(waiting.mapInArrow(level(number, last), schema))
+        rows = written(waiting.mapInArrow(level(number, last), schema), number)
         done = done.unionByName(rows.filter("sequence_id IS NOT NULL"))
         if last:
             return done.withColumnRenamed("id", id_col)

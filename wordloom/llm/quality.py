@@ -29,7 +29,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import BLANK_CHARS, BLANKS, settle
+from wordloom.llm.common import BLANK_CHARS, BLANKS, discard, settle, unused
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -69,10 +69,11 @@ def features(docs: DataFrame, text_col: str = "text", stratum_col: str = "lang",
     results, in whatever case, give way to them.
     """
     names = {x.lower() for x in (*COUNTS, *GRIDS, "base_failed", "stratum")}
-    kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c.lower() not in names]
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
     text = F.coalesce(F.col(text_col), F.lit(""))
+    # In a struct, so that they can't clash with the working columns.
     rows = docs.select(
-        *kept,
+        F.struct(F.lit(0).alias(unused("_none", kept)), *[F.col(f"`{c}`") for c in kept]).alias("_kept"),
         F.col(stratum_col).alias("stratum"),
         F.array_remove(F.split(text, f"[{BLANKS}]+"), "").alias("_words"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{BLANKS}]")).alias("_lines"),
@@ -97,7 +98,7 @@ def features(docs: DataFrame, text_col: str = "text", stratum_col: str = "lang",
         return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(F.lit(0.0))
 
     return rows.select(
-        *kept,
+        *[F.col(f"_kept.`{c}`").alias(c) for c in kept],
         "stratum",
         *COUNTS,
         ((F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))).alias("base_failed"),
@@ -200,18 +201,22 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", rules: Rules = Rules(), together: bool = False) -> DataFrame:
-    """The rows of docs that the rules keep, with docs' columns. together: cutoffs by calibrate_together.
+    """The rows of docs that the rules keep, with docs' columns, whatever their names. together: cutoffs by calibrate_together.
 
     Rows are judged once; those rejected leave by id, text and stratum (the
-    latter two hashed), so that repeated ids are told apart. Few such keys are
-    broadcast and no text moves; many are joined by shuffle.
+    latter two hashed), so that repeated ids are told apart; equal rows stay or
+    leave together. A null or empty text has too few words and leaves. An empty
+    docs gives an empty result; without labels only the base rules reject. Few
+    rejected keys are broadcast and no text moves; many are joined by shuffle.
     """
     digest = lambda: F.xxhash64(text_col, stratum_col)
+    id_name, digest_name = unused("_id", docs.columns), unused("_digest", docs.columns)
     rows = docs.select(F.col(id_col).alias("_id"), digest().alias("_digest"), F.col(text_col).alias("_text"), F.col(stratum_col).alias("_stratum_of"))
     scored = settle(features(rows, "_text", "_stratum_of", rules, keep=["_id", "_digest"]))
     find = calibrate_together if together else calibrate
-    cutoffs = find(scored, labels.withColumnRenamed(id_col, "_id"), "_id", rules=rules)
-    out = settle(judge(scored, cutoffs).filter("NOT kept").select("_id", "_digest").distinct())
+    cutoffs = find(scored, labels.select(F.col(id_col).alias("_id"), "quality"), "_id", rules=rules)
+    out = settle(judge(scored, cutoffs).filter("NOT kept").select(F.col("_id").alias(id_name), F.col("_digest").alias(digest_name)).distinct())
+    discard(scored, cutoffs)
     if out.count() <= BROADCAST_REJECTED:
         out = F.broadcast(out)
-    return docs.join(out, F.col(id_col).eqNullSafe(F.col("_id")) & (digest() == F.col("_digest")), "left_anti")
+    return docs.join(out, F.col(id_col).eqNullSafe(F.col(id_name)) & (digest() == F.col(digest_name)), "left_anti")

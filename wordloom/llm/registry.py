@@ -25,7 +25,9 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """Beside the contract's columns, slots: the passes and shards in which the mix has the document."""
+    slots = F.array_join(F.transform("slots", lambda x: F.concat_ws(":", x["pass"], x["shard"])), ",")
+    return mix_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", slots.alias("slots"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,14 +12,13 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import bounded_batches
+from wordloom.llm.common import held, sliced, sparing
 
 #: Kinds in the order in which spans that start alike are listed; the first three are patterns.
 KINDS = ("assign", "access", "hex", "random")
@@ -47,13 +46,17 @@ TIME = re.compile("[0-9]{4}-?[0-9]{2}-?[0-9]{2}[Tt_-][0-9]{2}(?:-?[0-9]{2}){0,2}
 LETTERS = re.compile("[A-Za-z]+")
 
 
-@cache
 def _encoding(path: str):
-    import tiktoken
+    """This Python worker's encoding of the file."""
 
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    def read():
+        import tiktoken
+
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    return held((path, "tiktoken"), read)
 
 
 def _rests(run: re.Match, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
@@ -101,21 +104,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     ratio: characters a token up to which a run counts as random. A null or
     empty text has no spans. Spans of one kind don't overlap; those of different
     kinds may, but a random one overlaps no other. Ids may be null or repeat. An
-    empty table gives an empty result. Other columns are not read. No shuffle.
+    empty table gives an empty result. Texts of any length are read whole; other
+    columns are not read. No shuffle.
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(path)
-        for batch in batches:
+        for batch in sliced(batches):
             found = ([{"kind": k, "start": a, "end": b} for a, b, k in find(x.as_py() or "", encoding, ratio)] for x in batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, span)], names=["id", "spans"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(sparing(run), f"id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>").withColumnRenamed("id", id_col)
 
 
 def listed(spans: Column) -> Column:
@@ -126,11 +129,12 @@ def listed(spans: Column) -> Column:
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", mark: str = "[SECRET]", vocabulary: str | None = None, ratio: float = 2.0) -> DataFrame:
     """docs with every span of its texts replaced by the mark (overlapping ones by one), and chars_col set to the new length.
 
-    Rows and columns are those of docs; a null text stays null. Texts without a
-    span stay as they are, and so does their chars_col.
+    Rows and columns are those of docs, whatever their names; repeated rows stay.
+    A null text stays null and an empty one empty; an empty table gives an empty
+    result. Texts without a span stay as they are, and so does their chars_col.
+    Texts of any length are read whole. No shuffle.
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    bounded_batches(docs.sparkSession)
 
     def clean(text: str | None, encoding) -> str | None:
         if not text:
@@ -147,7 +151,7 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(path)
-        for batch in batches:
+        for batch in sliced(batches):
             old = batch.column(where).to_pylist()
             new = [clean(x, encoding) for x in old]
             columns = list(batch.columns)
@@ -157,4 +161,4 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_c
                 columns[count_at] = pa.array([len(y) if x != y else n for x, y, n in zip(old, new, counts, strict=True)], batch.schema.field(count_at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(sparing(run), docs.schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import bounded_batches
+from wordloom.llm.common import sparing
 from wordloom.llm.encoding import PieceEncoder
 
 
@@ -24,7 +24,6 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     An empty table gives an empty result. Other columns are not read.
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
-    bounded_batches(docs.sparkSession)
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.shared(path, batch_bytes=batch_bytes, slice_chars=slice_chars)
@@ -35,5 +34,5 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
-    counted = rows.mapInArrow(lengths, f"id {kind}, n_bytes long, n_tokens long")
+    counted = rows.mapInArrow(sparing(lengths), f"id {kind}, n_bytes long, n_tokens long")
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
