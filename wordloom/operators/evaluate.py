@@ -10,7 +10,8 @@ from pyspark.sql.types import DoubleType
 
 from wordloom.functions import text as tx
 from wordloom.functions.rules import apply_rules
-from wordloom.operators.convert import convert_tokens
+from wordloom.operators.convert import converted_words, text_of, words_of
+from wordloom.operators.settled import settle
 from wordloom.operators.resolve import METHODS, Options, lexicon_of
 from wordloom.operators.stems import match_stems
 from wordloom.operators.tokens import explode_tokens
@@ -79,9 +80,7 @@ def word_list(docs: DataFrame, key: str, text: Column) -> DataFrame:
 
 def aligned(pairs: DataFrame, key: str, source: str, expected: str, options: Options = Options()) -> DataFrame:
     """(key, k, source, out, expected, method, rule): converted words beside those expected, of pairs with as many words."""
-    converted = convert_tokens(pairs, key, F.col(source), options).filter("kind = 'word'")
-    place = F.row_number().over(Window.partitionBy(key).orderBy("i")) - 1
-    got = converted.select(key, place.alias("k"), F.col("token").alias("source"), "out", "method", "rule")
+    got = words_of(converted_words(pairs, key, F.col(source), options), key)
     want = word_list(pairs, key, F.col(expected)).withColumnRenamed("word", "expected")
     sizes = got.groupBy(key).agg(F.count("*").alias("n")).join(want.groupBy(key).agg(F.count("*").alias("m")), key).filter("n = m").select(key)
     return got.join(want, [key, "k"]).join(sizes, key, "left_semi")
@@ -101,12 +100,13 @@ def per_rule(words: DataFrame) -> DataFrame:
     return sums.withColumn("precision", ratio(F.col("correct"), F.col("fired")))
 
 
-def per_method(tokens: DataFrame) -> DataFrame:
-    """(method, n, share) over word tokens; every method has a row."""
-    every = tokens.sparkSession.createDataFrame([(m,) for m in METHODS], "method string")
-    counts = tokens.filter("kind = 'word'").groupBy("method").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    return every.join(counts, "method", "left").select("method", F.coalesce("n", F.lit(0)).alias("n")).withColumn("share", ratio(F.col("n"), total))
+def per_method(words: DataFrame) -> DataFrame:
+    """(method, n, share) over converted words (a column method); every method has a row."""
+    every = words.sparkSession.createDataFrame([(m,) for m in METHODS], "method string")
+    counts = words.groupBy("method").agg(F.count("*").alias("n"))
+    both = every.join(F.broadcast(counts), "method", "left").select("method", F.coalesce("n", F.lit(0)).alias("n"))
+    total = both.agg(F.sum("n").alias("total"))
+    return both.join(F.broadcast(total)).select("method", "n", ratio(F.col("n"), F.col("total")).alias("share"))
 
 
 def recall(words: DataFrame) -> DataFrame:
@@ -136,17 +136,18 @@ def word_frequencies(docs: DataFrame, key: str, text: Column, kinds: tuple[str,
     return tokens.filter(kind_of(F.col("token")).isin(*kinds) & (F.length("token") >= least_chars)).groupBy(F.lower("token").alias("word")).agg(F.count("*").alias("n"))
 
 
+def round_trip_words(docs: DataFrame, key: str, text: Column, there: Options, back: Options) -> DataFrame:
+    """(key, k, source, there, back, failed): each word beside what it became and what that became; all of a text fail if its number of words changes."""
+    first = settle(converted_words(docs, key, text, there).select(key, text_of().alias("_there"), F.transform("words", lambda x: x["token"]).alias("_a"), F.transform("words", lambda x: x["out"]).alias("_b")))
+    again = converted_words(first, key, F.col("_there"), back).select(key, F.transform("words", lambda x: x["out"]).alias("_c"))
+    both = first.select(key, "_a", "_b").join(again, key).withColumn("_even", F.size("_a") == F.size("_c"))
+    rows = both.select(key, "_even", F.posexplode(F.zip_with(F.arrays_zip("_a", "_b"), "_c", lambda ab, c: F.struct(ab["_a"].alias("source"), ab["_b"].alias("there"), c.alias("back")))).alias("k", "x"))
+    return rows.filter("x.source IS NOT NULL").select(key, "k", "x.source", "x.there", "x.back", (~F.col("_even") | ~F.col("x.source").eqNullSafe(F.col("x.back"))).alias("failed"))
+
+
 def round_trip(docs: DataFrame, key: str, text: Column, there: Options, back: Options) -> DataFrame:
-    """(words, failures, rate): words that do not come back as they were; a text whose word count changes fails whole."""
-    from wordloom.operators.convert import convert
-
-    first = convert(docs, key, text, there).select(key, F.col("text").alias("_there"))
-    again = convert(first, key, F.col("_there"), back).select(key, F.col("text").alias("_again"))
-    a = word_list(docs, key, tx.sanitize(text)).withColumnRenamed("word", "a")
-    b = word_list(again, key, F.col("_again")).withColumnRenamed("word", "b")
-    sizes = a.groupBy(key).agg(F.count("*").alias("n")).join(b.groupBy(key).agg(F.count("*").alias("m")), key, "left").select(key, (F.col("n") == F.coalesce("m", F.lit(0))).alias("even"))
-    both = a.join(b, [key, "k"], "left").join(sizes, key)
-    sums = both.agg(F.count("*").alias("words"), F.count_if(~F.col("even") | ~F.col("a").eqNullSafe(F.col("b"))).alias("failures"))
+    """(words, failures, rate): words that do not come back as they were."""
+    sums = round_trip_words(docs, key, text, there, back).agg(F.count("*").alias("words"), F.count_if("failed").alias("failures"))
     return sums.withColumn("rate", 1 - ratio(F.col("failures"), F.col("words")))
 
 

@@ -9,7 +9,8 @@ from wordloom.functions import text as tx
 from wordloom.functions.rules import TO_N, TO_T
 from wordloom.functions.translit import detect_script, transliterate_word
 from wordloom.operators import evaluate as ev
-from wordloom.operators.convert import convert, convert_tokens
+from wordloom.operators.convert import convert, converted_words, words_of
+from wordloom.operators.settled import settle
 from wordloom.operators.resolve import Options, lexicon_of, resolve
 from wordloom.operators.tokens import context_words, detokenize, explode_tokens, kind_of, tokenize, with_bridges
 from wordloom.sources import reference_tables
@@ -91,18 +92,18 @@ def cyrillic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resolved_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(word, target, method, rule, n): what becomes of every distinct word by itself."""
-    counts = cyrillic_words(spark, sf_dir).groupBy(F.col("cyrillic").alias("word")).agg(F.sum("n").alias("n"))
+    counts = settle(cyrillic_words(spark, sf_dir).groupBy(F.col("cyrillic").alias("word")).agg(F.sum("n").alias("n")))
     return resolve(counts, Options()).join(counts, "word")
 
 
 def method_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents by the way in which they were converted."""
-    return ev.per_method(convert_tokens(cyrillic_documents(spark, sf_dir), "doc_id", F.col("text"), Options()))
+    return ev.per_method(words_of(converted_words(settle(cyrillic_documents(spark, sf_dir)), "doc_id", F.col("text"), Options()), "doc_id"))
 
 
 def converted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document converted: its text, the number of changes and the words by method."""
-    found = convert(cyrillic_documents(spark, sf_dir), "doc_id", F.col("text"), Options())
+    found = convert(settle(cyrillic_documents(spark, sf_dir)), "doc_id", F.col("text"), Options())
     return found.select("doc_id", "text", F.size("changes").alias("n_changes"), F.to_json("stats").alias("stats"))
 
 
@@ -112,7 +113,7 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.round_trip(cyrillic_documents(spark, sf_dir), "doc_id", F.col("text"), Options(direction=TO_T), Options(direction=TO_N))
+    return ev.round_trip(settle(cyrillic_documents(spark, sf_dir)), "doc_id", F.col("text"), Options(direction=TO_T), Options(direction=TO_N))
 
 
 def lexicon_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
