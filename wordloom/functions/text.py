@@ -119,3 +119,46 @@ def first_syllable_stressed(word: Column, clitics: list[str]) -> Column:
     """By the spelling alone: no clitic, and one syllable or ё as the first vowel."""
     low = F.lower(word)
     return ~low.isin(clitics) & ((syllables(low) == 1) | (F.regexp_extract(low, f"[{VOWELS}]", 0) == "ё"))
+
+
+#: Constructs of wiki markup whose contents are no prose, links, and quotes that mark type; how deep templates nest.
+MARKUP = ("<ref[^>]*/>", "<ref.*?</ref>", "<!--.*?-->", "<math.*?</math>", "\\{\\{[^{}]*\\}\\}", "\\{\\|.*?\\|\\}", "\\[\\[[Ff]ile:.*?\\]\\]", "\\[\\[[Іі]мідж:.*?\\]\\]", "\\[\\[[Вв]ыява:.*?\\]\\]", "<[^>]+>")
+LINK = "\\[\\[(?:[^\\]|]*\\|)?([^\\]|]*)\\]\\]"
+NESTING = 4
+STRESS_MARKS = "+`́"
+
+
+def strip_wikitext(text: Column) -> Column:
+    """Prose of wiki markup: constructs become a blank, innermost templates first, links their text."""
+    for _ in range(NESTING):
+        for pattern in MARKUP:
+            text = F.regexp_replace(text, f"(?s){pattern}", " ")
+    return F.regexp_replace(F.regexp_replace(text, LINK, "$1"), "'{2,}", "")
+
+
+def strip_stress(text: Column) -> Column:
+    return F.translate(text, STRESS_MARKS, "")
+
+
+def stress_positions(marked: Column) -> Column:
+    """Numbers, from 1, of the vowels that a + follows."""
+    vowels = F.regexp_extract_all(F.lower(marked), F.lit(f"[{VOWELS}]\\+?"), F.lit(0))
+    return F.filter(F.transform(vowels, lambda v, k: F.when(v.endswith("+"), k + 1)), lambda k: k.isNotNull())
+
+
+def char_ngrams(word: Column, n: int) -> Column:
+    """The n-grams of the word between ^ and $; the whole if that is shorter."""
+    whole = F.concat(F.lit("^"), word, F.lit("$"))
+    return F.when(F.length(whole) < n, F.array(whole)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(whole) - n + 1, F.lit(1))), lambda i: F.substring(whole, i, F.lit(n))))
+
+
+#: What only the second orthography writes.
+MARKS_OF_T = "[зсцнл]ь[бвгдзклмнпрстфхцчш]|[зсцн]ь[еёіюя]|дзь|ґ|(?U)\\bэў|[бвгдзкмпстфхр]л[яёю]|[дтзсц]ы[кс]т"
+
+
+def sentences(text: Column, least: int, most: int) -> Column:
+    """Cyrillic sentences of so many words that only the second orthography writes so."""
+    parts = F.split(F.translate(text, "\n", " "), "(?U)(?<=[.!?…])\\s+(?=\\p{Lu})")
+    clean = F.transform(parts, lambda s: sanitize(F.trim(F.regexp_replace(s, "(?U)\\s+", " "))))
+    fits = lambda s: s.rlike("(?U)^[\\p{IsCyrillic}\\s\\p{IsPunctuation}\\d«»—–-]+$") & s.rlike("\\p{IsCyrillic}{2,}") & F.size(F.split(s, " ")).between(least, most) & F.lower(s).rlike(MARKS_OF_T)
+    return F.filter(clean, fits)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from graphlib import CycleError, TopologicalSorter
 from pathlib import Path
 
 from pyspark.sql import Column
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.rules import TO_N, TO_T
 from wordloom.functions.text import APOSTROPHES, SOFT_VOWELS, VOWELS, let, recase
-from wordloom.operators.tokens import kind_of, tokenize
+from wordloom.operators.tokens import tokenize
 from wordloom.sources.reference_tables import FOLDER, Mapping, scheme
 
 #: The scheme of each script, the orthography with which it goes, and letters that only one of them has.
@@ -40,6 +41,13 @@ def _holds(condition: str, before: Column, after: Column) -> Column:
 def transliterate_word(word: Column, table: tuple[Mapping, ...]) -> Column:
     """struct(out, unresolved) of a lower-case word: at each place the longest source whose condition holds, of equal ones the first."""
     ordered = sorted(table, key=lambda m: -len(m.source))
+    chain = replacement_order(table)
+    if chain is not None:
+        out = word
+        for m in chain:
+            out = F.replace(out, F.lit(m.source), F.lit(m.target))
+        known = "".join({c for m in table for c in m.source} & {m.source for m in table})
+        return F.struct(out.alias("out"), F.filter(F.split(F.translate(word, known, ""), ""), lambda c: c != "").alias("unresolved"))
     longest = len(ordered[0].source)
     state = "struct<next:int,out:string,unresolved:array<string>>"
 
@@ -68,17 +76,50 @@ def transliterate_word(word: Column, table: tuple[Mapping, ...]) -> Column:
     return F.aggregate(places, start, lambda s, i: step(s, i).cast(state), lambda s: F.struct(s["out"].alias("out"), s["unresolved"].alias("unresolved")))
 
 
+def replacement_order(table: tuple[Mapping, ...]) -> list[Mapping] | None:
+    """An order in which replacing one source after the other is the search from the left for the longest, if there is one.
+
+    There is where no condition is asked, no target holds a character of a source,
+    and "begins before" is no circle: a source comes before those that it holds,
+    and before those whose start is its end.
+    """
+    first = list({m.source: m for m in reversed(table)}.values())
+    letters = {c for m in first for c in m.source}
+    if any(m.when or m.lossy for m in table) or any(c in letters for m in first for c in m.target):
+        return None
+    before = lambda p, q: p != q and (q in p or any(p.endswith(q[:n]) for n in range(1, min(len(p), len(q)))))
+    graph = {m.source: {p.source for p in first if before(p.source, m.source)} for m in first}
+    try:
+        order = list(TopologicalSorter(graph).static_order())
+    except CycleError:
+        return None
+    known = {m.source: m for m in first}
+    return [known[source] for source in order]
+
+
 def transliterate(text: Column, name: str, folder: Path = FOLDER) -> Column:
     """struct(text, unresolved): words of either script are written anew with their capitals, all else stays."""
     table = scheme(name, folder)
 
-    def one(token: Column) -> Column:
+    def written(token: Column) -> Column:
         made = transliterate_word(F.lower(token), table)
-        return F.when(kind_of(token).isin("word", "latin"), let(made, lambda m: F.struct(recase(token, m["out"]).alias("out"), m["unresolved"].alias("unresolved")))).otherwise(F.struct(token.alias("out"), F.array().cast("array<string>").alias("unresolved")))
+        return let(made, lambda m: F.struct(F.when(token == F.lower(token), m["out"]).otherwise(recase(token, m["out"])).alias("out"), m["unresolved"].alias("unresolved")))
+
+    def one(token: Column) -> Column:
+        # Tokens that begin with a letter or a Cyrillic sign are words of either script.
+        return F.when(token.rlike("^[\\p{L}\\p{IsCyrillic}]"), written(token)).otherwise(F.struct(token.alias("out"), F.array().cast("array<string>").alias("unresolved")))
 
     return let(F.transform(tokenize(text), one), lambda parts: F.struct(F.array_join(F.transform(parts, lambda p: p["out"]), "").alias("text"), F.array_distinct(F.flatten(F.transform(parts, lambda p: p["unresolved"]))).alias("unresolved")))
 
 
+def transliterated(text: Column, name: str, folder: Path = FOLDER) -> Column:
+    """The text alone, as transliterate gives it."""
+    table = scheme(name, folder)
+    low = lambda x: transliterate_word(x, table)["out"]
+    word = lambda x: F.when(x == F.lower(x), low(x)).otherwise(recase(x, low(F.lower(x))))
+    return F.array_join(F.transform(tokenize(text), lambda x: F.when(x.rlike("^[\\p{L}\\p{IsCyrillic}]"), word(x)).otherwise(x)), "")
+
+
 def to_script(text: Column, script: str, folder: Path = FOLDER) -> Column:
     if script not in SCHEMES:
         raise ValueError(f"unknown script {script!r}")

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import difflib
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from wordloom.functions import text as tx
 from wordloom.functions.rules import apply_rules
@@ -66,12 +63,6 @@ def classify_scope(source: Column, expected: Column) -> Column:
     return tx.let(F.struct(tx.neutral_fold(source).alias("a"), tx.neutral_fold(expected).alias("b")), decide)
 
 
-@F.udf(returnType=DoubleType(), useArrow=True)
-def form_similarity(a: str, b: str) -> float:
-    """Ratio of matching blocks of the folded words; the JVM's distances are other measures."""
-    return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
-
-
 def word_list(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, k, word): the words of each text, numbered."""
     tokens = explode_tokens(docs, key, text).filter("kind = 'word'")
@@ -132,8 +123,9 @@ def word_frequencies(docs: DataFrame, key: str, text: Column, kinds: tuple[str,
     """(word, n): lower-case words of the kinds, counted where they lie before the shuffle."""
     from wordloom.operators.tokens import kind_of, tokenize
 
-    tokens = docs.select(F.explode(tokenize(text)).alias("token"))
-    return tokens.filter(kind_of(F.col("token")).isin(*kinds) & (F.length("token") >= least_chars)).groupBy(F.lower("token").alias("word")).agg(F.count("*").alias("n"))
+    # Distinct tokens are few, so they are counted first, and then looked at.
+    tokens = docs.select(F.explode(tokenize(text)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return tokens.filter(kind_of(F.col("token")).isin(*kinds) & (F.length("token") >= least_chars)).groupBy(F.lower("token").alias("word")).agg(F.sum("n").alias("n"))
 
 
 def round_trip_words(docs: DataFrame, key: str, text: Column, there: Options, back: Options) -> DataFrame:

@@ -25,8 +25,8 @@ def tokenize(text: Column) -> Column:
 
 def kind_of(token: Column) -> Column:
     """word, latin, number, space or punct."""
-    first = F.substring(token, 1, 1)
-    return F.when(first.rlike("\\p{IsCyrillic}") & token.rlike(f"(?Us)^{WORD}$"), "word").when(first.rlike("\\p{L}"), "latin").when(first.rlike("(?U)\\d"), "number").when(first.rlike("(?U)\\s"), "space").otherwise("punct")
+    # The first character tells: the alternatives begin with disjoint classes, Cyrillic before all letters.
+    return F.when(token.rlike("^[ \n]"), "space").when(token.rlike("^\\p{IsCyrillic}"), "word").when(token.rlike("^\\p{L}"), "latin").when(token.rlike("(?U)^\\d"), "number").when(token.rlike("(?U)^\\s"), "space").otherwise("punct")
 
 
 def detokenize(tokens: DataFrame, key: str, place: str = "i", token: str = "token", name: str = "text") -> DataFrame:

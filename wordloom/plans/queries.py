@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import text as tx
 from wordloom.functions.rules import TO_N, TO_T
-from wordloom.functions.translit import detect_script, transliterate_word
+from wordloom.functions.translit import detect_script, transliterate_word, transliterated
 from wordloom.operators import evaluate as ev
 from wordloom.operators.convert import convert, converted_words, words_of
 from wordloom.operators.settled import settle
@@ -81,13 +81,8 @@ def cyrillic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cyrillic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text): texts read as Łacinka; each distinct word is read once."""
-    table = reference_tables.scheme("lacinka_reverse")
-    tokens = explode_tokens(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", F.col("text")).withColumn("word", F.when(F.col("kind") == "latin", F.lower("token")))
-    words = tokens.filter("word IS NOT NULL").select("word").distinct()
-    read = words.select("word", transliterate_word(F.col("word"), table)["out"].alias("cyrillic"))
-    both = tokens.join(read, "word", "left").withColumn("token", F.when(F.col("cyrillic").isNull(), F.col("token")).otherwise(tx.recase(F.col("token"), F.col("cyrillic"))))
-    return detokenize(both, "doc_id")
+    """(doc_id, text): texts read as Łacinka; dealt by document first, as conversion needs it and a file may be one task."""
+    return documents(spark, sf_dir).select("doc_id", "text").repartition("doc_id").select("doc_id", F.coalesce(transliterated(F.col("text"), "lacinka_reverse"), F.lit("")).alias("text"))
 
 
 def resolved_words(spark: SparkSession, sf_dir: str) -> DataFrame:
