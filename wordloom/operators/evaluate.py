@@ -94,7 +94,7 @@ def per_rule(words: DataFrame) -> DataFrame:
 def per_method(words: DataFrame) -> DataFrame:
     """(method, n, share) over converted words (a column method); every method has a row."""
     every = words.sparkSession.createDataFrame([(m,) for m in METHODS], "method string")
-    counts = words.groupBy("method").agg(F.count("*").alias("n"))
+    counts = settle(words.groupBy("method").agg(F.count("*").alias("n")))
     both = every.join(F.broadcast(counts), "method", "left").select("method", F.coalesce("n", F.lit(0)).alias("n"))
     total = both.agg(F.sum("n").alias("total"))
     return both.join(F.broadcast(total)).select("method", "n", ratio(F.col("n"), F.col("total")).alias("share"))
