@@ -173,3 +173,19 @@ def test_stages_against_plain_python(spark, folder, tmp_path):
         lost = next(x for x in out if name != "source mix" or x.source == "a")
         with pytest.raises(AssertionError):
             checks[name](given, [x for x in out if x is not lost])
+
+
+def test_stages_take_any_further_columns(spark, folder, tmp_path):
+    """Columns with the names that stages work with, null in every column, and empty tables."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet").withColumn("_id", F.lit(1))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name in ("_id", "_digest", "_out", "_place", "_words", "_lines", "_upper", "_kept", "_none", "_hash", "_size", "id", "stratum", "slots"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    docs = docs.unionByName(docs.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema]))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, docs, str(tmp_path)).columns == columns, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        docs = stage(spark, docs, str(tmp_path))
+    assert docs.count() > 0
