@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wordloom.functions.text import APOSTROPHES
-from wordloom.plans import golden
+from wordloom.plans import golden, known_tables
 from wordloom.plans.queries import QUERIES
 from wordloom.sources.reference_tables import scheme
 
@@ -52,8 +52,8 @@ FROM (SELECT source, n, good, (p + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n
         "length_percentiles": "SELECT source, quantile_disc(n_chars, 0.5)::BIGINT AS p50, quantile_disc(n_chars, 0.95)::BIGINT AS p95, max(n_chars)::BIGINT AS p100 FROM documents GROUP BY source",
         "cyrillic_words": f"""WITH {_TOKENS} SELECT word, array_to_string(list_transform(regexp_extract_all(word, '{alternation}'), lambda x: coalesce({mapping}[x], x)), '') AS cyrillic, n
 FROM (SELECT lower(token) AS word, count(*) AS n FROM kinds WHERE kind = 'latin' GROUP BY 1)""",
-    } | golden.oracle_sql()
+    } | golden.oracle_sql() | known_tables.oracle_sql()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES) | golden.QUERIES
+    return dict(QUERIES) | golden.QUERIES | known_tables.QUERIES

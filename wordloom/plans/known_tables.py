@@ -1,0 +1,151 @@
+"""Queries over small tables with known results: readers, candidates, samples, triage. The SQL holds the results."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wordloom.operators import candidates as cd
+from wordloom.plans.golden import _frame, _values
+from wordloom.sources import tables
+
+#: Lines of each format, and what a reader makes of them.
+LINES = {
+    "pairs": ["# x", "", "снег\tсьнег", " план \tплян\tn2t", "клас\tкляса\tt2n"],
+    "parallel": ["снег ідзе\tсьнег ідзе\tЗіма\t1\tЗіма\t2\t0.875\ttest", "план\tплян", "адно"],
+    "gold": ["# origin: narkamauka", "снег\tсьнег\tx\thand_written", "план\tплян\ty\tproposed", "лес\tлес\tz\tconverter_checked"],
+    "corpus": ["Сьнег ідзе\tЗіма\t17", "Лес"],
+    "audit": ["снег\tсьнег\tr1\t3\twrong\tn\te", "план\tплян\tr2\tx\tok", "снег\tсьнег\tr1\t5\tok\tm\tf"],
+    "known": ["n2t\tПлан\tПлян\tr\tproper_noun\tnote", "t2n\tа\tб\tr\trule_overreach"],
+    "negatives": ["лес\t12", "хата\tшмат", "дом"],
+    "regressions": ["снег\tсьнег", "адно"],
+    "frequencies": ["і\t90", "на\t70", "лес\t5", "дом"],
+    "training": ["план\tплян", "не\tня\tне быў"],
+    "names": ["ўільям\thand\tx", "# z", "Ўолт\twikidata\ty"],
+}
+READ = [
+    ("pairs", "снег|сьнег|"), ("pairs", "план|плян|n2t"), ("parallel", "снег ідзе|сьнег ідзе|Зіма|0.875|test"), ("parallel", "план|плян||0.0|train"), ("gold", "снег|сьнег"), ("gold", "лес|лес"), ("trusted", "снег|сьнег"),
+    ("corpus", "Сьнег ідзе|Зіма|17"), ("corpus", "Лес||"), ("audit", "снег|сьнег|r1|5|ok|m|f"), ("audit", "план|плян|r2|0|ok||"), ("known", "n2t|план|плян|r|proper_noun|note"), ("known", "t2n|а|б|r|rule_overreach|"),
+    ("negatives", "лес|12"), ("regressions", "снег|сьнег"), ("frequencies", "і|90"), ("frequencies", "на|70"), ("training", "план|плян|"), ("training", "не|ня|не быў"), ("names", "ўільям|hand|x"), ("names", "ўолт|wikidata|y"),
+]
+
+
+def _lines(spark: SparkSession, name: str) -> DataFrame:
+    return _frame(spark, "value string, file string, block long, k long", [(v, name, 0, k) for k, v in enumerate(LINES[name])])
+
+
+def _bars(df: DataFrame) -> Column:
+    return F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns])
+
+
+def reader_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(reader, cells): every table reader over a few lines."""
+    of = lambda name: _lines(spark, name)
+    made = {
+        "pairs": tables.pairs(of("pairs"), "n2t"), "parallel": tables.parallel(of("parallel")), "gold": tables.gold(of("gold")), "trusted": tables.gold(of("gold"), trusted_only=True), "corpus": tables.corpus(of("corpus")),
+        "audit": tables.audit(of("audit")), "known": tables.known_false_positives(of("known")), "negatives": tables.negatives(of("negatives")), "regressions": tables.regressions(of("regressions")),
+        "frequencies": tables.frequencies(of("frequencies"), 2), "training": tables.training_rows(of("training")), "names": tables.w_names(of("names")),
+    }
+    out = None
+    for name, df in made.items():
+        part = df.select(F.lit(name).alias("reader"), _bars(df).alias("cells"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+#: Candidate stems, frequency lists, forms that must stay; and each stem's fate.
+STEMS = [("амерык", "амэрык", "e"), ("амерыкан", "амэрыкан", "e"), ("бел", "бэл", "e"), ("шапен", "шапэн", "e"), ("план", "плян", "l"), ("планет", "плянэт", "e,l")]
+FORMS = [("амерыкан", 50), ("амерыка", 40), ("беларусь", 900), ("белы", 300), ("план", 60), ("планета", 30), ("шапенам", 2)]
+ATTESTED = [("амэрыкан", 45), ("амэрыка", 30), ("амерыка", 2), ("беларусь", 800), ("плян", 20), ("плянета", 3), ("планета", 4)]
+STAY = ["беларусь", "шапка"]
+FATES = [
+    ("амерык", 90, 2, "supported", "амэрыкан=45 vs амерыкан=0; амэрыка=30 vs амерыка=2", "амерыкан", "e"),
+    ("бел", 1200, 2, "refuted", "беларусь=800 vs бэларусь=0", "", "e"),
+    ("шапен", 2, 1, "unknown", "-", "", "e"),
+    ("план", 90, 2, "supported", "плян=20 vs план=0", "", "l"),
+    ("планет", 30, 1, "unknown", "-", "", "e,l"),
+]
+
+
+def candidate_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(stem, impact, matched_forms, verdict, evidence, covers, codes): ranked, screened, folded together."""
+    found = _frame(spark, "stem string, target string, codes string", STEMS)
+    ranked = cd.blast_radius(found, _frame(spark, "word string, n long", FORMS))
+    judged = cd.screen(ranked, _frame(spark, "word string, n long", ATTESTED))
+    left = cd.collapse(judged, _frame(spark, "form string", [(w,) for w in STAY]))
+    return left.select("stem", F.col("impact").cast("int").alias("impact"), F.col("matched_forms").cast("int").alias("matched_forms"), "verdict", "evidence", F.array_join("covers", ",").alias("covers"), "codes")
+
+
+#: Labels, lemmas, sentences of articles, and what is found in them.
+LABELS = [("Q1", "Шапена", "Шапэна"), ("Q2", "Снег", "Сьнег"), ("Q3", "План Маршала", "Плян Маршала"), ("Q4", "адно", "тры словы"), ("Q5", "Шапен", "Шапэн")]
+LEMMAS = [("дэкламацыя", 12), ("дом", 9), ("сінтаксіст", 10), ("манументалізм", 8), ("аналагічны", 20), ("кансультацыя", 5)]
+ARTICLES = [
+    (0, "Зіма", 0, "Снег ідзе ўвесь дзень"), (0, "Зіма", 1, "Лес стаіць зусім ціхі"), (0, "Зіма", 2, "Гэта той самы сказ"), (0, "Лета", 0, "Сонца свеціць вельмі ярка"),
+    (1, "Зіма", 0, "Сьнег ідзе ўвесь дзень"), (1, "Зіма", 1, "Гэта той самы сказ"), (1, "Зіма", 2, "Лес стаіць зусім пусты"), (1, "Лета", 0, "Нешта зусім іншае тут"),
+]
+MINED = [
+    ("label", "шапен", "шапэн", "e"), ("label", "план", "плян", "l"),
+    ("claim", "план", "планіна", ""),
+    ("loan", "дэкламац", "цыя", "l"), ("loan", "сінтаксіст", "іст", "i"), ("loan", "манументалізм", "ізм", "e"),
+    ("sentence", "Снег ідзе ўвесь дзень", "Сьнег ідзе ўвесь дзень", "1.0"), ("sentence", "Лес стаіць зусім ціхі", "Лес стаіць зусім пусты", "0.75"),
+    ("paradigm", "планта", "плант,плянт", ""),
+]
+#: Converted forms of lemmas.
+PARADIGMS = [("планта", "N", f, o, m) for f, o, m in (("планта", "плянта", "lexicon"), ("планты", "планты", "none"), ("плантам", "плянтам", "lexicon"))] + [("снега", "N", f, o, m) for f, o, m in (("снега", "сьнега", "rule"), ("снегам", "сьнегам", "rule"), ("снегу", "сьнегу", "rule"))]
+
+
+def mined_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(what, a, b, c): stems of labels, claims on lemmas, loans by suffix, aligned sentences, split paradigms."""
+    rows = lambda df, what, *cells: df.select(F.lit(what).alias("what"), *[c.cast("string").alias(n) for c, n in zip(cells, "abc", strict=True)])
+    labels = cd.mine_labels(_frame(spark, "id string, source string, target string", LABELS))
+    claims = cd.lemma_claims(_frame(spark, "lemma string", [(w,) for w in ("план", "планіна", "планета", "дом", "белка")]), _frame(spark, "stem string, kind string", [("план", "loan"), ("пла", "loan"), ("планет", "native")]))
+    loans = cd.loan_candidates(_frame(spark, "lemma string, forms long", LEMMAS), _frame(spark, "stem string", [("x",)]))
+    text = _frame(spark, "side int, title string, k int, text string", ARTICLES)
+    aligned = cd.align_sentences(text.filter("side = 0"), text.filter("side = 1"))
+    split = cd.split_paradigms(_frame(spark, "lemma string, tag string, form string, out string, method string", PARADIGMS))
+    out = rows(labels, "label", F.col("stem"), F.col("target"), F.col("codes"))
+    out = out.unionByName(rows(claims, "claim", F.col("stem"), F.col("lemma"), F.lit("")))
+    out = out.unionByName(rows(loans, "loan", F.col("stem"), F.col("suffix"), F.col("codes")))
+    out = out.unionByName(rows(aligned, "sentence", F.col("source"), F.col("expected"), F.col("similarity")))
+    return out.unionByName(rows(split, "paradigm", F.col("lemma"), F.array_join("images", ","), F.lit("")))
+
+
+#: Words with verdicts of an audit, by text; and errors with their buckets.
+JUDGED = [(1, 0, "снег", "сьнег", "сьнег"), (1, 1, "лес", "лес", "лес"), (2, 0, "план", "плян", "план"), (3, 0, "клас", "кляс", "клас"), (4, 0, "дом", "дом", "дом")]
+VERDICTS = [("снег", "сьнег", "ok"), ("план", "плян", "wrong"), ("клас", "кляс", "ok"), ("клас", "кляс", "")]
+ERRORS = [("план", "плян", "план", True, "disputed"), ("план", "плян", "plan", False, "gold"), ("мадрыдзе", "x", "мадрыде", False, "unresolved"), ("сістэма", "x", "сыстэма", False, "stem"), ("дзяржавы", "x", "дзяржаваў", False, "morphology"), ("лес", "x", "дуброва", False, "vocabulary")]
+TRIAGED = [("triage", "1", "clean"), ("triage", "2", "flagged"), ("triage", "3", "clean"), ("triage", "4", "untouched"), ("unsettled", "1", "снег → сьнег"), ("unsettled", "2", "план → плян"), ("unsettled", "3", "клас → кляс"), ("contradiction", "клас", "кляс")] + [("error", a, bucket) for a, _, _, _, bucket in ERRORS if a != "план"] + [("error", "план", "disputed"), ("error", "план", "gold")]
+
+
+def triaged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(what, a, b): triage of texts, unsettled texts, contradictions between audit and reference, buckets of errors."""
+    words = _frame(spark, "id int, k int, source string, out string, expected string", JUDGED)
+    verdicts = _frame(spark, "source string, target string, verdict string", VERDICTS)
+    errors = _frame(spark, "source string, predicted string, expected string, disputed boolean", [e[:4] for e in ERRORS])
+    row = lambda df, what, a, b: df.select(F.lit(what).alias("what"), a.cast("string").alias("a"), b.alias("b"))
+    out = row(cd.triage(words, verdicts, "id"), "triage", F.col("id"), F.col("bucket"))
+    out = out.unionByName(row(cd.unsettled_rows(words, "id"), "unsettled", F.col("id"), F.array_join("changes", ",")))
+    out = out.unionByName(row(cd.contradictions(words, verdicts), "contradiction", F.col("source"), F.col("out")))
+    return out.unionByName(row(errors, "error", F.col("source"), cd.error_bucket(F.col("source"), F.col("predicted"), F.col("expected"), F.col("disputed"))))
+
+
+def spread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id): 50 documents at even steps through their ids, the sampling operator's own feature."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").filter("doc_id IS NOT NULL").distinct()
+    return cd.spread(docs, 50, "doc_id").select("doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (reader_cases, candidate_stems, mined_rows, triaged_rows, spread_documents)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "reader_cases": _values("reader, cells", READ),
+        "candidate_stems": _values("stem, impact, matched_forms, verdict, evidence, covers, codes", FATES),
+        "mined_rows": _values("what, a, b, c", MINED),
+        "triaged_rows": _values("what, a, b", TRIAGED),
+        "spread_documents": """WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL))
+SELECT doc_id FROM d WHERE n <= 50 OR k IN (SELECT (i * (SELECT max(n) FROM d)) // 50 FROM range(50) t(i))""",
+    }
