@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.functions.rules import TO_N, TO_T
 from wordloom.operators import candidates as cd
+from wordloom.operators import checks
+from wordloom.operators.explain import case_coverage, explain_words
+from wordloom.operators.resolve import Options
 from wordloom.plans.golden import _frame, _values
 from wordloom.sources import tables
 
@@ -137,7 +141,52 @@ def spread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cd.spread(docs, 50, "doc_id").select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (reader_cases, candidate_stems, mined_rows, triaged_rows, spread_documents)}
+#: Words, and the steps that the rules take with them.
+STEPS = [
+    ("n2t", "снег", "сьнег", "rule", "palat.assim:снег>сьнег", "Збор 2005, §29"), ("n2t", "план", "плян", "rule", "loan.l_palatalization:план>плян", "Збор 2005, §55.1, §55.2, §56.2"), ("n2t", "лес", "лес", "unknown", "", None),
+    ("t2n", "сьнег", "снег", "rule", "palat.unassim:сьнег>снег", "derived:palat.assim (Збор 2005, §29, §29 Заўвага Б)"),
+]
+
+
+def explained_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(direction, word, target, method, steps, citation): each rule's change with the word before and after."""
+    out = None
+    for code, direction in (("n2t", TO_T), ("t2n", TO_N)):
+        made = explain_words(_frame(spark, "word string", [(w,) for c, w, *_ in STEPS if c == code]), Options(direction))
+        steps = F.array_join(F.transform("steps", lambda s: F.concat(s["rule"], F.lit(":"), s["before"], F.lit(">"), s["after"])), " ")
+        part = made.select(F.lit(code).alias("direction"), "word", "target", "method", steps.alias("steps"), "citation")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+#: Faulty rows of tables and what is said of them.
+FAULTY_PAIRS = [(0, "снег", "сьнег"), (1, "Снег", "снег"), (2, "", "x"), (3, "a b", "лес"), (4, "дом", "дом")]
+FAULTY_CORPUS = [("а", "б", "T", 0.9, "train"), ("а", "а", "T", 1.5, "dev"), ("", "б", "", 0.5, "x")]
+PROBLEMS = [
+    ("lexicon", "Снег → снег", "warning", "contradicts the first entry, сьнег"), ("lexicon", " → x", "error", "empty side"), ("lexicon", "a b → лес", "error", "blank in the source"), ("lexicon", "a b → лес", "error", "letters outside the alphabet in the source"),
+    ("corpus", "а → а", "error", "equal sides"), ("corpus", "а → а", "error", "similarity outside 0 to 1"), ("corpus", " → б", "error", "empty side"), ("corpus", " → б", "error", "unknown split"), ("corpus", "T", "error", "an article in more than one split"),
+]
+
+
+def table_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(table, row, severity, problem) of faulty tables."""
+    lexicon = checks.lexicon_problems(_frame(spark, "k int, narkamauka string, taraskievica string", FAULTY_PAIRS), "k")
+    return lexicon.unionByName(checks.corpus_problems(_frame(spark, "source string, expected string, title string, similarity double, split string", FAULTY_CORPUS)))
+
+
+#: Converted words of cases, lexicon tables, and what the cases reach.
+REACHING = [("снег", "сьнег", "rule", "palat.assim"), ("план", "плян", "rule", "loan.l_palatalization"), ("клас", "кляса", "lexicon", None), ("лес", "лес", "unknown", None)]
+HELD = [("a.tsv", "клас"), ("b.tsv", "дом")]
+REACHED = [("rule", "palat.assim", 1, False), ("rule", "loan.l_palatalization", 1, False), ("lexicon", "a.tsv", 1, False), ("lexicon", "b.tsv", 0, True), ("rule", "palat.geminate", 0, True)]
+
+
+def case_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, name, n, gap) of some rules and tables."""
+    made = case_coverage(_frame(spark, "source string, out string, method string, rule string", REACHING), _frame(spark, "name string, word string", HELD))
+    return made.filter(F.col("name").isin(*[r[1] for r in REACHED])).select("kind", "name", F.col("n").cast("int").alias("n"), "gap")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (reader_cases, candidate_stems, mined_rows, triaged_rows, spread_documents, explained_words, table_problems, case_reach)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -146,6 +195,9 @@ def oracle_sql() -> dict[str, str]:
         "candidate_stems": _values("stem, impact, matched_forms, verdict, evidence, covers, codes", FATES),
         "mined_rows": _values("what, a, b, c", MINED),
         "triaged_rows": _values("what, a, b", TRIAGED),
+        "explained_words": _values("direction, word, target, method, steps, citation", STEPS),
+        "table_problems": _values('"table", "row", severity, problem', PROBLEMS),
+        "case_reach": _values("kind, name, n, gap", REACHED),
         "spread_documents": """WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL))
 SELECT doc_id FROM d WHERE n <= 50 OR k IN (SELECT (i * (SELECT max(n) FROM d)) // 50 FROM range(50) t(i))""",
     }
