@@ -143,7 +143,7 @@ def spread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Words, and the steps that the rules take with them.
 STEPS = [
-    ("n2t", "снег", "сьнег", "rule", "palat.assim:снег>сьнег", "Збор 2005, §29"), ("n2t", "план", "плян", "rule", "loan.l_palatalization:план>плян", "Збор 2005, §55.1, §55.2, §56.2"), ("n2t", "лес", "лес", "unknown", "", None),
+    ("n2t", "снег", "сьнег", "rule", "palat.assim:снег>сьнег", "Збор 2005, §29"), ("n2t", "план", "плян", "lexicon", "", None), ("n2t", "планам", "плянам", "rule", "loan.l_palatalization:планам>плянам", "Збор 2005, §55.1, §55.2, §56.2"), ("n2t", "лес", "лес", "unknown", "", None),
     ("t2n", "сьнег", "снег", "rule", "palat.unassim:сьнег>снег", "derived:palat.assim (Збор 2005, §29, §29 Заўвага Б)"),
 ]
 
