@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -58,6 +59,54 @@ def test_the_encoders_memory_is_bounded():
     assert 0 < len(encoder._young) + len(encoder._old) < 13_000
 
 
+def test_the_encoder_encodes_a_large_vocabulary_once():
+    """A quarter of a million words, met again, are looked up: the library isn't called for them."""
+    encoder = PieceEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    calls = []
+
+    class Counted:
+        def __init__(self, library):
+            self.library = library
+
+        def encode_batch_fast(self, texts, **options):
+            calls.append(texts)
+            return self.library.encode_batch_fast(texts, **options)
+
+    for name, x in list(vars(encoder).items()):
+        if isinstance(x, Tokenizer):
+            setattr(encoder, name, Counted(x))
+    words = ["".join(chr(97 + k // 26**n % 26) for n in range(4)) for k in range(250_000)]
+    texts = [" ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)]
+    first = [list(encoder.encode([x])) for x in texts]
+    assert calls
+    calls.clear()
+    assert [list(encoder.encode([x])) for x in texts] == first
+    assert not calls
+
+
+def test_words_of_all_plain_letters():
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    encoder = PieceEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    letters = [*"AZaz", *map(chr, range(0xA0, 0x180))]
+    texts = [f"{c} x{c} {c}y th{c}e {end}" for c in letters for end in ("", "\u4e2d")]  # the last makes a text that is cut at blanks only
+    for text, got in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_the_encoder_goes_on_after_texts_that_broke_off():
+    def broken():
+        yield "seldom met words, broken off"
+        raise KeyError
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        encoder = PieceEncoder(path)
+        with pytest.raises(KeyError):
+            list(encoder.encode(broken()))
+        got = next(encoder.encode(["seldom met words"]))
+        assert np.frombuffer(got, "<u4").tolist() == Tokenizer.from_file(path).encode("seldom met words", add_special_tokens=False).ids
+
+
 def test_token_counts(spark):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = sorted(map(tuple, count_tokens(with_clashes(spark)).collect()), key=str)

@@ -30,7 +30,7 @@ import json
 import os
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 
@@ -38,17 +38,18 @@ from wordloom.llm.common import held
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ſ"
 _LOWER = "a-zß-öø-ÿĀ-įı-ſ"
-#: Letters and signs for which the pieces are proven safe. U+0130 is left out: its lower case has two characters.
-_PLAIN = re.compile("[^\x00-\x7f¡-©«-±´¶-¸»¿-įı-ſ]|[\x1c-\x1f]|<\\|").search
+#: Letters and signs for which the pieces are proven safe, without "<|". U+0130 is left out: its lower case has two characters.
+_PLAIN = re.compile("[\x00-\x1b\x20-\x7f¡-©«-±´¶-¸»¿-įı-ſ]*").fullmatch
 _BYTE_PIECES = re.compile(f" ?[{_LETTERS}]+|[^{_LETTERS}]*[^{_LETTERS}\\s'](?=[{_LETTERS}])|[^{_LETTERS}]+(?= [{_LETTERS}])|[^{_LETTERS}]+[{_LETTERS}]*").findall
-_WORD_PIECES = re.compile(f"[{_LOWER}]+|[^{_LOWER}\\s']*'\\S*|[^{_LOWER}\\s']+").findall
+#: For plain texts, whose blanks are the six ASCII ones.
+_WORD_PIECES = re.compile(f"[{_LOWER}]+|[^{_LOWER} \\t-\\r']*'[^ \\t-\\r]*|[^{_LOWER} \\t-\\r']+").findall
 _SPACED_WORD = re.compile(f" [{_LETTERS}]+").fullmatch
 _LOWER_WORD = re.compile(f"[{_LOWER}]+").fullmatch
 #: Cuts at blanks, for other texts: a piece is a run of blanks and what follows up to the next.
 _BLANK_PIECES = re.compile("[ \\t\\n\\r]*[^ \\t\\n\\r]+|[ \\t\\n\\r]+").findall
 _OTHER_BLANK = re.compile("[^\\S \\t\\n\\r]|[\\x1c-\\x1f]").search
 _BLANK = re.compile("\\s").search
-_CALL = 2000
+_CALL = 500
 #: Letters of scripts that need not have blanks (and others), and the punctuation that follows them.
 _RUNNING = "A-Za-z\u0400-\u0481\u048a-\u04ff\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3"
 _STOPS = ".,;:!?\u3001\u3002\uff01\uff0c\uff0e\uff1a\uff1b\uff1f"
@@ -72,6 +73,28 @@ def slices(text: str, most: int) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+class _Young(dict[str, bytes | bytearray]):
+    """Ids by piece. One that neither this nor the old half has gets an empty place here and is listed as new; `learn` fills it."""
+
+    def __init__(self, old: dict[str, bytes | bytearray]):
+        self.old, self.held = old, 0
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> bytes | bytearray:
+        known = self.old.get(piece)
+        if known is None:
+            known = bytearray()
+            self.new.append(piece)
+        else:
+            self.held += _ENTRY + len(piece)
+        self[piece] = known
+        return known
+
+    def learn(self, piece: str, ids: bytes) -> None:
+        self[piece] += ids  # those who have looked it up hold the place itself
+        self[piece] = ids
+
+
 class PieceEncoder:
     """Ids of whole texts under one ``tokenizers`` file, as the library gives them without added special tokens.
 
@@ -80,15 +103,14 @@ class PieceEncoder:
     becomes the old one and the former old one goes.
     """
 
-    def __init__(self, path: str, memory_bytes: int = 48 << 20, batch_bytes: int = 1 << 20, slice_chars: int = 1 << 16):
+    def __init__(self, path: str, memory_bytes: int = 128 << 20, batch_bytes: int = 1 << 20, slice_chars: int = 1 << 16):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
         self._half, self._batch_bytes, self._slice_chars = memory_bytes // 2, batch_bytes, slice_chars
-        self._young: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-        self._held = 0
+        self._old: dict[str, bytes | bytearray] = {}
+        self._young = _Young(self._old)
         self._kind = self._kind_of(path)
         if self._kind == "byte":
             self._is_word = _SPACED_WORD
@@ -127,32 +149,21 @@ class PieceEncoder:
     def _pieces(self, text: str) -> list[str]:
         if self._kind == "whole":
             return [text]
-        plain = not _PLAIN(text)
+        plain = "<|" not in text and _PLAIN(text)
         if self._kind == "word":
             return _WORD_PIECES(text.lower()) if plain else _BLANK_PIECES(text)
         if plain:
             return _BYTE_PIECES(text)
         return [text] if _OTHER_BLANK(text) else _BLANK_PIECES(text)
 
-    def _learn(self, pieces: Iterable[str]) -> list[str]:
-        """Have all pieces in the young half; the result names those to be forgotten after use."""
-        if self._held > self._half:
-            self._old, self._young, self._held = self._young, {}, 0
-        young, old = self._young, self._old
-        new, long = [], []
-        for x in set(pieces).difference(young):
-            known = old.get(x)
-            if known is None:
-                new.append(x)
-                if len(x) > _LONGEST:
-                    long.append(x)
-            else:
-                young[x] = known
-                self._held += _ENTRY + len(x)
+    def _learn(self) -> list[str]:
+        """Fill the places of all new pieces; the result names those to be forgotten after use."""
+        young = self._young
+        new, young.new = young.new, []
         # Words alone are a split each, so they can be encoded as one text; an edge token begins (ends) each.
         together = [x for x in new if self._is_word(x)] if self._kind != "whole" else []
         alone = [x for x in new if not self._is_word(x)] if together else new
-        # A few thousand pieces a call: what the library holds beside the ids is many times their size.
+        # A few hundred pieces a call: what the library holds beside the ids is many times their size.
         for at in range(0, len(together), _CALL):
             part = together[at : at + _CALL]
             text = ("" if self._kind == "byte" else " ").join(part)
@@ -163,40 +174,50 @@ class PieceEncoder:
                 alone += part  # a vocabulary without some edge token
                 continue
             data = ids.tobytes()
-            young.update(zip(part, [data[4 * x : 4 * y] for x, y in pairwise(cuts)], strict=True))
+            for x, (begin, end) in zip(part, pairwise(cuts), strict=True):
+                young.learn(x, data[4 * begin : 4 * end])
         for at in range(0, len(alone), _CALL):
             part = alone[at : at + _CALL]
             for x, got in zip(part, self._library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                young[x] = np.array(got.ids, "<u4").tobytes()
-        self._held += sum(_ENTRY + len(x) for x in new if len(x) <= _LONGEST)
-        return long
+                young.learn(x, np.array(got.ids, "<u4").tobytes())
+        young.held += sum(_ENTRY + len(x) for x in new if len(x) <= _LONGEST)
+        return [x for x in new if len(x) > _LONGEST]
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit numbers. Texts go to the library in batches of about equal bytes."""
-        waiting: list[list[str]] = []  # pieces of parts not yet encoded, and for each part whether it ends its text
+        waiting: list[list[bytes | bytearray]] = []  # the places of each part's pieces, and whether it ends its text
         ends: list[bool] = []
         begun: list[bytes] = []  # encoded parts of the text at hand
         held = 0
-        for text in texts:
-            parts = list(slices(text or "", self._slice_chars)) if self._kind != "whole" else [text or ""]
-            for k, part in enumerate(parts):
-                waiting.append(self._pieces(part))
-                ends.append(k + 1 == len(parts))
-                held += len(part)
-                if held >= self._batch_bytes:
-                    yield from self._flush(waiting, ends, begun)
-                    held = 0
-        yield from self._flush(waiting, ends, begun)
-
-    def _flush(self, waiting: list[list[str]], ends: list[bool], begun: list[bytes]) -> Iterator[bytes]:
-        long = self._learn(chain.from_iterable(waiting))
-        get = self._young.__getitem__
-        for pieces, last in zip(waiting, ends, strict=True):
-            begun.append(b"".join(map(get, pieces)))
+        try:
+            for text in texts:
+                parts = list(slices(text or "", self._slice_chars)) if self._kind != "whole" else [text or ""]
+                for k, part in enumerate(parts):
+                    waiting.append(list(map(self._young.__getitem__, self._pieces(part))))
+                    ends.append(k + 1 == len(parts))
+                    held += len(part)
+                    if held >= self._batch_bytes:
+                        yield from self._flush(waiting, ends, begun)
+                        held = 0
+            yield from self._flush(waiting, ends, begun)
+        finally:
+            if self._young.new:  # the texts broke off: no place may stay empty
+                self._forget(self._learn())
+
+    def _flush(self, waiting: list[list[bytes | bytearray]], ends: list[bool], begun: list[bytes]) -> Iterator[bytes]:
+        self._forget(self._learn())
+        for places, last in zip(waiting, ends, strict=True):
+            begun.append(b"".join(places))
             if last:
                 yield b"".join(begun)
                 begun.clear()
-        for x in long:
-            del self._young[x]
         waiting.clear()
         ends.clear()
+
+    def _forget(self, long: list[str]) -> None:
+        """Drop these pieces, and the old half if the young one is full."""
+        for x in long:
+            del self._young[x]
+        if self._young.held > self._half:
+            self._old, self._young.old = self._young, {}
+            self._young = _Young(self._old)
