@@ -16,6 +16,7 @@ from wordloom.llm.mixing import mix_sizes
 from wordloom.llm.packing import pack
 from wordloom.llm.quality import quality_rules
 from wordloom.llm.secrets import BASE, listed, scan
+from wordloom.llm.sharding import place
 from wordloom.llm.token_counts import count_tokens
 from wordloom.llm.url_graph import filter_urls
 
@@ -69,6 +70,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place(table(spark, sf_dir, "documents"), 8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -81,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_chat_format": op9_chat_format,
         "op10_url_filter": op10_url_filter,
+        "op12_sharding": op12_sharding,
     }
 
 
@@ -91,4 +97,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_ngram_join": sql.op5(),
         "op9_chat_format": sql.op9(),
         "op10_url_filter": sql.op10(),
+        "op12_sharding": sql.op12(),
     }

@@ -157,3 +157,50 @@ WITH urls AS (
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled WHERE k = 1
 """
+
+
+def crc32(text: str) -> str:
+    """The checksum of a text's UTF-8 bytes, from a column ``steps`` of the 256 steps of its table (``CRC_STEPS``)."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda a, b: xor(a >> 8, steps[xor(a & 255, b) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)::BIGINT"
+
+
+#: The table of CRC-32, by its polynomial.
+CRC_STEPS = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END, i::BIGINT)) AS steps)"
+
+
+def op12(shards: int = 8) -> str:
+    fill = "".join(f" ASOF JOIN border p{k} ON p{k}.v <= {f'p{k - 1}.v' if k else '0'} + tried" for k in range(shards))
+    back = "".join(f", b{k} AS (SELECT p.v FROM b{k + 1} b CROSS JOIN capacity ASOF JOIN border p ON p.v >= b.v - c)" for k in range(shards - 1, 0, -1))
+    cuts = "".join(
+        f""", c{k} AS (
+  SELECT least(greatest(CASE WHEN below.v > here.v AND aim - below.v <= above.v - aim THEN below.v ELSE above.v END, least_.v), top.v) AS v
+  FROM (SELECT v, v + (total - v + {shards - k}) // {shards - k + 1} AS aim, v + c AS far FROM c{k - 1} CROSS JOIN capacity) here
+  CROSS JOIN b{k} least_ ASOF JOIN border below ON below.v <= aim ASOF JOIN border above ON above.v >= aim ASOF JOIN border top ON top.v <= far
+)"""
+        for k in range(1, shards)
+    )
+    return f"""
+WITH RECURSIVE {CRC_STEPS}, sized AS MATERIALIZED (
+  SELECT doc_id, md5(coalesce(text, '')) AS key, octet_length(encode(coalesce(text, ''))) + 1 AS size, {crc32("coalesce(text, '')")} AS text_crc32 FROM documents CROSS JOIN crc
+), grouped AS (
+  SELECT key, sum(size)::BIGINT AS size FROM sized GROUP BY key
+), ended AS MATERIALIZED (
+  SELECT key, sum(size) OVER (ORDER BY key)::BIGINT AS v FROM grouped
+), border AS MATERIALIZED (
+  SELECT v FROM ended UNION ALL SELECT 0
+), search(low, high) AS (
+  SELECT (sum(size)::BIGINT + {shards - 1}) // {shards}, sum(size)::BIGINT FROM sized
+  UNION ALL
+  SELECT CASE WHEN p{shards - 1}.v = total THEN low ELSE tried + 1 END, CASE WHEN p{shards - 1}.v = total THEN tried ELSE high END
+  FROM (SELECT low, high, (low + high) // 2 AS tried FROM search WHERE low < high) CROSS JOIN (SELECT max(v) AS total FROM border){fill}
+), capacity AS MATERIALIZED (
+  SELECT (SELECT min(high) FROM search) AS c, (SELECT max(v) FROM border) AS total
+), b{shards} AS (SELECT total AS v FROM capacity){back}, c0 AS (SELECT 0::BIGINT AS v){cuts}, cuts AS (
+  {" UNION ALL ".join(f"SELECT v FROM c{k}" for k in range(1, shards))}
+), sharded AS (
+  SELECT key, (SELECT count(*) FROM cuts WHERE cuts.v < ended.v)::INT AS shard FROM ended
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY key, doc_id NULLS FIRST) - 1 AS slot, NULL::INT AS grown_shard
+FROM sized JOIN sharded USING (key)
+"""
