@@ -11,6 +11,7 @@ from wordloom.llm import jaccard, sql
 from wordloom.llm.common import table
 from wordloom.llm.chat import digest, format_turns
 from wordloom.llm.hamming import top_k
+from wordloom.llm.hard_negatives import mine
 from wordloom.llm.language_id import identify
 from wordloom.llm.mixing import mix_sizes
 from wordloom.llm.packing import pack
@@ -74,6 +75,13 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(table(spark, sf_dir, "documents"), 8)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's labels: every seventh row has the next one."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -87,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat_format": op9_chat_format,
         "op10_url_filter": op10_url_filter,
         "op12_sharding": op12_sharding,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -98,4 +107,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_chat_format": sql.op9(),
         "op10_url_filter": sql.op10(),
         "op12_sharding": sql.op12(),
+        "op13_hard_negatives": sql.op13(),
     }
