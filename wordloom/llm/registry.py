@@ -15,6 +15,7 @@ from wordloom.llm.hard_negatives import mine
 from wordloom.llm.language_id import identify
 from wordloom.llm.mixing import mix_sizes
 from wordloom.llm.packing import pack
+from wordloom.llm.periodic_runs import find_runs, longest, planted
 from wordloom.llm.quality import quality_rules
 from wordloom.llm.secrets import BASE, listed, scan
 from wordloom.llm.sharding import place
@@ -71,6 +72,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the contract's texts, every tenth of which has a repeated tail."""
+    found = find_runs(planted(table(spark, sf_dir, "documents"))).withColumn("best", longest(F.col("runs")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
+    exponent = F.expr("1000 * best.length DIV best.period").alias("exponent_milli")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, exponent, F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(table(spark, sf_dir, "documents"), 8)
 
@@ -94,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_chat_format": op9_chat_format,
         "op10_url_filter": op10_url_filter,
+        "op11_periodic_runs": op11_periodic_runs,
         "op12_sharding": op12_sharding,
         "op13_hard_negatives": op13_hard_negatives,
     }
@@ -106,6 +117,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_ngram_join": sql.op5(),
         "op9_chat_format": sql.op9(),
         "op10_url_filter": sql.op10(),
+        "op11_periodic_runs": sql.op11(),
         "op12_sharding": sql.op12(),
         "op13_hard_negatives": sql.op13(),
     }

@@ -169,6 +169,35 @@ def crc32(text: str) -> str:
 CRC_STEPS = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END, i::BIGINT)) AS steps)"
 
 
+def op11() -> str:
+    """All pairs of equal words up to a quarter of the text apart, and the stretches that they form."""
+    return f"""
+WITH {CRC_STEPS}, given AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, {crc32("doc_id::VARCHAR")} AS h FROM documents CROSS JOIN crc
+), tails AS (
+  SELECT *, len(w) AS n, h // 10 % len(w) AS a, 1 + (len(w) - h // 10 % len(w)) // (3 + h // 10 % 8) AS p FROM given
+), words AS MATERIALIZED (
+  SELECT doc_id, n, unnest(range(n)) AS i, unnest(CASE WHEN h % 10 = 0 THEN list_transform(range(n), lambda i: w[CASE WHEN i >= a THEN a + (i - a) % p ELSE i END + 1]) ELSE w END) AS word FROM tails
+), stretches AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT x.doc_id, x.i, y.i - x.i AS q, x.i - row_number() OVER (PARTITION BY x.doc_id, y.i - x.i ORDER BY x.i) AS g
+        FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND y.i - x.i <= x.n // 4)
+  GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(6, 4 * q)
+), runs AS MATERIALIZED (
+  SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY doc_id, start, length
+), best AS (
+  SELECT * FROM runs a WHERE NOT EXISTS (FROM runs b WHERE a.doc_id = b.doc_id AND (b.length * a.period > a.length * b.period OR b.length * a.period = a.length * b.period AND (b.start, b.period) < (a.start, a.period)))
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words w
+  WHERE NOT EXISTS (FROM runs r WHERE r.doc_id = w.doc_id AND w.i >= r.start + r.period AND w.i < r.start + r.length) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN (SELECT doc_id, text FROM kept) k USING (doc_id) LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
+
 def op12(shards: int = 8) -> str:
     fill = "".join(f" ASOF JOIN border p{k} ON p{k}.v <= {f'p{k - 1}.v' if k else '0'} + tried" for k in range(shards))
     back = "".join(f", b{k} AS (SELECT p.v FROM b{k + 1} b CROSS JOIN capacity ASOF JOIN border p ON p.v >= b.v - c)" for k in range(shards - 1, 0, -1))
