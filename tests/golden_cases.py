@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from wordloom.operators.resolve import Options
 from wordloom.operators.settled import settle
 from wordloom.operators.stems import match_stems, reverse_collisions
 from wordloom.operators.tokens import context_words, explode_tokens, kind_of, tokenize
-from wordloom.sources.reference_tables import FOLDER, rows
+from wordloom.sources.reference_tables import rows
 
 CODES = {"n2t": TO_T, "t2n": TO_N}
 #: Words of the cases below whose first syllable is stressed though their spelling doesn't show it, names with capitals.
@@ -26,7 +27,7 @@ STRESSED = ("пойдзе", "крыўды", "вераю", "Інаю", "Янкі"
 
 
 def _cells(name: str) -> list[tuple[str, ...]]:
-    return [tuple(cells) for _, cells in rows(FOLDER / name)]
+    return [tuple(cells) for _, cells in rows(Path(__file__).parent / "data" / name)]
 
 
 def _values(names: str, table: list[tuple]) -> str:

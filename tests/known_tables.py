@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from golden_cases import _frame, _values
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,6 @@ from wordloom.operators import candidates as cd
 from wordloom.operators import checks
 from wordloom.operators.explain import case_coverage, explain_words
 from wordloom.operators.resolve import Options
-from wordloom.plans.golden import _frame, _values
 from wordloom.sources import tables
 
 #: Lines of each format, and what a reader makes of them.
@@ -135,12 +135,6 @@ def triaged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(row(errors, "error", F.col("source"), cd.error_bucket(F.col("source"), F.col("predicted"), F.col("expected"), F.col("disputed"))))
 
 
-def spread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id): 50 documents at even steps through their ids, the sampling operator's own feature."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").filter("doc_id IS NOT NULL").distinct()
-    return cd.spread(docs, 50, "doc_id").select("doc_id")
-
-
 #: Words, and the steps that the rules take with them.
 STEPS = [
     ("n2t", "снег", "сьнег", "rule", "palat.assim:снег>сьнег", "Збор 2005, §29"), ("n2t", "план", "плян", "lexicon", "", None), ("n2t", "планам", "плянам", "rule", "loan.l_palatalization:планам>плянам", "Збор 2005, §55.1, §55.2, §56.2"), ("n2t", "лес", "лес", "unknown", "", None),
@@ -186,7 +180,7 @@ def case_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.filter(F.col("name").isin(*[r[1] for r in REACHED])).select("kind", "name", F.col("n").cast("int").alias("n"), "gap")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (reader_cases, candidate_stems, mined_rows, triaged_rows, spread_documents, explained_words, table_problems, case_reach)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (reader_cases, candidate_stems, mined_rows, triaged_rows, explained_words, table_problems, case_reach)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -198,6 +192,4 @@ def oracle_sql() -> dict[str, str]:
         "explained_words": _values("direction, word, target, method, steps, citation", STEPS),
         "table_problems": _values('"table", "row", severity, problem', PROBLEMS),
         "case_reach": _values("kind, name, n, gap", REACHED),
-        "spread_documents": """WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL))
-SELECT doc_id FROM d WHERE n <= 50 OR k IN (SELECT (i * (SELECT max(n) FROM d)) // 50 FROM range(50) t(i))""",
     }

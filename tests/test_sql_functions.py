@@ -1,0 +1,60 @@
+"""SQL functions give what the Column functions give, inside the query's own plan."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from wordloom import catalog
+from wordloom.functions import text as tx
+from wordloom.functions.sql_functions import register
+from wordloom.functions.translit import detect_script, transliterated
+from wordloom.operators import evaluate as ev
+from wordloom.operators.tokens import kind_of, tokenize
+
+TEXTS = ["Сьнег ідзе, 12,5 %", "cнег и Ўільям’ў", "Łacinka ćicha, LACH i šlach", "aб'ект й ё", "", None, "a​b\n\tc", "ŁAŁA-lala Ĺ", "плян-пляцоўка", "É1̀ \U0001f389 o", "McDonald ПАП Пап пАп", "ляля люлю эх ґонта"]
+PAIRS = [("план", "плян"), ("яго", "ягоны"), ("хата", "хату"), ("снег", "сьнег"), ("", "а"), (None, "а"), ("абвг", "абвгаў"), ("ейскі", "эйскі"), ("адзін", "зусім")]
+
+
+def test_scalars_equal_columns(spark):
+    names = register(spark)
+    assert names == list(dict.fromkeys(names)) and register(spark) == names
+    df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
+    t = F.col("t")
+    columns = {
+        "sanitize": tx.sanitize(t), "fold_homoglyphs": tx.fold_homoglyphs(t), "is_word": tx.is_word(t), "syllables": tx.syllables(t), "neutral_fold": tx.neutral_fold(t),
+        "case_of": tx.case_of(t), "read_lacinka": transliterated(t, "lacinka_reverse"), "script_of": detect_script(t), "kind_of": kind_of(t),
+    }
+    both = df.select("t", *[c.alias(n) for n, c in columns.items()], *[F.expr(f"{n}(t)").alias(f"sql_{n}") for n in columns])
+    for row in both.collect():
+        for n in columns:
+            assert row[n] == row[f"sql_{n}"], (n, row["t"])
+    for row in df.select("t", tx.recase(t, F.lit("’сьнег-і")).alias("a"), F.expr("recase(t, '’сьнег-і')").alias("b")).collect():
+        assert row["a"] == row["b"], row["t"]
+    pairs = spark.createDataFrame(PAIRS, "a string, b string").select("a", "b", ev.classify_scope(F.col("a"), F.col("b")).alias("x"), F.expr("scope_of(a, b)").alias("y"))
+    assert all(r["x"] == r["y"] for r in pairs.collect())
+
+
+def test_table_functions(spark):
+    register(spark)
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "k int, t string")
+    found = spark.sql("SELECT k, i, token, kind FROM {df} AS d, LATERAL tokens(d.t)", df=df).collect()
+    wanted = df.select("k", F.posexplode(tokenize(F.col("t"))).alias("i", "token")).withColumn("kind", kind_of(F.col("token"))).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, wanted))
+    grams = spark.sql("SELECT k, i, gram FROM {df} AS d, LATERAL char_ngrams(d.t, 4)", df=df.filter("t IS NOT NULL"))
+    wanted = df.filter("t IS NOT NULL").select("k", F.posexplode(tx.char_ngrams(F.col("t"), 4)).alias("i", "gram"))
+    assert sorted(map(tuple, grams.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_nothing_runs_in_python(spark):
+    register(spark)
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    df.createOrReplaceTempView("some_texts")
+    query = "SELECT doc_id, sanitize(read_lacinka(text)), scope_of(text, token) FROM some_texts, LATERAL tokens(text)"
+    plan = spark.sql(f"EXPLAIN {query}").first()[0]
+    assert "Generate posexplode" in plan and "Python" not in plan and "Arrow" not in plan and "Join" not in plan
+
+
+def test_names_are_registered_once():
+    assert catalog.merged({"a": 1}, {"b": 2}) == {"a": 1, "b": 2}
+    with pytest.raises(ValueError, match="registered twice: a"):
+        catalog.merged({"a": 1}, {"a": 2})
+    assert set(catalog.oracle_sql()) <= set(catalog.queries())

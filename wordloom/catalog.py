@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.functions.text import APOSTROPHES
-from wordloom.plans import golden, known_tables
-from wordloom.plans.queries import QUERIES
+from wordloom.functions.text import APOSTROPHES, LETTERS, VOWELS
+from wordloom.operators import evaluate as ev
+from wordloom.plans import queries as own
+from wordloom.plans import sql_queries
 from wordloom.sources.reference_tables import scheme
 
 FLAGSHIP = "method_shares"
 
 _WORD = f"\\p{{Cyrillic}}+(?:[{APOSTROPHES}-]\\p{{Cyrillic}}+)*".replace("'", "''")
 _LATIN = f"\\p{{L}}+(?:[{APOSTROPHES}-]\\p{{L}}+)*".replace("'", "''")
+_TOKEN = f"(?s){_WORD}|{_LATIN}|\\d+(?:[.,]\\d+)*|\\s+|[^\\p{{L}}\\d\\s]+|."
 _TOKENS = f"""tokens AS (
-  SELECT doc_id, unnest(regexp_extract_all(text, '(?s){_WORD}|{_LATIN}|\\d+(?:[.,]\\d+)*|\\s+|[^\\p{{L}}\\d\\s]+|.')) AS token FROM documents
+  SELECT doc_id, unnest(regexp_extract_all(text, '{_TOKEN}')) AS token FROM documents
 ), kinds AS (
   SELECT doc_id, token, CASE WHEN regexp_matches(token, '^\\p{{Cyrillic}}') THEN 'word' WHEN regexp_matches(token, '^\\p{{L}}') THEN 'latin'
                              WHEN regexp_matches(token, '^\\d') THEN 'number' WHEN regexp_matches(token, '^\\s') THEN 'space' ELSE 'punct' END AS kind
@@ -30,9 +32,60 @@ def _scheme_sql() -> tuple[str, str]:
     return "|".join(m.source for m in table) + "|.", "MAP {" + ", ".join(f"'{m.source}': '{m.target}'" for m in table) + "}"
 
 
+_ALTERNATION, _MAPPING = _scheme_sql()
+
+
+def _read(word: str) -> str:
+    """A word in small letters, read as Łacinka."""
+    return f"array_to_string(list_transform(regexp_extract_all({word}, '{_ALTERNATION}'), lambda x: coalesce({_MAPPING}[x], x)), '')"
+
+
+def _fold(word: str) -> str:
+    return f"translate(replace(replace(lower({word}), 'ля', 'ла'), 'лю', 'лу'), 'эёыґўь', 'еоігу')"
+
+
+_WORDS = f"""{_TOKENS}, words AS MATERIALIZED (
+  SELECT {_read("low")} AS word, sum(n)::BIGINT AS n FROM (SELECT lower(token) AS low, count(*) AS n FROM kinds WHERE kind = 'latin' GROUP BY 1) GROUP BY 1
+)"""
+#: The texts read as Łacinka, token by token and with their capitals.
+_CYRILLIC = f"""placed AS MATERIALIZED (
+  SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(text, '{_TOKEN}') AS l FROM documents)
+), spelt AS MATERIALIZED (
+  SELECT token, regexp_matches(token, '^[\\p{{L}}\\p{{Cyrillic}}]') AS lettered,
+         CASE WHEN NOT lettered THEN token WHEN s = lower(s) THEN made
+              WHEN substr(s, 1, 1) <> lower(substr(s, 1, 1)) AND substr(s, 2) = lower(substr(s, 2)) THEN upper(substr(made, 1, 1)) || substr(made, 2)
+              WHEN s = upper(s) THEN upper(made) ELSE made END AS out
+  FROM (SELECT token, regexp_replace(token, '[^\\p{{L}}]', '', 'g') AS s, {_read("lower(token)")} AS made FROM (SELECT DISTINCT token FROM placed))
+), cyrillic AS MATERIALIZED (
+  SELECT d.doc_id, coalesce(made, '') AS text FROM documents d LEFT JOIN (SELECT doc_id, string_agg(out, '' ORDER BY i) AS made FROM placed JOIN spelt USING (token) GROUP BY doc_id) m ON d.doc_id = m.doc_id
+)"""
+
+
+def _prefix(a: str, b: str) -> str:
+    """Length of the longest common prefix."""
+    return f"len(list_filter(range(1, least(length({a}), length({b})) + 1), lambda k: substr({a}, 1, k) = substr({b}, 1, k)))"
+
+
+def _scope_sql() -> str:
+    endings = ", ".join(f"'{x}>{y}'" for x, y in ((a.translate(_FOLDING), b.translate(_FOLDING)) for a, b in ((p.replace("ля", "ла"), q.replace("ля", "ла")) for p, q in ev.ENDINGS)))
+    return f"""WITH {_WORDS}, pairs AS (
+  SELECT word, lead(word) OVER (PARTITION BY left(word, 4) ORDER BY word) AS next FROM words WHERE length(word) > 3
+), folded AS (
+  SELECT word, next, {_fold("word")} AS a, {_fold("next")} AS b FROM pairs WHERE next IS NOT NULL
+), measured AS (
+  SELECT *, {_prefix("a", "b")} AS k FROM folded
+)
+SELECT CASE WHEN a = b THEN 'in_scope' WHEN regexp_matches(a || '>' || b, '{ev.DEVIATES}') THEN 'reference_deviates'
+            WHEN regexp_matches(a || '>' || b, '{ev.GRAMMATICAL}') OR k >= {ev.LEAST_STEM} AND length(a) - k <= {ev.MOST_ENDING} AND length(b) - k <= {ev.MOST_ENDING} AND substr(a, k + 1) || '>' || substr(b, k + 1) IN ({endings}) THEN 'grammatical'
+            ELSE 'not_orthographic' END AS scope, count(*) AS pairs, min(word || '>' || next) AS first FROM measured GROUP BY 1"""
+
+
+_FOLDING = str.maketrans("эёыґў", "еоігу", "ь")
+
+
 def oracle_sql() -> dict[str, str]:
-    alternation, mapping = _scheme_sql()
-    return {
+    sql = {
         "source_profile": "SELECT source, count(*) AS n_docs, sum(length(text))::BIGINT AS n_text_chars FROM documents GROUP BY source",
         "token_kinds": f"WITH {_TOKENS} SELECT kind, count(*) AS n, sum(length(token))::BIGINT AS chars FROM kinds GROUP BY kind",
         "word_frequencies": f"WITH {_TOKENS} SELECT lower(token) AS word, count(*) AS n FROM kinds WHERE kind IN ('word', 'latin') AND length(token) >= 2 GROUP BY lower(token)",
@@ -50,10 +103,34 @@ FROM (SELECT lang, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) AS letters
 FROM (SELECT source, n, good, (p + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) AS c, 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n)) / (1 + 1.96 * 1.96 / n) AS m
       FROM (SELECT source, count(*) AS n, sum(quality)::BIGINT AS good, sum(quality)::DOUBLE / count(*) AS p FROM documents JOIN labels USING (doc_id) GROUP BY source))""",
         "length_percentiles": "SELECT source, quantile_disc(n_chars, 0.5)::BIGINT AS p50, quantile_disc(n_chars, 0.95)::BIGINT AS p95, max(n_chars)::BIGINT AS p100 FROM documents GROUP BY source",
-        "cyrillic_words": f"""WITH {_TOKENS} SELECT word, array_to_string(list_transform(regexp_extract_all(word, '{alternation}'), lambda x: coalesce({mapping}[x], x)), '') AS cyrillic, n
+        "cyrillic_words": f"""WITH {_TOKENS} SELECT word, {_read("word")} AS cyrillic, n
 FROM (SELECT lower(token) AS word, count(*) AS n FROM kinds WHERE kind = 'latin' GROUP BY 1)""",
-    } | golden.oracle_sql() | known_tables.oracle_sql()
+        "cyrillic_documents": f"WITH {_CYRILLIC} SELECT doc_id, text FROM cyrillic",
+        "neighbours": f"""WITH {_CYRILLIC}, seen AS (
+  SELECT lower(token) AS word, lead(lower(token)) OVER (PARTITION BY doc_id ORDER BY i) AS next
+  FROM (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{_TOKEN}') AS l FROM cyrillic)) WHERE regexp_matches(token, '^\\p{{Cyrillic}}')
+) SELECT word, next, count(*) AS n FROM seen GROUP BY ALL""",
+        "word_shapes": f"WITH {_WORDS} SELECT length(regexp_replace(word, '[^{VOWELS}]', '', 'g'))::INT AS syllables, NOT regexp_matches(word, '[^{LETTERS}{LETTERS.upper()}{APOSTROPHES.replace(chr(39), chr(39) * 2)}-]') AS sound, count(*) AS words, sum(n)::BIGINT AS n FROM words GROUP BY ALL",
+        "folded_words": f"WITH {_WORDS} SELECT {_fold('word')} AS fold, count(*) AS spellings, min(word) AS first, sum(n)::BIGINT AS n FROM words GROUP BY 1 HAVING count(*) > 1",
+        "letter_trigrams": f"WITH {_WORDS} SELECT gram, count(*) AS places, sum(n)::BIGINT AS n FROM (SELECT n, unnest(list_transform(range(1, length(word) + 1), lambda k: substr('^' || word || '$', k, 3))) AS gram FROM words) GROUP BY gram",
+        "scoped_neighbours": _scope_sql(),
+        "spread_documents": """WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL))
+SELECT doc_id FROM d WHERE n <= 50 OR k IN (SELECT (i * (SELECT max(n) FROM d)) // 50 FROM range(50) t(i))""",
+    }
+    same = {"sql_token_kinds": "token_kinds", "sql_sanitized": "sanitized", "sql_scripts": "scripts"}
+    digests = f"SELECT doc_id, md5(text) AS digest FROM ({sql['cyrillic_documents']})"
+    return sql | {name: sql[of] for name, of in same.items()} | {"sql_cyrillic_documents": digests}
+
+
+def merged[T](*parts: dict[str, T]) -> dict[str, T]:
+    """All parts in one; a name that two of them have is an error, as one query would hide the other."""
+    whole: dict[str, T] = {}
+    for part in parts:
+        if clash := whole.keys() & part.keys():
+            raise ValueError(f"registered twice: {', '.join(sorted(clash))}")
+        whole |= part
+    return whole
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES) | golden.QUERIES | known_tables.QUERIES
+    return merged(own.QUERIES, sql_queries.QUERIES)

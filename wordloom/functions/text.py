@@ -16,6 +16,8 @@ SOFTENERS = SOFT_VOWELS + "ь"
 APOSTROPHE = "’"
 APOSTROPHES = "’'ʼ`‘"
 ZERO_WIDTH = "​‌‍⁠﻿­"
+#: Letters of this alphabet with a combining mark, and in one character.
+MARKED = (("й", "й"), ("ў", "ў"), ("ё", "ё"), ("ї", "ї"), ("Й", "Й"), ("Ў", "Ў"), ("Ё", "Ё"), ("Ї", "Ї"))
 LATIN_ALIKE = "aeopcyxiAEOPCYXITHKMB"
 CYRILLIC_ALIKE = "аеорсухіАЕОРСУХІТНКМВ"
 
@@ -55,8 +57,7 @@ def fold_homoglyphs(text: Column, script: str = "cyrillic") -> Column:
 
 def compose_marks(text: Column) -> Column:
     """Letters of this alphabet that are written with a combining mark, in one character: й ў ё ї and capitals."""
-    pairs = (("й", "й"), ("ў", "ў"), ("ё", "ё"), ("ї", "ї"), ("Й", "Й"), ("Ў", "Ў"), ("Ё", "Ё"), ("Ї", "Ї"))
-    for a, b in pairs:
+    for a, b in MARKED:
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
 

@@ -9,9 +9,10 @@ from wordloom.functions import text as tx
 from wordloom.functions.rules import TO_N, TO_T
 from wordloom.functions.translit import detect_script, transliterate_word, transliterated
 from wordloom.operators import evaluate as ev
+from wordloom.operators.candidates import spread
 from wordloom.operators.convert import convert, converted_words, words_of
 from wordloom.operators.settled import settle
-from wordloom.operators.resolve import Options, lexicon_of, resolve
+from wordloom.operators.resolve import Options, resolve
 from wordloom.operators.tokens import context_words, detokenize, explode_tokens, kind_of, tokenize, with_bridges
 from wordloom.sources import reference_tables
 
@@ -70,6 +71,12 @@ def length_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).groupBy("source").agg(*ranks)
 
 
+def spread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id): 50 documents at even steps through their ids, the sampling operator's own feature."""
+    docs = documents(spark, sf_dir).select("doc_id").filter("doc_id IS NOT NULL").distinct()
+    return spread(docs, 50, "doc_id").select("doc_id")
+
+
 def _latin_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.word_frequencies(documents(spark, sf_dir), "doc_id", F.col("text"), ("latin",), 1)
 
@@ -111,16 +118,10 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.round_trip(settle(cyrillic_documents(spark, sf_dir)), "doc_id", F.col("text"), Options(direction=TO_T), Options(direction=TO_N))
 
 
-def lexicon_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexicon entries of both directions by method."""
-    both = [lexicon_of(spark, Options(direction=d)).withColumn("direction", F.lit(d)) for d in (TO_T, TO_N)]
-    return both[0].unionByName(both[1]).groupBy("direction", "method").agg(F.count("*").alias("n"))
-
-
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of words between which only blanks or bridges stand, counted."""
     tokens = with_bridges(explode_tokens(cyrillic_documents(spark, sf_dir), "doc_id", F.col("text")), "doc_id")
     return context_words(tokens, "doc_id", 1).select(F.lower("token").alias("word"), F.lower(F.get("after", F.lit(0))).alias("next")).groupBy("word", "next").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (source_profile, token_kinds, word_frequencies, tokens_joined, word_cases, sanitized, scripts, quality_intervals, length_percentiles, cyrillic_words, cyrillic_documents, resolved_words, method_shares, converted_documents, coverage, round_trip, lexicon_rows, neighbours)}
+QUERIES = {f.__name__: f for f in (source_profile, token_kinds, word_frequencies, tokens_joined, word_cases, sanitized, scripts, quality_intervals, length_percentiles, cyrillic_words, cyrillic_documents, resolved_words, method_shares, converted_documents, coverage, round_trip, neighbours, spread_documents)}
