@@ -1,0 +1,68 @@
+"""The classifier as the last stage of conversion: only where nothing else decides, only when sure, and only if asked for."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from wordloom.operators import classifier
+from wordloom.operators.convert import convert, converted_words
+from wordloom.operators.resolve import Options
+
+TEXTS = [(1, "Лупта і ляск, не лата. Сілас сіні план пад снегам"), (2, None), (3, ""), (4, "лупта лупта-сіла ЛУПТА Лупта " * 40 + "канец"), (None, "сіла лампы"), (6, "McLean 12 і")]
+SAID = {"лупта": "soft_l", "сілас": "i_to_y", "лата": "keep"}
+
+
+def saying(score):
+    """A stand-in for the classifier that knows some words, whatever stands beside them."""
+
+    def run(rows):
+        word, label = F.col("word"), F.lit("keep")
+        for w, said in SAID.items():
+            label = F.when(word == w, said).otherwise(label)
+        return rows.select("word", "before", "after", label.alias("label"), F.lit(score).alias("score"), classifier._edited(word, label, F.lit(True)).alias("edited"))
+
+    return run
+
+
+def methods(rows):
+    return {r["doc_id"]: [(w["token"], w["out"], w["method"]) for w in r["words"]] for r in rows.collect()}
+
+
+def test_only_sure_answers_to_open_words_count(spark):
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    plain = methods(converted_words(docs, "doc_id", F.col("text")))
+    unsure = methods(converted_words(docs, "doc_id", F.col("text"), Options(model=saying(0.5))))
+    assert unsure == plain and all(m != "model" for words in plain.values() for _, _, m in words)
+    sure = methods(converted_words(docs, "doc_id", F.col("text"), Options(model=saying(0.9))))
+    assert sure.keys() == plain.keys()
+    changed = set()
+    for k, words in sure.items():
+        assert len(words) == len(plain[k])
+        for was, now in zip(plain[k], words, strict=True):
+            if was != now:
+                assert was[2] == "unknown" and now[2] == "model"
+                changed.add((now[0], now[1]))
+    assert changed == {("Лупта", "Люпта"), ("лупта", "люпта"), ("ЛУПТА", "ЛЮПТА"), ("Сілас", "Сылас")}
+    assert sum(m == "model" for _, _, m in sure[4]) == 120
+    # Lower thresholds let the same answers in.
+    assert methods(converted_words(docs, "doc_id", F.col("text"), Options(model=saying(0.5), threshold=0.5))) == sure
+
+
+def test_the_model_learns_and_is_asked_for_one_direction(spark):
+    pairs = [("лампа", "лямпа"), ("клас", "кляса"), ("план", "плян"), ("лак", "ляк"), ("балада", "баляда"), ("хата", "хата"), ("мова", "мова"), ("вада", "вада"), ("лес", "лес"), ("ламаць", "ламаць")]
+    rows = spark.createDataFrame([(a, b, f"{a} тут") for a, b in pairs], "source string, target string, context string")
+    model = classifier.train(classifier.training_table(rows))
+    asked = spark.createDataFrame([("лампада", None, "тут")], "word string, before string, after string")
+    answer = classifier.scorer(model)(asked).first()
+    single = classifier.predict(model, spark.createDataFrame([("лампада", "лампада тут")], "source string, context string"), threshold=0.0).first()
+    assert (answer["label"], answer["edited"]) == (single["label"], single["word"]) and answer["score"] == pytest.approx(single["score"])
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    back = Options("narkamauka", model=saying(0.9))
+    assert "model" not in {m for words in methods(converted_words(docs, "doc_id", F.col("text"), back)).values() for _, _, m in words}
+    found = {r["doc_id"]: r for r in convert(docs, "doc_id", F.col("text"), Options(model=saying(0.9))).collect()}
+    assert found[1]["stats"]["model"] == 2 and {c["stage"] for c in found[1]["changes"]} >= {"model"} and found[2]["text"] == ""
+    assert Options().model is None
+
+
+def test_named_features(spark):
+    names = classifier.featurize(spark.createDataFrame([("Ён", None, "э")], "source string, before string, after string")).first()["named"]
+    assert sorted(names) == sorted(["ng2=^ё", "ng2=ён", "ng2=н$", "ng3=^ён", "ng3=ён$", "ng4=^ён$", "suf1=н", "suf2=ён", "pre1=ё", "pre2=ён", "has_yo", "next=э", "next_pre2=э", "next_stress_first"])

@@ -10,6 +10,7 @@ from wordloom.functions.text import APOSTROPHES, LETTERS, VOWELS
 from wordloom.operators import evaluate as ev
 from wordloom.plans import queries as own
 from wordloom.plans import sql_queries
+from wordloom.sources import reference_tables
 from wordloom.sources.reference_tables import scheme
 
 FLAGSHIP = "method_shares"
@@ -81,6 +82,23 @@ SELECT CASE WHEN a = b THEN 'in_scope' WHEN regexp_matches(a || '>' || b, '{ev.D
             ELSE 'not_orthographic' END AS scope, count(*) AS pairs, min(word || '>' || next) AS first FROM measured GROUP BY 1"""
 
 
+def _features_sql() -> str:
+    """Features of each place of a word, by name."""
+    clitics = ", ".join(f"'{w}'" for w in reference_tables.function_words()["clitic"])
+    parts = [f"SELECT 'ng{n}=' || unnest(CASE WHEN length(word) + 2 < {n} THEN ['^' || word || '$'] ELSE list_transform(range(1, length(word) + 4 - {n}), lambda k: substr('^' || word || '$', k, {n})) END) AS feature, k FROM around" for n in (2, 3, 4)]
+    parts += [f"SELECT 'suf{n}=' || right(word, {n}), k FROM around WHERE length(word) >= {n}" for n in (1, 2, 3, 4)]
+    parts += [f"SELECT 'pre{n}=' || left(word, {n}), k FROM around WHERE length(word) >= {n}" for n in (1, 2, 3)]
+    parts += [f"SELECT '{name}', k FROM around WHERE contains(word, '{c}')" for c, name in (("’", "has_apos"), ("-", "has_hyphen"), ("э", "has_e"), ("ё", "has_yo"))]
+    parts += ["SELECT 'prev=' || before, k FROM around WHERE before IS NOT NULL", "SELECT 'next=' || after, k FROM around WHERE after IS NOT NULL", "SELECT 'next_pre2=' || left(after, 2), k FROM around WHERE after IS NOT NULL", "SELECT 'no_next', k FROM around WHERE after IS NULL"]
+    parts += [f"SELECT 'next_stress_first', k FROM around WHERE after NOT IN ({clitics}) AND (length(regexp_replace(after, '[^{VOWELS}]', '', 'g')) = 1 OR regexp_extract(after, '[{VOWELS}]') = 'ё')"]
+    return f"""WITH {_CYRILLIC}, seen AS (
+  SELECT lower(token) AS word, lag(lower(token)) OVER (PARTITION BY doc_id ORDER BY i) AS before, lead(lower(token)) OVER (PARTITION BY doc_id ORDER BY i) AS after
+  FROM (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{_TOKEN}') AS l FROM cyrillic)) WHERE regexp_matches(token, '^\\p{{Cyrillic}}')
+), around AS MATERIALIZED (
+  SELECT word, before, after, count(*) AS k FROM seen GROUP BY ALL
+) SELECT feature, sum(k)::BIGINT AS n FROM ({" UNION ALL ".join(parts)}) GROUP BY feature"""
+
+
 _FOLDING = str.maketrans("эёыґў", "еоігу", "ь")
 
 
@@ -110,6 +128,7 @@ FROM (SELECT lower(token) AS word, count(*) AS n FROM kinds WHERE kind = 'latin'
   SELECT lower(token) AS word, lead(lower(token)) OVER (PARTITION BY doc_id ORDER BY i) AS next
   FROM (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{_TOKEN}') AS l FROM cyrillic)) WHERE regexp_matches(token, '^\\p{{Cyrillic}}')
 ) SELECT word, next, count(*) AS n FROM seen GROUP BY ALL""",
+        "word_features": _features_sql(),
         "word_shapes": f"WITH {_WORDS} SELECT length(regexp_replace(word, '[^{VOWELS}]', '', 'g'))::INT AS syllables, NOT regexp_matches(word, '[^{LETTERS}{LETTERS.upper()}{APOSTROPHES.replace(chr(39), chr(39) * 2)}-]') AS sound, count(*) AS words, sum(n)::BIGINT AS n FROM words GROUP BY ALL",
         "folded_words": f"WITH {_WORDS} SELECT {_fold('word')} AS fold, count(*) AS spellings, min(word) AS first, sum(n)::BIGINT AS n FROM words GROUP BY 1 HAVING count(*) > 1",
         "letter_trigrams": f"WITH {_WORDS} SELECT gram, count(*) AS places, sum(n)::BIGINT AS n FROM (SELECT n, unnest(list_transform(range(1, length(word) + 1), lambda k: substr('^' || word || '$', k, 3))) AS gram FROM words) GROUP BY gram",

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as tx
 from wordloom.functions.rules import TO_T, apply_rules
+from wordloom.operators.candidates import numbered
 from wordloom.operators.mining import LABELS, apply_label
 from wordloom.operators.resolve import Options
 from wordloom.operators.settled import settle
@@ -33,7 +36,9 @@ def with_neighbours(rows: DataFrame) -> DataFrame:
 def named_features(word: Column, before: Column, after: Column, clitics: list[str]) -> Column:
     """array<string>: a feature as often as it counts: n-grams, beginnings, ends, letters and neighbours."""
     low = F.lower(word)
-    grams = [F.transform(tx.char_ngrams(low, n), lambda g, n=n: F.concat(F.lit(f"ng{n}="), g)) for n in (2, 3, 4)]
+    # A lambda with a second parameter would be given the place there.
+    named = lambda grams, name: F.transform(grams, lambda g: F.concat(F.lit(name), g))
+    grams = [named(tx.char_ngrams(low, n), f"ng{n}=") for n in (2, 3, 4)]
     ends = F.array(*[F.when(F.length(low) >= k, F.concat(F.lit(f"suf{k}="), F.right(low, F.lit(k)))) for k in (1, 2, 3, 4)])
     begins = F.array(*[F.when(F.length(low) >= k, F.concat(F.lit(f"pre{k}="), F.left(low, F.lit(k)))) for k in (1, 2, 3)])
     letters = F.array(*[F.when(low.contains(c), F.lit(name)) for c, name in ((tx.APOSTROPHE, "has_apos"), ("-", "has_hyphen"), ("э", "has_e"), ("ё", "has_yo"))])
@@ -89,22 +94,40 @@ def train(table: DataFrame) -> PipelineModel:
     return Pipeline(stages=stages).fit(weighed)
 
 
-def predict(model: PipelineModel, rows: DataFrame, threshold: float = THRESHOLD, options: Options = Options(TO_T)) -> DataFrame:
-    """rows (source, context, ...) with ``label``, ``score`` and ``word``: the edited word in small letters, as it was where the label is keep or the score below the threshold."""
+def _labelled(model: PipelineModel, rows: DataFrame, options: Options) -> DataFrame:
+    """rows (source, before, after, ...) with ``label`` and ``score``."""
     indexer, regression = model.stages[0], model.stages[-1]
     # The label is not known here, so its indexer is left out.
-    given = featurize(with_neighbours(rows), options)
+    given = featurize(rows, options)
     for stage in model.stages[1:-1]:
         given = stage.transform(given)
     scored = regression.transform(given).withColumn("score", F.array_max(vector_to_array("_probability")))
     names = F.array(*[F.lit(x) for x in indexer.labels])
-    low = F.lower("source")
-    named = scored.withColumn("label", F.get(names, F.col("_prediction").cast("int")))
-    word = low
-    for label in LABELS:
-        if label != "keep":
-            word = F.when((F.col("label") == label) & (F.col("score") >= threshold), apply_label(low, label)).otherwise(word)
-    return named.select(*rows.columns, "label", "score", word.alias("word"))
+    return scored.select(*rows.columns, F.get(names, F.col("_prediction").cast("int")).alias("label"), "score")
+
+
+def _edited(word: Column, label: Column, sure: Column) -> Column:
+    out = word
+    for name in LABELS:
+        if name != "keep":
+            out = F.when((label == name) & sure, apply_label(word, name)).otherwise(out)
+    return out
+
+
+def predict(model: PipelineModel, rows: DataFrame, threshold: float = THRESHOLD, options: Options = Options(TO_T)) -> DataFrame:
+    """rows (source, context, ...) with ``label``, ``score`` and ``word``: the edited word in small letters, as it was where the label is keep or the score below the threshold."""
+    named = _labelled(model, with_neighbours(rows), options)
+    return named.select(*rows.columns, "label", "score", _edited(F.lower("source"), F.col("label"), F.col("score") >= threshold).alias("word"))
+
+
+def scorer(model: PipelineModel, options: Options = Options(TO_T)) -> Callable[[DataFrame], DataFrame]:
+    """For ``Options.model``: rows (word, before, after) with ``label``, ``score`` and ``edited``, the word after the label's edit."""
+
+    def score(rows: DataFrame) -> DataFrame:
+        found = _labelled(model, rows.withColumnRenamed("word", "source"), options)
+        return found.select(F.col("source").alias("word"), "before", "after", "label", "score", _edited(F.col("source"), F.col("label"), F.lit(True)).alias("edited"))
+
+    return score
 
 
 def cross_validate(table: DataFrame, folds: int = FOLDS) -> DataFrame:
@@ -113,12 +136,13 @@ def cross_validate(table: DataFrame, folds: int = FOLDS) -> DataFrame:
     folds = max(2, min(folds, total))
     smallest = table.groupBy("label").agg(F.count("*").alias("n")).agg(F.min("n").alias("n")).first()["n"] or 0
     order = (F.xxhash64("source", "target", "context"), "source", "target", "context")
-    dealt = Window.partitionBy("label" if smallest >= folds else F.lit(0)).orderBy(*order)
-    numbered = settle(table.withColumn("fold", ((F.row_number().over(dealt) - 1) % folds).cast("int")))
+    # Numbers go through the labels one after the other, so the folds share each of them, too.
+    ordered = numbered(table, *(["label"] if smallest >= folds else []), *order)
+    dealt = settle(ordered.withColumn("fold", (F.col("number") % folds).cast("int")).drop("number"))
     out = None
     for fold in range(folds):
-        model = train(numbered.filter(F.col("fold") != fold).drop("fold"))
-        asked = numbered.filter(F.col("fold") == fold).select(F.monotonically_increasing_id().alias("_id"), "source", "context", F.col("label").alias("wanted"))
+        model = train(dealt.filter(F.col("fold") != fold).drop("fold"))
+        asked = dealt.filter(F.col("fold") == fold).select(F.monotonically_increasing_id().alias("_id"), "source", "context", F.col("label").alias("wanted"))
         part = predict(model, asked).agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("wanted")).cast("double")).alias("accuracy")).select(F.lit(fold).alias("fold"), "n", "accuracy")
         out = part if out is None else out.unionByName(part)
     return out

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from wordloom.functions import text as tx
 from wordloom.functions.rules import TO_N, TO_T
 from wordloom.functions.translit import detect_script, transliterate_word, transliterated
+from wordloom.operators import classifier
 from wordloom.operators import evaluate as ev
 from wordloom.operators.candidates import spread
-from wordloom.operators.convert import convert, converted_words, words_of
+from wordloom.operators.convert import convert, converted_words, text_of, words_of
 from wordloom.operators.settled import settle
 from wordloom.operators.resolve import Options, resolve
 from wordloom.operators.tokens import context_words, detokenize, explode_tokens, kind_of, tokenize, with_bridges
@@ -109,6 +110,36 @@ def converted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.size("changes").alias("n_changes"), F.to_json("stats").alias("stats"))
 
 
+def _neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, before, after) of all places of words in the texts read as Łacinka."""
+    words = F.transform(F.filter(tokenize(F.col("text")), lambda t: kind_of(t) == "word"), F.lower)
+    rows = cyrillic_documents(spark, sf_dir).select(words.alias("w"))
+    beside = lambda k: F.when(k >= 0, F.get("w", k))
+    return rows.select(F.explode(F.transform("w", lambda x, k: F.struct(x.alias("source"), beside(k - 1).alias("before"), F.get("w", k + 1).alias("after")))).alias("x")).select("x.*")
+
+
+def word_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(feature, n): what the classifier sees of all words of the texts."""
+    counted = settle(_neighbourhoods(spark, sf_dir).groupBy("source", "before", "after").agg(F.count("*").alias("k")))
+    # A feature as often as it counts, weighed by the places of the word between these neighbours.
+    seen = classifier.featurize(counted).select("k", F.explode("named").alias("feature"))
+    return seen.groupBy("feature").agg(F.sum("k").alias("n"))
+
+
+def _lexicon_model(spark: SparkSession):
+    """A classifier learnt from the lexicon's pairs, each its own context."""
+    pairs = [(a, b, a) for a, b in reference_tables.lexicon_pairs("n2t")]
+    rows = spark.createDataFrame(pairs, "source string, target string, context string")
+    return classifier.scorer(classifier.train(classifier.training_table(rows)))
+
+
+def model_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, n_model): documents converted with the classifier as the last stage, and the words that it changed."""
+    options = Options(model=_lexicon_model(spark))
+    rows = converted_words(settle(cyrillic_documents(spark, sf_dir)), "doc_id", F.col("text"), options)
+    return rows.select("doc_id", text_of().alias("text"), F.size(F.filter("words", lambda x: x["method"] == "model")).alias("n_model"))
+
+
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = cyrillic_words(spark, sf_dir).select(F.col("cyrillic").alias("word"), "n")
     return ev.coverage(words, Options())
@@ -124,4 +155,4 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_words(tokens, "doc_id", 1).select(F.lower("token").alias("word"), F.lower(F.get("after", F.lit(0))).alias("next")).groupBy("word", "next").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (source_profile, token_kinds, word_frequencies, tokens_joined, word_cases, sanitized, scripts, quality_intervals, length_percentiles, cyrillic_words, cyrillic_documents, resolved_words, method_shares, converted_documents, coverage, round_trip, neighbours, spread_documents)}
+QUERIES = {f.__name__: f for f in (source_profile, token_kinds, word_frequencies, tokens_joined, word_cases, sanitized, scripts, quality_intervals, length_percentiles, cyrillic_words, cyrillic_documents, resolved_words, method_shares, converted_documents, coverage, round_trip, neighbours, spread_documents, word_features, model_documents)}
