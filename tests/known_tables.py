@@ -13,6 +13,7 @@ from wordloom.operators import candidates as cd
 from wordloom.operators import checks
 from wordloom.operators.explain import case_coverage, explain_words
 from wordloom.operators.resolve import Options
+from wordloom.operators.sentence_pairs import align_sentences
 from wordloom.sources import tables
 
 #: Lines of each format, and what a reader makes of them.
@@ -107,7 +108,7 @@ def mined_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = cd.lemma_claims(_frame(spark, "lemma string", [(w,) for w in ("план", "планіна", "планета", "дом", "белка")]), _frame(spark, "stem string, kind string", [("план", "loan"), ("пла", "loan"), ("планет", "native")]))
     loans = cd.loan_candidates(_frame(spark, "lemma string, forms long", LEMMAS), _frame(spark, "stem string", [("x",)]))
     text = _frame(spark, "side int, title string, k int, text string", ARTICLES)
-    aligned = cd.align_sentences(text.filter("side = 0"), text.filter("side = 1"))
+    aligned = align_sentences(text.filter("side = 0"), text.filter("side = 1"))
     split = cd.split_paradigms(_frame(spark, "lemma string, tag string, form string, out string, method string", PARADIGMS))
     out = rows(labels, "label", F.col("stem"), F.col("target"), F.col("codes"))
     out = out.unionByName(rows(claims, "claim", F.col("stem"), F.col("lemma"), F.lit("")))

@@ -14,6 +14,7 @@ from wordloom.operators.candidates import spread
 from wordloom.operators.convert import convert, converted_words, text_of, words_of
 from wordloom.operators.settled import settle
 from wordloom.operators.resolve import Options, resolve
+from wordloom.operators.sentence_pairs import align_sentences
 from wordloom.operators.tokens import context_words, detokenize, explode_tokens, kind_of, tokenize, with_bridges
 from wordloom.sources import reference_tables
 
@@ -140,6 +141,14 @@ def model_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", text_of().alias("text"), F.size(F.filter("words", lambda x: x["method"] == "model")).alias("n_model"))
 
 
+def paired_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(title, source, expected, similarity): sentences of the documents with odd ids that those with even ids of the same language have almost, each in one pair; languages are the articles."""
+    docs = cyrillic_documents(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", F.col("lang").alias("title")), "doc_id")
+    parts = F.posexplode(F.split("text", "(?<=[.!?…])\\s+|\n+")).alias("at", "sentence")
+    rows = settle(docs.select("title", "doc_id", parts).select("title", "doc_id", F.struct("doc_id", "at").alias("k"), F.col("sentence").alias("text")))
+    return align_sentences(rows.filter("doc_id % 2 = 0"), rows.filter("doc_id % 2 <> 0"))
+
+
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = cyrillic_words(spark, sf_dir).select(F.col("cyrillic").alias("word"), "n")
     return ev.coverage(words, Options())
@@ -155,4 +164,4 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_words(tokens, "doc_id", 1).select(F.lower("token").alias("word"), F.lower(F.get("after", F.lit(0))).alias("next")).groupBy("word", "next").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (source_profile, token_kinds, word_frequencies, tokens_joined, word_cases, sanitized, scripts, quality_intervals, length_percentiles, cyrillic_words, cyrillic_documents, resolved_words, method_shares, converted_documents, coverage, round_trip, neighbours, spread_documents, word_features, model_documents)}
+QUERIES = {f.__name__: f for f in (source_profile, token_kinds, word_frequencies, tokens_joined, word_cases, sanitized, scripts, quality_intervals, length_percentiles, cyrillic_words, cyrillic_documents, resolved_words, method_shares, converted_documents, coverage, round_trip, neighbours, spread_documents, word_features, model_documents, paired_sentences)}
