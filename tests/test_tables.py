@@ -34,8 +34,8 @@ def test_declared_files(spark, tmp_path):
     (tmp_path / "c.tsv").write_text("#!schema s:2\nклас\tloan\n", encoding="utf-8")
     kept = tables.declared_files(tables.lines(spark, str(tmp_path)), "s:1")
     assert {r.file for r in kept.collect()} == {"a.tsv"}
-    assert tables.declaration((tmp_path / "a.tsv").read_text(encoding="utf-8").splitlines()) == ("s:1", ("stem", "class"))
-    assert tables.declaration((tmp_path / "b.tsv").read_text(encoding="utf-8").splitlines()) == (None, ())
+    said = {r["file"]: (r["schema"], r["columns"]) for r in tables.declarations(tables.lines(spark, str(tmp_path))).collect()}
+    assert said == {"a.tsv": ("s:1", ["stem", "class"]), "c.tsv": ("s:2", None)}
 
 
 def test_names_begin_words(spark):

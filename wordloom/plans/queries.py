@@ -10,6 +10,7 @@ from wordloom.functions.rules import TO_N, TO_T
 from wordloom.functions.translit import detect_script, transliterate_word, transliterated
 from wordloom.operators import classifier
 from wordloom.operators import evaluate as ev
+from wordloom.operators.alignment import with_differences
 from wordloom.operators.candidates import spread
 from wordloom.operators.convert import convert, converted_words, text_of, words_of
 from wordloom.operators.settled import settle
@@ -149,6 +150,13 @@ def paired_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_sentences(rows.filter("doc_id % 2 = 0"), rows.filter("doc_id % 2 <> 0"))
 
 
+def edit_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(shape, codes, words, n, likeness): what changes in the words of the documents when they are converted, by the edits that make the change."""
+    words = settle(resolved_words(spark, sf_dir).filter("word <> target").select("word", "target", "n"))
+    kinds = with_differences(words, "word", "target").withColumnsRenamed({"source": "word", "expected": "target"})
+    return words.join(kinds, ["word", "target"]).groupBy("shape", "codes").agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.round(F.avg("similarity"), 9).alias("likeness"))
+
+
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = cyrillic_words(spark, sf_dir).select(F.col("cyrillic").alias("word"), "n")
     return ev.coverage(words, Options())
@@ -164,4 +172,4 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_words(tokens, "doc_id", 1).select(F.lower("token").alias("word"), F.lower(F.get("after", F.lit(0))).alias("next")).groupBy("word", "next").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (source_profile, token_kinds, word_frequencies, tokens_joined, word_cases, sanitized, scripts, quality_intervals, length_percentiles, cyrillic_words, cyrillic_documents, resolved_words, method_shares, converted_documents, coverage, round_trip, neighbours, spread_documents, word_features, model_documents, paired_sentences)}
+QUERIES = {f.__name__: f for f in (source_profile, token_kinds, word_frequencies, tokens_joined, word_cases, sanitized, scripts, quality_intervals, length_percentiles, cyrillic_words, cyrillic_documents, resolved_words, method_shares, converted_documents, coverage, round_trip, neighbours, spread_documents, word_features, model_documents, paired_sentences, edit_shapes)}

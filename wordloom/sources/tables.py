@@ -145,27 +145,20 @@ def with_w_names(words: DataFrame, names: DataFrame) -> DataFrame:
     return words.join(hit.withColumn("_w", F.lit(True)), "word", "left").withColumn("w_name", F.coalesce("_w", F.lit(False))).drop("_w")
 
 
-def declaration(head: list[str]) -> tuple[str | None, tuple[str, ...]]:
-    """(schema, columns) that the directives among a file's first lines declare; they end where its rows begin."""
-    schema: str | None = None
-    columns: tuple[str, ...] = ()
-    for line in (x.strip() for x in head):
-        if line and not line.startswith("#"):
-            break
-        if line.startswith(SCHEMA_LINE):
-            schema = line.removeprefix(SCHEMA_LINE).strip() or None
-        elif line.startswith(COLUMNS_LINE):
-            columns = tuple(c.strip() for c in line.removeprefix(COLUMNS_LINE).split("\t") if c.strip())
-    return schema, columns
+def declarations(source: DataFrame) -> DataFrame:
+    """(file, schema, columns) of the files of source (file, block, k, value): what directives before a file's first row say, the last of each kind; null where none does."""
+    at, line = F.struct("block", "k"), F.trim("value")
+    first = source.filter((line != "") & ~line.startswith("#")).groupBy("file").agg(F.min(at).alias("first"))
+    said = source.filter(line.startswith("#!")).select("file", at.alias("at"), line.alias("line")).join(first, "file", "left").filter(F.col("first").isNull() | (F.col("at") < F.col("first")))
+    last = lambda mark: F.max_by(F.trim(F.substring("line", len(mark) + 1, 1 << 20)), F.when(F.col("line").startswith(mark), F.col("at")))
+    both = said.groupBy("file").agg(last(SCHEMA_LINE).alias("schema"), last(COLUMNS_LINE).alias("columns"))
+    names = F.filter(F.transform(F.split("columns", "\t"), F.trim), lambda c: c != "")
+    return both.select("file", F.nullif("schema", F.lit("")).alias("schema"), names.alias("columns"))
 
 
 def declared_files(source: DataFrame, schema: str) -> DataFrame:
     """Lines of the files that declare the schema before their first row; other files of the folder are left out."""
-    place = F.struct("block", "k")
-    row = (F.trim("value") != "") & ~F.ltrim("value").startswith("#")
-    heads = source.groupBy("file").agg(F.min(F.when(row, place)).alias("first"), F.max(F.when(F.trim("value").startswith(SCHEMA_LINE), F.struct(place.alias("at"), F.trim(F.substring(F.trim("value"), len(SCHEMA_LINE) + 1, 1 << 20)).alias("schema")))).alias("said"))
-    fit = heads.filter((F.col("said.schema") == schema) & (F.col("first").isNull() | (F.col("said.at") < F.col("first")))).select("file")
-    return source.join(F.broadcast(fit), "file", "left_semi")
+    return source.join(F.broadcast(declarations(source).filter(F.col("schema") == schema).select("file")), "file", "left_semi")
 
 
 def wiki_articles(spark: SparkSession, path: str, excluded: DataFrame | None = None) -> DataFrame:
