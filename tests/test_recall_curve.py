@@ -1,0 +1,43 @@
+"""Every point of the curve equals conversion with that many candidates."""
+
+import shutil
+
+import pytest
+from pyspark.sql import functions as F
+
+from wordloom.operators.candidates import recall_figures
+from wordloom.operators.recall_curve import recall_curve
+from wordloom.operators.resolve import Options, resolve
+from wordloom.sources import reference_tables
+
+CANDIDATES = [("марке", "e", None), ("карпа", "", "карпо"), ("карп", "l", None), ("снег", "", "сныг"), ("міле", "l,e", None), ("сінте", "i", None), ("карпат", "", "карпят"), ("марке", "e,l", None), ("план", "", "плён")]
+PAIRS = [("маркетынг", "маркэтынг"), ("Маркетынг", "маркэтынг"), ("карпаты", "карпяты"), ("карпара", "карпара"), ("карпара", "карпора"), ("снегам", "сьнегам"), ("міле", "міле"), ("сінтезам", "сынтэзам"), ("сінтезам", "сынтезам"), ("марка-сінтез", "марка-сынтез"), ("марке-карпа", "марке-карпа"), ("план", "плян"), ("планам", "плянам"), ("хата", "хату"), ("дом", "дым"), ("", "а"), (None, "а"), ("лес", None)]
+
+
+@pytest.fixture
+def pairs(spark):
+    return spark.createDataFrame(PAIRS, "source string, expected string")
+
+
+def test_points_equal_conversions(spark, pairs, tmp_path):
+    rows = [(k, s, c.split(",") if c else [], t) for k, (s, c, t) in enumerate(CANDIDATES, 1)]
+    curve = {r["stems"]: r for r in recall_curve(pairs, spark.createDataFrame(rows, "rank int, stem string, codes array<string>, target string")).collect()}
+    assert sorted(curve) == list(range(len(rows) + 1))
+    for n in (0, 1, 3, 7, 9):
+        folder = tmp_path / str(n)
+        shutil.copytree(reference_tables.FOLDER, folder)
+        with (folder / "stems.tsv").open("a", encoding="utf-8") as out:
+            for stem, codes, target in CANDIDATES[:n]:
+                out.write(f"{stem}\tloan\t{codes or '-'}\ttest\treviewed\t{target or ''}\n")
+        options = Options(folder=folder)
+        low = pairs.filter("source <> '' AND expected IS NOT NULL").select(F.lower("source").alias("source"), "expected")
+        outs = resolve(low.select(F.col("source").alias("word")), options).select(F.col("word").alias("source"), F.col("target").alias("out"))
+        wanted = recall_figures(low.join(outs, "source")).first()
+        assert {c: curve[n][c] for c in wanted.asDict()} == pytest.approx(wanted.asDict()), n
+    assert len({r["hits"] for r in curve.values()}) > 2 and len({r["wrong"] for r in curve.values()}) > 1
+
+
+def test_nothing_to_do(spark, pairs):
+    none = spark.createDataFrame([], "rank int, stem string, codes array<string>, target string")
+    assert [r["stems"] for r in recall_curve(pairs, none).collect()] == [0]
+    assert [tuple(r)[:5] for r in recall_curve(pairs.limit(0), none).collect()] == [(0, 0, 0, 0, 0.0)]

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as tx
-from wordloom.functions.rules import TO_N, TO_T
+from wordloom.functions.rules import TO_N, TO_T, e_to_eh
 from wordloom.functions.translit import detect_script, transliterate_word, transliterated
 from wordloom.operators import classifier
 from wordloom.operators import evaluate as ev
 from wordloom.operators.alignment import with_differences
-from wordloom.operators.candidates import spread
+from wordloom.operators.candidates import numbered, spread
 from wordloom.operators.convert import convert, converted_words, text_of, words_of
+from wordloom.operators.recall_curve import recall_curve
 from wordloom.operators.settled import settle
 from wordloom.operators.resolve import Options, resolve
 from wordloom.operators.sentence_pairs import align_sentences
@@ -157,6 +158,16 @@ def edit_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.join(kinds, ["word", "target"]).groupBy("shape", "codes").agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.round(F.avg("similarity"), 9).alias("likeness"))
 
 
+def stem_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall and precision by the number of stems: five-letter beginnings of the documents' words, most frequent first, that harden е; words that occur once should not change."""
+    words = settle(cyrillic_words(spark, sf_dir).groupBy(F.col("cyrillic").alias("source")).agg(F.sum("n").alias("n")))
+    expected = F.when(F.col("n") > 1, e_to_eh(F.col("source"))).otherwise(F.col("source"))
+    stem = F.substring("source", 1, 5)
+    hard = words.filter(e_to_eh(stem) != stem).groupBy(stem.alias("stem")).agg(F.sum("n").alias("n"))
+    ranked = numbered(hard, F.desc("n"), "stem").select((F.col("number") + 1).alias("rank"), "stem", F.array(F.lit("e")).alias("codes"), F.lit(None).cast("string").alias("target"))
+    return recall_curve(words.select("source", expected.alias("expected")), ranked)
+
+
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = cyrillic_words(spark, sf_dir).select(F.col("cyrillic").alias("word"), "n")
     return ev.coverage(words, Options())
@@ -172,4 +183,4 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_words(tokens, "doc_id", 1).select(F.lower("token").alias("word"), F.lower(F.get("after", F.lit(0))).alias("next")).groupBy("word", "next").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (source_profile, token_kinds, word_frequencies, tokens_joined, word_cases, sanitized, scripts, quality_intervals, length_percentiles, cyrillic_words, cyrillic_documents, resolved_words, method_shares, converted_documents, coverage, round_trip, neighbours, spread_documents, word_features, model_documents, paired_sentences, edit_shapes)}
+QUERIES = {f.__name__: f for f in (source_profile, token_kinds, word_frequencies, tokens_joined, word_cases, sanitized, scripts, quality_intervals, length_percentiles, cyrillic_words, cyrillic_documents, resolved_words, method_shares, converted_documents, coverage, round_trip, neighbours, spread_documents, word_features, model_documents, paired_sentences, edit_shapes, stem_curve)}
