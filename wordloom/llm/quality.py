@@ -188,15 +188,16 @@ def judge(scored: DataFrame, cutoffs: DataFrame) -> DataFrame:
     return both.withColumn("kept", ~rejected).drop("_stratum", *[f"{r}_cutoff" for r in GRIDS])
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", rules: Rules = Rules(), together: bool = True) -> DataFrame:
     """Verdicts: (id_col, counts, base_failed, kept), a row for each row of docs.
 
     An empty docs gives an empty result; without labels only the base rules
     reject. Repeated rows are judged each. Null ids get a verdict but count as
-    unlabelled. The texts are read once: their counts go to the checkpoint folder.
+    unlabelled. The texts are read once: their counts go to the checkpoint
+    folder. together: cutoffs by calibrate_together.
     """
     scored = settle(features(docs, text_col, stratum_col, rules, keep=[id_col]))
-    cutoffs = calibrate(scored, labels, id_col, rules=rules)
+    cutoffs = (calibrate_together if together else calibrate)(scored, labels, id_col, rules=rules)
     return judge(scored, cutoffs).select(id_col, *COUNTS, "base_failed", "kept")
 
 

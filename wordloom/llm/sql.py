@@ -13,6 +13,10 @@ def op3() -> str:
     tested = ", ".join(f"('{name}', {i}, {c}::DOUBLE)" for name, grid in quality.GRIDS.items() for i, c in enumerate(grid))
     score = "CASE rule " + " ".join(f"WHEN '{name}' THEN {name}" for name in quality.GRIDS) + " END"
     p = rules.risk / r
+    path = ", ".join(f"({i}, {', '.join(f'{cutoffs[name]}::DOUBLE' for name in quality.GRIDS)})" for i, cutoffs in enumerate(quality.PATH))
+    columns = ", ".join(f"{name}_cutoff" for name in quality.GRIDS)
+    over = " OR ".join(f"coalesce({name} > {name}_cutoff, false)" for name in quality.GRIDS)
+    alone = ", ".join(f"min(cutoff) FILTER (WHERE rule = '{name}') AS {name}_cutoff" for name in quality.GRIDS)
     return rf"""
 WITH base AS (
   SELECT doc_id, lang AS stratum, coalesce(text, '') AS t,
@@ -42,24 +46,36 @@ WITH base AS (
          CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_share,
          CASE WHEN word_chars > 0 THEN n_upper / word_chars ELSE 0 END AS upper_share
   FROM counts
-), good AS (
-  SELECT s.* FROM scored s
-  WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(coalesce(quality, 0)) = 1)
+), marked AS (
+  SELECT s.*, m.good FROM scored s JOIN (SELECT doc_id, min(coalesce(quality, 0)) = 1 AS good FROM labels GROUP BY doc_id) m USING (doc_id) WHERE NOT base_failed
+), good AS MATERIALIZED (
+  SELECT * FROM marked WHERE good
+), strata AS (
+  SELECT count(DISTINCT coalesce(stratum, '')) AS n FROM good
 ), tried AS (
-  SELECT stratum, rule, i, cutoff, count(*) AS n, count(*) FILTER (WHERE ({score}) > cutoff) AS k
+  SELECT stratum, rule, i, cutoff, count(*) AS n, count(*) FILTER (WHERE ({score}) > cutoff) AS k, {p} AS p, {rules.failure / 2 / r} / (SELECT n FROM strata) AS level
   FROM good, (VALUES {tested}) g(rule, i, cutoff) GROUP BY ALL
+  UNION ALL
+  SELECT stratum, 'together', i, NULL, count(*), count(*) FILTER (WHERE {over}), {rules.risk}, {rules.failure / 2} / (SELECT n FROM strata)
+  FROM good, (VALUES {path}) g(i, {columns}) GROUP BY ALL
 ), judged AS (
-  SELECT *, CASE WHEN k >= n * {p} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j:
-           exp(lgamma(n + 1) - CASE WHEN j > 0 THEN lgamma(j + 1) ELSE 0 END - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p})))) END
-         <= {rules.failure} / ({r} * (SELECT count(DISTINCT coalesce(stratum, '')) FROM good)) AS stands
+  SELECT *, CASE WHEN k >= n * p THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j:
+           exp(lgamma(n + 1) - CASE WHEN j > 0 THEN lgamma(j + 1) ELSE 0 END - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p)))) END <= level AS stands
   FROM tried
 ), cut AS (
-  SELECT stratum, rule, min(cutoff) AS cutoff FROM judged a
+  SELECT stratum, rule, min(cutoff) AS cutoff, max(i) AS i FROM judged a
   WHERE NOT EXISTS (SELECT 1 FROM judged b WHERE b.stratum IS NOT DISTINCT FROM a.stratum AND b.rule = a.rule AND b.i <= a.i AND NOT b.stands)
   GROUP BY stratum, rule
+), ways AS (
+  SELECT stratum, false AS joint, {alone} FROM cut WHERE rule <> 'together' GROUP BY stratum
+  UNION ALL SELECT stratum, true, {columns} FROM cut JOIN (VALUES {path}) g(i, {columns}) USING (i) WHERE rule = 'together'
+), caught AS (
+  SELECT w.stratum, joint, {columns}, (SELECT count(*) FROM marked m WHERE NOT m.good AND m.stratum IS NOT DISTINCT FROM w.stratum AND ({over})) AS bad FROM ways w
+), chosen AS (
+  SELECT * FROM caught QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY bad DESC, joint DESC) = 1
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR EXISTS (SELECT 1 FROM cut WHERE cut.stratum IS NOT DISTINCT FROM scored.stratum AND ({score}) > cutoff)) AS kept
+       NOT (base_failed OR EXISTS (SELECT 1 FROM chosen c WHERE c.stratum IS NOT DISTINCT FROM scored.stratum AND ({over}))) AS kept
 FROM scored
 """
 
@@ -117,7 +133,7 @@ FROM turns GROUP BY conv_id
 """
 
 
-def op10(rules: tuple[url_graph.Rule, ...] = url_graph.RULES, damping: float = 0.85, rounds: int = 15) -> str:
+def op10(rules: tuple[url_graph.Rule, ...] = url_graph.RULES, damping: float = 0.85, rounds: int = 200, digits: int = 10) -> str:
     host = lambda u: f"CASE WHEN contains({u}, '://') THEN translate(regexp_extract(substr({u}, strpos({u}, '://') + 3), '^[^/?#]*'), '{url_graph.UPPER}', '{url_graph.LOWER}') ELSE '' END"
     values = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in rules)
     step = lambda k: f"""
@@ -146,13 +162,13 @@ WITH urls AS (
   SELECT 'trust' AS kind, src AS giver, dst AS taker, n / sum(n) OVER (PARTITION BY src) AS share FROM edges
   UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM edges
 ), s0 AS MATERIALIZED (
-  SELECT kind, host, 1.0::DOUBLE / count(*) OVER (PARTITION BY kind) AS score
-  FROM (SELECT host, CASE WHEN min(verdict) = 'allow' THEN 'trust' ELSE 'distrust' END AS kind
-        FROM ruled WHERE k = 1 AND verdict IS NOT NULL AND host <> '' GROUP BY host HAVING min(verdict) = max(verdict))
+  SELECT kind, host, n::DOUBLE / sum(n) OVER (PARTITION BY kind) AS score
+  FROM (SELECT host, CASE WHEN verdict = 'allow' THEN 'trust' ELSE 'distrust' END AS kind, count(*) AS n
+        FROM ruled WHERE k = 1 AND verdict IS NOT NULL AND host <> '' GROUP BY ALL)
 ){"".join(step(k) for k in range(1, rounds + 1))}
 , blocked AS (
   SELECT host FROM (SELECT * FROM s{rounds} WHERE (SELECT count(*) FROM moves) > 0 UNION ALL SELECT * FROM s0 WHERE (SELECT count(*) FROM moves) = 0) GROUP BY host
-  HAVING round(coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0), 12) > round(coalesce(sum(score) FILTER (WHERE kind = 'trust'), 0), 12)
+  HAVING coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0) - coalesce(sum(score) FILTER (WHERE kind = 'trust'), 0) > coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0) * 1e-{digits}
 )
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled WHERE k = 1

@@ -1,21 +1,20 @@
 """URL filtering by rules, and by trust and distrust that spread over links between hosts.
 
-Trust starts from hosts all of whose ruled pages are allowed and follows links;
-distrust starts from hosts all of whose ruled pages are blocked and goes against
-them, from a host to those that link to it. Both are personalised PageRank with
-a fixed number of rounds, or as many more as it takes to reach every host that
-links lead to; a host with more distrust than trust is blocked.
+Trust starts from hosts with allowed pages, in proportion to their number, and
+follows links; distrust starts likewise from hosts with blocked pages and goes
+against them, from a host to those that link to it. Both are personalised
+PageRank, summed up round by round until what is still under way can't turn any
+host's verdict; a host with more distrust than trust is blocked.
 """
 
 from __future__ import annotations
 
-import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import settle
+from wordloom.llm.common import discard, settle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Blocked hosts are broadcast up to this number, else joined by shuffle.
@@ -78,51 +77,63 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return edges.filter("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def _all_reached(moves: DataFrame, scores: DataFrame) -> bool:
-    takers = moves.join(scores.select("kind", F.col("host").alias("giver")), ["kind", "giver"], "left_semi").select("kind", F.col("taker").alias("host"))
-    return takers.join(scores, ["kind", "host"], "left_anti").isEmpty()
+def _by_kind(state: DataFrame) -> DataFrame:
+    sums = [F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind) for kind in ("trust", "distrust")]
+    return state.groupBy("host").agg(*sums)
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 15) -> DataFrame:
-    """(host, trust, distrust) of all hosts that either reaches. seeds: (host, kind), kind trust or distrust.
+def _blocked(lead: Column, scale: Column, digits: int) -> Column:
+    return lead > scale * 10.0**-digits
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, digits: int = 10, least: float = 1e-15) -> DataFrame:
+    """(host, trust, distrust) of all hosts that either reaches. seeds: (host, kind, weight), kind trust or distrust.
 
     Edges are stored once, those of either kind in its own direction with the
     share of the giver's score that they pass on; each round is one join on the
     giver and one sum by the taker, and what a round's plan holds is cut every
-    five rounds. A giver without edges passes nothing on. After the given rounds
-    it goes on, five at a time, while some host is still to be reached.
+    five rounds. A giver without edges passes nothing on. Scores only grow: with
+    m the sum of what the last round brought, all further rounds bring at most
+    m * damping / (1 - damping). It goes on until that can't turn the order of
+    any host's two scores, to so many significant digits, or is below least.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("total"))
-    ahead = edges.join(out, "src").select(F.lit("trust").alias("kind"), F.col("src").alias("giver"), F.col("dst").alias("taker"), (F.col("n") / F.col("total")).alias("share"))
-    back = edges.join(into, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("giver"), F.col("src").alias("taker"), (F.col("n") / F.col("total")).alias("share"))
+    ahead = edges.join(out, "src").select(F.lit("trust").alias("kind"), F.col("src").alias("giver"), F.col("dst").alias("taker"), (F.col("n") / F.col("total") * damping).alias("share"))
+    back = edges.join(into, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("giver"), F.col("src").alias("taker"), (F.col("n") / F.col("total") * damping).alias("share"))
     moves = settle(ahead.unionByName(back))
-    counts = {r["kind"]: r["n"] for r in seeds.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    weight = F.lit(0.0)
-    for kind, n in counts.items():
-        weight = F.when(F.col("kind") == kind, F.lit(1.0 / n)).otherwise(weight)
-    start = settle(seeds.select("kind", "host", weight.alias("score")))
-    scores = start
-    if not moves.isEmpty():
-        base = start.select("kind", "host", (F.col("score") * (1 - damping)).alias("score"))
-        for k in itertools.count(1):
-            given = moves.join(scores.withColumnRenamed("host", "giver"), ["kind", "giver"])
-            taken = given.select("kind", F.col("taker").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-            scores = base.unionByName(taken).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-            if k % 5 == 0 or k == rounds:
-                scores = settle(scores)
-                if k >= rounds and _all_reached(moves, scores):
-                    break
-    by_kind = [F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind) for kind in ("trust", "distrust")]
-    return scores.groupBy("host").agg(*by_kind)
-
-
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple[Rule, ...] = RULES, damping: float = 0.85, rounds: int = 15, digits: int = 12) -> DataFrame:
+    totals = seeds.groupBy("kind").agg(F.sum("weight").alias("all"))
+    first = F.col("weight") / F.col("all") * (1 - damping)
+    given = seeds.join(F.broadcast(totals), "kind").select("kind", "host", first.alias("last"))
+    # Hosts that are still to be reached stand there with nothing.
+    reachable = moves.select("kind", F.col("taker").alias("host"), F.lit(0.0).alias("last"))
+    state = settle(given.unionByName(reachable).groupBy("kind", "host").agg(F.sum("last").alias("last")).withColumn("score", F.col("last")))
+    going = not moves.isEmpty()
+    while going:
+        before = state
+        for _ in range(5):
+            given = moves.join(state.filter("last > 0").select("kind", F.col("host").alias("giver"), "last"), ["kind", "giver"])
+            taken = given.select("kind", F.col("taker").alias("host"), (F.col("last") * F.col("share")).alias("last")).withColumn("score", F.col("last"))
+            state = state.withColumn("last", F.lit(0.0)).unionByName(taken).groupBy("kind", "host").agg(F.sum("last").alias("last"), F.sum("score").alias("score"))
+        state = settle(state)
+        discard(before)
+        rest = {r["kind"]: r["n"] * damping / (1 - damping) for r in state.groupBy("kind").agg(F.sum("last").alias("n")).collect()}
+        to_trust, to_distrust = rest.get("trust", 0.0), rest.get("distrust", 0.0)
+        surely = _blocked(F.col("distrust") - F.col("trust") - to_trust, F.col("distrust"), digits)
+        never = ~_blocked(F.col("distrust") + to_distrust - F.col("trust"), F.col("distrust") + to_distrust, digits)
+        going = max(to_trust, to_distrust) > least and not _by_kind(state).filter(~(surely | never)).isEmpty()
+    discard(moves)
+    return _by_kind(state)
+
+
+def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple[Rule, ...] = RULES, damping: float = 0.85, digits: int = 10) -> DataFrame:
     """(id_col, host, path, rule, verdict), a row for each row of pages.
 
     Where no rule fits, a page is blocked if its host has more distrust than
-    trust (by more than their last of so many significant digits, so that the
-    order of sums doesn't count, and small scores of large graphs do).
+    trust (by more than the last of so many significant digits, so that the
+    order of sums doesn't count, and small scores of large graphs do). A host
+    counts as trusted, or distrusted, for each of its pages that a rule allows,
+    or blocks; on both sides by their shares of all such pages.
     A host with no score, an empty one included, is allowed. A null or broken
     url has an empty host and path; null html has no links. Ids may be null or
     repeat; repeated pages repeat their links. Other columns are not read.
@@ -132,10 +143,12 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     verdicts = F.array(*[F.lit(r.verdict) for r in rules]) if rules else F.array().cast("array<string>")
     names = F.array(*[F.lit(r.name) for r in rules]) if rules else F.array().cast("array<string>")
     urls = urls.select(id_col, "host", "path", F.get(names, F.col("_rule")).alias("rule"), F.get(verdicts, F.col("_rule")).alias("_verdict"))
-    ruled = urls.filter("_verdict IS NOT NULL AND host <> ''").groupBy("host").agg(F.min("_verdict").alias("a"), F.max("_verdict").alias("b")).filter("a = b")
-    seeds = ruled.select("host", F.when(F.col("a") == "allow", "trust").otherwise("distrust").alias("kind"))
-    scores = propagate(settle(host_edges(pages, url_col, html_col)), settle(seeds), damping, rounds)
-    blocked = settle(scores.filter(F.col("distrust") - F.col("trust") > F.col("distrust") * 10.0**-digits).select(F.col("host").alias("_host")))
+    ruled = urls.filter("_verdict IS NOT NULL AND host <> ''").groupBy("host", "_verdict").agg(F.count("*").alias("weight"))
+    seeds = ruled.select("host", F.when(F.col("_verdict") == "allow", "trust").otherwise("distrust").alias("kind"), "weight")
+    edges, seeds = settle(host_edges(pages, url_col, html_col)), settle(seeds)
+    scores = propagate(edges, seeds, damping, digits)
+    blocked = settle(scores.filter(_blocked(F.col("distrust") - F.col("trust"), F.col("distrust"), digits)).select(F.col("host").alias("_host")))
+    discard(edges, seeds)
     if blocked.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         blocked = F.broadcast(blocked)
     both = urls.join(blocked, F.col("host") == F.col("_host"), "left")
