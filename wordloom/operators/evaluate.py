@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as tx
-from wordloom.functions.rules import apply_rules
+from wordloom.functions.rules import apply_rules, rules_for
 from wordloom.operators.convert import converted_words, text_of, words_of
 from wordloom.operators.settled import settle
 from wordloom.operators.resolve import METHODS, Options, lexicon_of
 from wordloom.operators.stems import match_stems
-from wordloom.operators.tokens import explode_tokens
+from wordloom.operators.tokens import explode_tokens, kind_of, tokenize
 
 #: Differences that no spelling rule makes: endings, and patterns over "source>target", both folded.
 ENDINGS = (("а", "у"), ("у", "а"), ("", "аў"), ("", "яў"), ("аў", ""), ("яў", ""), ("а", "аў"), ("у", "аў"))
@@ -91,6 +91,41 @@ def per_rule(words: DataFrame) -> DataFrame:
     return sums.withColumn("precision", ratio(F.col("correct"), F.col("fired")))
 
 
+def rule_scores(words: DataFrame, options: Options = Options()) -> DataFrame:
+    """(rule, fired, correct, missed, precision, recall, f1) of words (source, expected, out, rule, n), n: how often each counts.
+
+    A rule misses a word that should change if it didn't change it, but would
+    have made it right by itself. All rules are tried on each distinct pair in
+    one pass, so nothing is joined with the rules. Rows with a null source or
+    expected word count for no rule.
+    """
+    low = words.select(F.lower("source").alias("source"), F.lower("expected").alias("expected"), F.lower("out").alias("out"), "rule", "n").filter("source IS NOT NULL AND expected IS NOT NULL")
+    counted = settle(low.withColumn("ids", F.coalesce(F.split("rule", "\\+"), F.array().cast("array<string>"))).groupBy("source", "expected", "out", "ids").agg(F.sum("n").alias("n")))
+    fired = counted.select(F.explode("ids").alias("rule"), F.col("n").alias("fired"), F.when(F.col("out") == F.col("expected"), F.col("n")).otherwise(0).alias("correct"), F.lit(0).cast("long").alias("missed"))
+    wrong = counted.filter("source <> expected")
+    pairs = match_stems(wrong.select(F.col("source").alias("word")).distinct(), options.direction, folder=options.folder)
+    tried = wrong.join(pairs, F.col("source") == F.col("word"))
+    alone = F.array(*[F.when(r.change(F.col("source"), F.col("stem")) == F.col("expected"), F.lit(r.id)) for r in rules_for(options.direction, options.aggressive)])
+    missing = F.array_except(F.filter(alone, lambda r: r.isNotNull()), "ids")
+    missed = tried.select(F.explode(missing).alias("rule"), F.lit(0).cast("long").alias("fired"), F.lit(0).cast("long").alias("correct"), F.col("n").alias("missed"))
+    sums = fired.unionByName(missed).groupBy("rule").agg(*[F.sum(c).alias(c) for c in ("fired", "correct", "missed")])
+    p, r = ratio(F.col("correct"), F.col("fired")), ratio(F.col("correct"), F.col("correct") + F.col("missed"))
+    return sums.withColumn("precision", p).withColumn("recall", r).withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+def sentence_figures(pairs: DataFrame, key: str, source: str, expected: str, options: Options = Options()) -> DataFrame:
+    """(pairs, misaligned, accuracy, baseline) of sentences: those whose words differ in number from the expected ones, the share that conversion gives exactly, and the share that is right as it stands.
+
+    A null counts as an empty sentence.
+    """
+    given = settle(pairs.select(key, F.coalesce(source, F.lit("")).alias("_a"), F.coalesce(expected, F.lit("")).alias("_b")))
+    words = F.size(F.filter(tokenize(F.col("_b")), lambda t: t.rlike("^\\p{IsCyrillic}")))
+    made = converted_words(given, key, F.col("_a"), options).select(key, text_of().alias("_out"), F.size("words").alias("_n"))
+    both = given.join(made, key)
+    sums = both.agg(F.count("*").alias("pairs"), F.count_if(F.col("_n") != words).alias("misaligned"), F.count_if(F.col("_out") == F.col("_b")).alias("right"), F.count_if(F.col("_a") == F.col("_b")).alias("same"))
+    return sums.select("pairs", "misaligned", ratio(F.col("right"), F.col("pairs")).alias("accuracy"), ratio(F.col("same"), F.col("pairs")).alias("baseline"))
+
+
 def per_method(words: DataFrame) -> DataFrame:
     """(method, n, share) over converted words (a column method); every method has a row."""
     every = words.sparkSession.createDataFrame([(m,) for m in METHODS], "method string")
@@ -121,8 +156,6 @@ def coverage(forms: DataFrame, options: Options = Options()) -> DataFrame:
 
 def word_frequencies(docs: DataFrame, key: str, text: Column, kinds: tuple[str, ...] = ("word",), least_chars: int = 2) -> DataFrame:
     """(word, n): lower-case words of the kinds, counted where they lie before the shuffle."""
-    from wordloom.operators.tokens import kind_of, tokenize
-
     # Distinct tokens are few, so they are counted first, and then looked at.
     tokens = docs.select(F.explode(tokenize(text)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     return tokens.filter(kind_of(F.col("token")).isin(*kinds) & (F.length("token") >= least_chars)).groupBy(F.lower("token").alias("word")).agg(F.sum("n").alias("n"))
@@ -144,20 +177,17 @@ def round_trip(docs: DataFrame, key: str, text: Column, there: Options, back: Op
 
 
 def compare_baseline(recorded: DataFrame, measured: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """(name, recorded, measured, delta, regressed) of metrics (name, value): rates are ceilings, ratios floors, counts may not shrink."""
-    both = recorded.select("name", F.col("value").alias("recorded")).join(measured.select("name", F.col("value").alias("measured")), "name")
+    """(name, recorded, measured, delta, regressed) of metrics (name, value): rates are ceilings, ratios floors, counts may not shrink.
+
+    A metric that is no longer measured has regressed; one that wasn't recorded has not.
+    """
+    both = recorded.select("name", F.col("value").alias("recorded")).join(measured.select("name", F.col("value").alias("measured")), "name", "full")
     delta = F.col("measured") - F.col("recorded")
-    regressed = F.when(F.col("name").endswith("_rate"), delta > tolerance).when(F.col("name").rlike("_(recall|precision)$"), delta < -tolerance).otherwise(delta < 0)
+    worse = F.when(F.col("name").endswith("_rate"), delta > tolerance).when(F.col("name").rlike("_(recall|precision)$"), delta < -tolerance).otherwise(delta < 0)
+    regressed = F.when(F.col("measured").isNull(), True).when(F.col("recorded").isNull(), False).otherwise(worse)
     return both.withColumn("delta", delta).withColumn("regressed", regressed)
 
 
-def lexicon_problems(pairs: DataFrame, source: str = "narkamauka", target: str = "taraskievica") -> DataFrame:
-    """(source, problem): empty cells, letters outside the alphabet, and words with several targets."""
-    faults = pairs.select(F.col(source).alias("source"), F.when((F.trim(source) == "") | (F.trim(target) == ""), "empty side").when(~tx.is_word(F.col(source)) | ~tx.is_word(F.col(target)), "letters outside the alphabet").alias("problem")).filter("problem IS NOT NULL")
-    several = pairs.groupBy(F.col(source).alias("source")).agg(F.count_distinct(target).alias("k")).filter("k > 1").select("source", F.lit("several targets").alias("problem"))
-    return faults.unionByName(several)
-
-
 def stress_candidates(readings: DataFrame) -> DataFrame:
     """(form) of (form, reading with + after stressed vowels): those with one reading, one mark, on the first vowel."""
     one = readings.groupBy("form").agg(F.collect_set("reading").alias("r")).filter("size(r) = 1").select("form", F.get("r", F.lit(0)).alias("reading"))

@@ -168,6 +168,14 @@ def stem_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall_curve(words.select("source", expected.alias("expected")), ranked)
 
 
+def rule_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules on the way back: the documents' words, converted there and back, should be what they were."""
+    there = settle(resolved_words(spark, sf_dir).select("word", F.col("target").alias("middle"), "n"))
+    back = resolve(there.select(F.col("middle").alias("word")), Options(direction=TO_N)).select(F.col("word").alias("middle"), F.col("target").alias("out"), "rule")
+    words = there.join(back, "middle").select(F.col("middle").alias("source"), F.col("word").alias("expected"), "out", "rule", "n")
+    return ev.rule_scores(words, Options(direction=TO_N))
+
+
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = cyrillic_words(spark, sf_dir).select(F.col("cyrillic").alias("word"), "n")
     return ev.coverage(words, Options())
@@ -183,4 +191,4 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_words(tokens, "doc_id", 1).select(F.lower("token").alias("word"), F.lower(F.get("after", F.lit(0))).alias("next")).groupBy("word", "next").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (source_profile, token_kinds, word_frequencies, tokens_joined, word_cases, sanitized, scripts, quality_intervals, length_percentiles, cyrillic_words, cyrillic_documents, resolved_words, method_shares, converted_documents, coverage, round_trip, neighbours, spread_documents, word_features, model_documents, paired_sentences, edit_shapes, stem_curve)}
+QUERIES = {f.__name__: f for f in (source_profile, token_kinds, word_frequencies, tokens_joined, word_cases, sanitized, scripts, quality_intervals, length_percentiles, cyrillic_words, cyrillic_documents, resolved_words, method_shares, converted_documents, coverage, round_trip, neighbours, spread_documents, word_features, model_documents, paired_sentences, edit_shapes, stem_curve, rule_outcomes)}
