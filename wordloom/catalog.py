@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.functions.text import APOSTROPHES, LETTERS, VOWELS
+from wordloom.functions.rules import RULES
+from wordloom.functions.text import APOSTROPHES, LETTERS, SOFT_VOWELS, SOFTENERS, VOWELS
 from wordloom.operators import evaluate as ev
 from wordloom.plans import queries as own
 from wordloom.plans import sql_queries
@@ -99,6 +100,52 @@ def _features_sql() -> str:
 ) SELECT feature, sum(k)::BIGINT AS n FROM ({" UNION ALL ".join(parts)}) GROUP BY feature"""
 
 
+def _rules_sql() -> str:
+    """Each rule without a stem as nested replacements: this dialect's patterns look neither ahead nor back."""
+    soft, sign = f"[{SOFT_VOWELS}]", f"[{SOFTENERS}]"
+    trigger = f"(?:дз|[вмпблнсзц]){sign}"
+
+    def chain(*steps: tuple[str, str], times: int = 3) -> str:
+        out = "word"
+        for pattern, to in steps * times:
+            out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
+        return out
+
+    def dropped(*steps: tuple[str, str]) -> str:
+        """Signs that go are marked first, and soften like those that stay: all are dropped at once."""
+        return f"replace({chain(*steps, times=4)}, '#', '')"
+
+    mark = f"[{SOFTENERS}#]"
+    doubled = ("дз", "н", "л", "з", "с", "ц")
+    prefix = "^(?:па|за|на|вы|пера|раз|ус|у|з)?(?:а|па|на|пера)ддз"
+    made = {
+        "loan.eu": "CASE WHEN regexp_matches(word, '^е[ўу]') AND NOT regexp_matches(word, '^е[ўу](?:дакі|фрасін)') THEN 'э' || substr(word, 2) ELSE word END",
+        "palat.apostrophe": chain((f"([зс])’({soft})", "\\1ь\\2"), times=1),
+        "palat.geminate.dz": f"CASE WHEN regexp_matches(word, '{prefix}{sign}') THEN word ELSE {chain((f'д(дз{sign})', 'дзь' + chr(92) + '1'), times=1)} END",
+        "palat.geminate": chain(*[(f"{c}({c}{sign})", f"{c}ь\\1") for c in doubled]),
+        "palat.assim": chain((f"(^|[^д])з({trigger})", "\\1зь\\2"), (f"с({trigger})", "сь\\1")),
+        "palat.assim.ts_dz": chain((f"(дз|ц)(в{sign})", "\\1ь\\2")),
+        "morph.dsk_to_dzk": "replace(word, 'дск', 'дзк')",
+        "morph.final_tr": chain(("([тд])р$", "\\1ар"), times=1),
+        "loan.eu_reverse": "CASE WHEN regexp_matches(word, '^э[ўу]р') THEN 'е' || substr(word, 2) ELSE word END",
+        "loan.g_remove": "replace(word, 'ґ', 'г')",
+        "palat.ungeminate.dz": chain((f"дзь(дз{sign})", "д\\1"), times=1),
+        "palat.unassim": dropped((f"(^|[^д])зь((?:дз|[вмпблнсзц]){mark})", "\\1з#\\2"), (f"сь((?:дз|[вмпблнсзц]){mark})", "с#\\1")),
+        "palat.unassim.ts_dz": dropped((f"(дз|ц)ь(в{mark})", "\\1#\\2")),
+        "palat.ungeminate": dropped(*[(f"{c}ь({c}{mark})", f"{c}#\\1") for c in doubled]),
+        "palat.unapostrophe": chain((f"([зс])ь({soft})", "\\1’\\2"), times=1),
+        "morph.dzk_to_dsk": "replace(word, 'дзк', 'дск')",
+        "morph.ejsk_normalise": "CASE WHEN regexp_matches(word, '(?:яўр|паліц|кар)эйск') THEN word ELSE replace(word, 'эйск', 'ейск') END",
+        "morph.conj_j_i": "CASE word WHEN 'й' THEN 'і' ELSE word END",
+        "morph.particle.byaz": "CASE WHEN word IN ('бяз', 'бязь') THEN 'без' ELSE word END",
+        "morph.particle.nya": "CASE word WHEN 'ня' THEN 'не' ELSE word END",
+        "morph.preposition.z": "CASE WHEN word IN ('зь', 'безь', 'празь', 'церазь') THEN substr(word, 1, length(word) - 1) ELSE word END",
+    }
+    kept = {r.id: ", ".join(f"'{w}'" for w in r.exceptions) for r in RULES if r.exceptions}
+    each = " UNION ALL ".join(f"SELECT '{rule}' AS rule, word, n, {'CASE WHEN word IN (' + kept[rule] + ') THEN word ELSE ' + x + ' END' if rule in kept else x} AS made FROM words" for rule, x in made.items())
+    return f"WITH {_WORDS} SELECT rule, count(*) AS words, sum(n)::BIGINT AS n, sum(('0x' || left(md5(word || '>' || made), 8))::BIGINT)::BIGINT AS digest FROM ({each}) WHERE made <> word GROUP BY rule"
+
+
 _FOLDING = str.maketrans("эёыґў", "еоігу", "ь")
 
 
@@ -129,6 +176,7 @@ FROM (SELECT lower(token) AS word, count(*) AS n FROM kinds WHERE kind = 'latin'
   FROM (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{_TOKEN}') AS l FROM cyrillic)) WHERE regexp_matches(token, '^\\p{{Cyrillic}}')
 ) SELECT word, next, count(*) AS n FROM seen GROUP BY ALL""",
         "word_features": _features_sql(),
+        "rule_firings": _rules_sql(),
         "word_shapes": f"WITH {_WORDS} SELECT length(regexp_replace(word, '[^{VOWELS}]', '', 'g'))::INT AS syllables, NOT regexp_matches(word, '[^{LETTERS}{LETTERS.upper()}{APOSTROPHES.replace(chr(39), chr(39) * 2)}-]') AS sound, count(*) AS words, sum(n)::BIGINT AS n FROM words GROUP BY ALL",
         "folded_words": f"WITH {_WORDS} SELECT {_fold('word')} AS fold, count(*) AS spellings, min(word) AS first, sum(n)::BIGINT AS n FROM words GROUP BY 1 HAVING count(*) > 1",
         "letter_trigrams": f"WITH {_WORDS} SELECT gram, count(*) AS places, sum(n)::BIGINT AS n FROM (SELECT n, unnest(list_transform(range(1, length(word) + 1), lambda k: substr('^' || word || '$', k, 3))) AS gram FROM words) GROUP BY gram",

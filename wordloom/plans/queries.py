@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as tx
-from wordloom.functions.rules import TO_N, TO_T, e_to_eh
+from wordloom.functions.rules import RULES, TO_N, TO_T, e_to_eh
 from wordloom.functions.translit import detect_script, transliterate_word, transliterated
 from wordloom.operators import classifier
 from wordloom.operators import evaluate as ev
@@ -17,6 +17,7 @@ from wordloom.operators.recall_curve import recall_curve
 from wordloom.operators.settled import settle
 from wordloom.operators.resolve import Options, resolve
 from wordloom.operators.sentence_pairs import align_sentences
+from wordloom.operators.stems import STEM
 from wordloom.operators.tokens import context_words, detokenize, explode_tokens, kind_of, tokenize, with_bridges
 from wordloom.sources import reference_tables
 
@@ -176,6 +177,16 @@ def rule_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.rule_scores(words, Options(direction=TO_N))
 
 
+def rule_firings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rule, words, n, digest): what each rule that needs no stem does to the documents' words by itself; all rules in one pass over the distinct words."""
+    words = cyrillic_words(spark, sf_dir).groupBy(F.col("cyrillic").alias("word")).agg(F.sum("n").alias("n"))
+    alone = F.array(*[F.struct(F.lit(r.id).alias("rule"), r.change(F.col("word"), F.lit(None).cast(STEM)).alias("made")) for r in RULES if r.pattern])
+    fired = words.select("word", "n", F.explode(F.filter(alone, lambda x: x["made"] != F.col("word"))).alias("x"))
+    # Sums of digests are the same in any order.
+    digest = F.conv(F.substring(F.md5(F.concat_ws(">", "word", "x.made")), 1, 8), 16, 10).cast("long")
+    return fired.groupBy("x.rule").agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.sum(digest).alias("digest"))
+
+
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = cyrillic_words(spark, sf_dir).select(F.col("cyrillic").alias("word"), "n")
     return ev.coverage(words, Options())
@@ -191,4 +202,4 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_words(tokens, "doc_id", 1).select(F.lower("token").alias("word"), F.lower(F.get("after", F.lit(0))).alias("next")).groupBy("word", "next").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (source_profile, token_kinds, word_frequencies, tokens_joined, word_cases, sanitized, scripts, quality_intervals, length_percentiles, cyrillic_words, cyrillic_documents, resolved_words, method_shares, converted_documents, coverage, round_trip, neighbours, spread_documents, word_features, model_documents, paired_sentences, edit_shapes, stem_curve, rule_outcomes)}
+QUERIES = {f.__name__: f for f in (source_profile, token_kinds, word_frequencies, tokens_joined, word_cases, sanitized, scripts, quality_intervals, length_percentiles, cyrillic_words, cyrillic_documents, resolved_words, method_shares, converted_documents, coverage, round_trip, neighbours, spread_documents, word_features, model_documents, paired_sentences, edit_shapes, stem_curve, rule_outcomes, rule_firings)}

@@ -1,9 +1,9 @@
 """Conversion of a stream of texts.
 
 Conversion keeps nothing from one text to the next, so each micro-batch is
-converted as a table of its own: rules that read neighbours need window
-functions over a text's tokens, which streaming plans don't have, while a
-micro-batch's plan does. Results are those of the batch form.
+converted as a table of its own, with a dictionary of the batch's words: joins
+of a batch with what is made of itself, which a streaming plan doesn't have.
+Results are those of the batch form.
 """
 
 from __future__ import annotations
