@@ -2,12 +2,18 @@
 
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as tx
 from wordloom.functions.translit import detect_script, from_script, to_script
 from wordloom.operators import evaluate as ev
+from wordloom.operators import word_store
+from wordloom.operators.convert import convert
+from wordloom.operators.resolve import Options
 from wordloom.operators.tokens import kind_of, tokenize
+from wordloom.operators.word_store import WordStore
 from wordloom.streaming.convert_stream import convert_stream
 
 
@@ -92,3 +98,40 @@ def test_stream_equals_batch(spark, tmp_path):
     convert_stream(stream, "id", "text", str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = {r.id: r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: "Сьнег", 2: "Плян і сьнег"}
+
+
+def test_stream_resolves_a_word_once(spark, tmp_path):
+    """With a dictionary of its own a stream gives what a batch gives, and later batches resolve only words that are new."""
+    texts = ["Снег і план, не быў", "План і снег; снег-снег у Германіі", "", None, "сталіца Украіны, не быў"]
+    kind = "id long, text string"
+    for k, text in enumerate(texts):
+        spark.createDataFrame([(k, text)], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    words = str(tmp_path / "words")
+    convert_stream(stream, "id", "text", str(tmp_path / "out"), str(tmp_path / "state"), words=words).awaitTermination()
+    fields = ("id", "text", "changes", "stats")
+    by_id = lambda df: {r.id: r for r in df.select(*fields).collect()}
+    assert by_id(spark.read.parquet(str(tmp_path / "out"))) == by_id(convert(spark.createDataFrame(list(enumerate(texts)), kind), "id", F.col("text")))
+    store = WordStore(spark, words, Options())
+    added = [sorted(r.word for r in store.fresh(k).collect()) for k in range(5)]
+    assert sorted(sum(added, [])) == sorted({"снег", "і", "план", "не", "быў", "снег-снег", "у", "германіі", "сталіца", "украіны"})
+    assert all(added[k] != added[j] or not added[k] for k in range(5) for j in range(k))
+    # A batch that runs again finds and leaves the same.
+    again = spark.createDataFrame([("снег",), ("у",), ("снег",), (None,)], "word string")
+    second = next(k for k in range(5) if "снег-снег" in added[k])
+    before = {r.word for r in store.known(second).collect()}
+    assert {r.word for r in store.entries(again, second).collect()} == {"снег", "у"}
+    assert {r.word for r in store.fresh(second).collect()} == {"снег", "у"} - before
+    with pytest.raises(ValueError):
+        WordStore(spark, words, Options(aggressive=True))
+
+
+def test_a_long_store_is_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(word_store, "MERGED", 2)
+    store = WordStore(spark, str(tmp_path / "words"), Options())
+    for k in range(5):
+        got = store.entries(spark.createDataFrame([("снег",), (f"слова{'а' * k}",)], "word string"), k)
+        assert {r.word: r.target for r in got.collect()}["снег"] == "сьнег" and got.count() == 2
+    assert sorted(p.name for p in (tmp_path / "words").glob("merged=*")) == ["merged=2", "merged=4"]
+    assert [store.fresh(k).count() for k in range(5)] == [2, 1, 1, 1, 1]
+    assert store.known(5).count() == 6

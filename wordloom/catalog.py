@@ -175,6 +175,11 @@ FROM (SELECT lower(token) AS word, count(*) AS n FROM kinds WHERE kind = 'latin'
   SELECT lower(token) AS word, lead(lower(token)) OVER (PARTITION BY doc_id ORDER BY i) AS next
   FROM (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{_TOKEN}') AS l FROM cyrillic)) WHERE regexp_matches(token, '^\\p{{Cyrillic}}')
 ) SELECT word, next, count(*) AS n FROM seen GROUP BY ALL""",
+        "growing_dictionary": f"""WITH {_CYRILLIC}, met AS (
+  SELECT DISTINCT (coalesce(doc_id, 0) % 4)::INT AS batch, lower(token) AS word
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_TOKEN}')) AS token FROM cyrillic) WHERE regexp_matches(token, '^\\p{{Cyrillic}}')
+), first AS (SELECT batch, count(*) AS fresh FROM (SELECT word, min(batch) AS batch FROM met GROUP BY word) GROUP BY batch)
+SELECT batch, count(*) AS words, any_value(coalesce(fresh, 0)) AS fresh, count(*) AS held FROM met LEFT JOIN first USING (batch) GROUP BY batch""",
         "word_features": _features_sql(),
         "rule_firings": _rules_sql(),
         "word_shapes": f"WITH {_WORDS} SELECT length(regexp_replace(word, '[^{VOWELS}]', '', 'g'))::INT AS syllables, NOT regexp_matches(word, '[^{LETTERS}{LETTERS.upper()}{APOSTROPHES.replace(chr(39), chr(39) * 2)}-]') AS sound, count(*) AS words, sum(n)::BIGINT AS n FROM words GROUP BY ALL",

@@ -14,11 +14,12 @@ from wordloom.operators.alignment import with_differences
 from wordloom.operators.candidates import numbered, spread
 from wordloom.operators.convert import convert, converted_words, text_of, words_of
 from wordloom.operators.recall_curve import recall_curve
-from wordloom.operators.settled import settle
 from wordloom.operators.resolve import Options, resolve
 from wordloom.operators.sentence_pairs import align_sentences
+from wordloom.operators.settled import scratch, settle
 from wordloom.operators.stems import STEM
 from wordloom.operators.tokens import context_words, detokenize, explode_tokens, kind_of, tokenize, with_bridges
+from wordloom.operators.word_store import WordStore
 from wordloom.sources import reference_tables
 
 
@@ -187,6 +188,22 @@ def rule_firings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fired.groupBy("x.rule").agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.sum(digest).alias("digest"))
 
 
+def growing_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(batch, words, fresh, held): the documents in four batches, by id, through one store: words of the batch, those that it had to resolve, and entries that it got."""
+    texts = settle(cyrillic_documents(spark, sf_dir))
+    words = F.transform(F.filter(tokenize(F.col("text")), lambda t: kind_of(t) == "word"), F.lower)
+    met = settle(texts.select(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(4)).cast("int").alias("batch"), F.explode(words).alias("word")).distinct())
+    store = WordStore(spark, scratch(spark, "words"), Options())
+    out = []
+    for batch in range(4):
+        mine = met.filter(F.col("batch") == batch)
+        held = settle(store.entries(mine, batch))
+        figures = mine.agg(F.count("*").alias("words")), store.fresh(batch).agg(F.count("*").alias("fresh")), held.agg(F.count("*").alias("held"))
+        numbers = [f.first()[0] for f in figures]
+        out.append((batch, *numbers))
+    return spark.createDataFrame(out, "batch int, words long, fresh long, held long")
+
+
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = cyrillic_words(spark, sf_dir).select(F.col("cyrillic").alias("word"), "n")
     return ev.coverage(words, Options())
@@ -202,4 +219,4 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_words(tokens, "doc_id", 1).select(F.lower("token").alias("word"), F.lower(F.get("after", F.lit(0))).alias("next")).groupBy("word", "next").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (source_profile, token_kinds, word_frequencies, tokens_joined, word_cases, sanitized, scripts, quality_intervals, length_percentiles, cyrillic_words, cyrillic_documents, resolved_words, method_shares, converted_documents, coverage, round_trip, neighbours, spread_documents, word_features, model_documents, paired_sentences, edit_shapes, stem_curve, rule_outcomes, rule_firings)}
+QUERIES = {f.__name__: f for f in (source_profile, token_kinds, word_frequencies, tokens_joined, word_cases, sanitized, scripts, quality_intervals, length_percentiles, cyrillic_words, cyrillic_documents, resolved_words, method_shares, converted_documents, coverage, round_trip, neighbours, spread_documents, word_features, model_documents, paired_sentences, edit_shapes, stem_curve, rule_outcomes, rule_firings, growing_dictionary)}
