@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as tx
+from wordloom.functions.rules import FUNCTIONS, TO_N, TO_T, Function, compiled
+from wordloom.operators.stems import match_stems
 from wordloom.sources.reference_tables import ALTERNATIONS, APPLIED, CLASSES, DIRECTIONS, PROVENANCES, ROLES
+from wordloom.sources.rule_tables import RuleRow
 
 ERROR, WARNING = "error", "warning"
 
@@ -67,6 +70,21 @@ def known_problems(rows: DataFrame) -> DataFrame:
     return _problems(marked, "known", F.col("source"), [(~F.col("direction").isin(*DIRECTIONS), "unknown direction"), (F.col("source") == F.col("target"), "nothing changes"), (F.col("_k") > 1, "repeated word")])
 
 
+def failing_rule_tests(spark: SparkSession, rows: tuple[RuleRow, ...], functions: dict[str, Function] = FUNCTIONS) -> DataFrame:
+    """(rule, word, expected, made) of the rules' own tests that fail; each rule is tried by itself, once."""
+    rules, out = {r.id: r for r in compiled(rows, functions)}, None
+    for direction in (TO_T, TO_N):
+        cases = [(r.id, word, expected) for r in rows if r.direction == direction for word, expected in r.tests]
+        tests = spark.createDataFrame(cases, "rule string, word string, expected string")
+        found = tests.join(match_stems(tests.select("word").distinct(), direction), "word")
+        made = F.lit(None).cast("string")
+        for rule in {rule for rule, *_ in cases}:
+            made = F.when(F.col("rule") == rule, rules[rule].change(F.col("word"), F.col("stem"))).otherwise(made)
+        failed = found.select("rule", "word", "expected", made.alias("made")).filter("NOT made <=> expected")
+        out = failed if out is None else out.unionByName(failed)
+    return out
+
+
 CHECKS = {"lexicon": lexicon_problems, "stems": stem_problems, "function words": function_word_problems, "corpus": corpus_problems, "known": known_problems}
 
 

@@ -63,7 +63,7 @@ def derive_labels(rows: DataFrame, options: Options = Options(TO_T)) -> DataFram
     pairs = rows.select(low.alias("a"), F.lower("target").alias("b")).distinct()
     each = settle(pairs.select("a", "b", F.explode(tried).alias("t")).select("a", "b", "t.*").filter((F.col("edited") != F.col("a")) | (F.col("label") == "keep")))
     found = match_stems(each.select(F.col("edited").alias("word")).distinct(), options.direction, folder=options.folder)
-    finished = found.select(F.col("word").alias("edited"), apply_rules(F.col("word"), F.col("stem"), options.direction, options.aggressive)["word"].alias("done"))
+    finished = found.select(F.col("word").alias("edited"), apply_rules(F.col("word"), F.col("stem"), options.direction, options.aggressive, rules=options.rules)["word"].alias("done"))
     met = each.join(finished, "edited").filter((F.col("done") == F.col("b")) | ((F.col("label") == "particle") & (F.concat("done", F.lit("ь")) == F.col("b"))))
     first = met.groupBy("a", "b").agg(F.min_by("label", "rank").alias("label"))
     return rows.join(first, (low == F.col("a")) & (F.lower("target") == F.col("b"))).drop("a", "b")

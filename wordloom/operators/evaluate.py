@@ -105,7 +105,7 @@ def rule_scores(words: DataFrame, options: Options = Options()) -> DataFrame:
     wrong = counted.filter("source <> expected")
     pairs = match_stems(wrong.select(F.col("source").alias("word")).distinct(), options.direction, folder=options.folder)
     tried = wrong.join(pairs, F.col("source") == F.col("word"))
-    alone = F.array(*[F.when(r.change(F.col("source"), F.col("stem")) == F.col("expected"), F.lit(r.id)) for r in rules_for(options.direction, options.aggressive)])
+    alone = F.array(*[F.when(r.change(F.col("source"), F.col("stem")) == F.col("expected"), F.lit(r.id)) for r in rules_for(options.direction, options.aggressive, options.rules)])
     missing = F.array_except(F.filter(alone, lambda r: r.isNotNull()), "ids")
     missed = tried.select(F.explode(missing).alias("rule"), F.lit(0).cast("long").alias("fired"), F.lit(0).cast("long").alias("correct"), F.col("n").alias("missed"))
     sums = fired.unionByName(missed).groupBy("rule").agg(*[F.sum(c).alias(c) for c in ("fired", "correct", "missed")])
@@ -147,7 +147,7 @@ def coverage(forms: DataFrame, options: Options = Options()) -> DataFrame:
     """(bucket, forms, occurrences) of (word, n): what the converter knows best about each form."""
     lower = forms.select(F.lower("word").alias("word"), "n").groupBy("word").agg(F.count("*").alias("forms"), F.sum("n").alias("n"))
     found = match_stems(lower, options.direction, folder=options.folder)
-    found = found.withColumn("ruled", apply_rules(F.col("word"), F.col("stem"), options.direction, options.aggressive)["word"])
+    found = found.withColumn("ruled", apply_rules(F.col("word"), F.col("stem"), options.direction, options.aggressive, rules=options.rules)["word"])
     listed = F.broadcast(lexicon_of(forms.sparkSession, options).select("word", F.lit(True).alias("listed")))
     both = found.join(listed, "word", "left")
     bucket = F.when(F.col("stem.kind") == "loan", "stem_loan").when(F.col("stem.kind") == "native", "stem_native").when(F.col("listed"), "lexicon").when(F.col("ruled") != F.col("word"), "rule").otherwise("untouched")

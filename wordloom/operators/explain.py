@@ -19,13 +19,13 @@ def explain_words(words: DataFrame, options: Options = Options()) -> DataFrame:
     """
     low = words.select(F.lower("word").alias("word")).filter("word <> ''").distinct()
     found = match_stems(low, options.direction, folder=options.folder)
-    traced = found.select("word", F.col("stem.stem").alias("stem"), traces(F.col("word"), F.col("stem"), rules_for(options.direction, options.aggressive)).alias("steps"))
+    traced = found.select("word", F.col("stem.stem").alias("stem"), traces(F.col("word"), F.col("stem"), rules_for(options.direction, options.aggressive, options.rules)).alias("steps"))
     both = traced.join(F.broadcast(lexicon_of(words.sparkSession, options)), "word", "left")
     ruled = F.coalesce(F.try_element_at("steps", F.lit(-1))["after"], F.col("word"))
     listed = F.col("method").isNotNull()
     none = F.array().cast("array<struct<rule: string, before: string, after: string>>")
     steps = F.when(listed, none).otherwise(F.col("steps"))
-    return both.select("word", F.coalesce("target", ruled).alias("target"), F.coalesce("method", F.when(F.size("steps") > 0, "rule").otherwise("unknown")).alias("method"), "stem", steps.alias("steps"), citation(F.transform(steps, lambda s: s["rule"])).alias("citation"))
+    return both.select("word", F.coalesce("target", ruled).alias("target"), F.coalesce("method", F.when(F.size("steps") > 0, "rule").otherwise("unknown")).alias("method"), "stem", steps.alias("steps"), citation(F.transform(steps, lambda s: s["rule"]), options.rules).alias("citation"))
 
 
 def replay(cases: DataFrame, actual: Column | str = "actual") -> DataFrame:

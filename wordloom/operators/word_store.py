@@ -26,7 +26,7 @@ ENTRIES = "word string, target string, method string, rule string, stressed bool
 
 def digest_of(options: Options) -> str:
     """What the words' entries depend on: direction, variant, and the rows of all tables, in any order."""
-    fixed = (options.code, options.aggressive, lexicon_rows(options.code, options.folder), reference_tables.stems(options.folder), reference_tables.function_words(options.folder))
+    fixed = (options.code, options.aggressive, lexicon_rows(options.code, options.folder), reference_tables.stems(options.folder), reference_tables.function_words(options.folder), options.rules)
     sums = []
     for table, column in ((options.stress, "form"), (options.ment, "suffix")):
         row = None if table is None else table.select(column).distinct().agg(F.count("*"), F.sum(F.xxhash64(column).cast("decimal(38, 0)"))).first()
