@@ -1,0 +1,52 @@
+"""A sorted table of words: searches, and what their scans leave out; splits in folders of their own."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from wordloom.operators import candidates as cd
+from wordloom.operators.word_index import completions, contained, open_index, search, write_index
+
+
+def test_index(spark, tmp_path):
+    r = random.Random(4)
+    words = sorted({"".join(r.choices("абвгў’", k=r.randint(1, 7))) for _ in range(3000)})
+    rows = [(w, r.randint(1, 9)) for w in words]
+    path = str(tmp_path / "index")
+    shuffled = r.sample(rows, len(rows))
+    write_index(spark.createDataFrame([*shuffled, (None, 3)], "word string, n long").repartition(3), path, row_group=4096)
+    index = open_index(spark, path)
+    assert index.count() == len(words)
+    # Every file holds a range of its own.
+    ends = index.groupBy(F.input_file_name().alias("f")).agg(F.min("word").alias("a"), F.max("word").alias("b")).orderBy("a").collect()
+    assert all(x.b < y.a for x, y in zip(ends, ends[1:]))
+    for prefix in ("", "а", "аб", "ў’", "вгў", "zz"):
+        mine = [x for x in rows if x[0].startswith(prefix)]
+        assert [tuple(x) for x in search(index, prefix, 7).collect()] == sorted(mine)[:7]
+        assert [tuple(x) for x in search(index, prefix, 7, F.desc("n")).collect()] == sorted(mine, key=lambda x: (-x[1], x[0]))[:7]
+    plan = search(index, "аб", 7)._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(word,аб)" in plan
+    asked = spark.createDataFrame([("а",), ("а",), ("ўб",), ("",), ("zz",), (None,)], "prefix string")
+    got = [(x.prefix, x.rank, x.word, x.n) for x in completions(index, asked, 4, F.desc("n")).collect()]
+    want = [(p, k, *x) for p in ("", "а", "ўб") for k, x in enumerate(sorted([x for x in rows if x[0].startswith(p)], key=lambda x: (-x[1], x[0]))[:4], 1)]
+    assert sorted(got) == sorted(want)
+    assert completions(index, asked.limit(0), 4).collect() == []
+    with pytest.raises(ValueError):
+        completions(index, spark.createDataFrame([("а" * 33,)], "prefix string"), 4)
+    some = spark.createDataFrame([(words[5],), ("zz",), (None,), (words[5],)], "word string")
+    assert [x.word for x in contained(some, index).collect()] == [words[5]] * 2
+
+
+def test_splits_in_folders(spark, tmp_path):
+    titles = [f"Артыкул {k}" for k in range(200)] + ["", None]
+    rows = spark.createDataFrame([(t, k, "clash") for k, t in enumerate(titles)], "title string, k long, split string")
+    path = str(tmp_path / "splits")
+    cd.write_splits(rows, F.col("title"), path)
+    split = {x.k: x.s for x in rows.select("k", cd.split_of(F.coalesce("title", F.lit(""))).alias("s")).collect()}
+    for name, _ in cd.SPLITS:
+        part = cd.read_split(spark, path, name)
+        assert part.columns == ["title", "k", "split"] and {(x.k, x.split) for x in part.collect()} == {(k, name) for k, s in split.items() if s == name}
+        assert "PartitionFilters: [isnotnull(split" in part._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        cd.read_split(spark, path, "rest")

@@ -180,6 +180,8 @@ FROM (SELECT lower(token) AS word, count(*) AS n FROM kinds WHERE kind = 'latin'
   FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_TOKEN}')) AS token FROM cyrillic) WHERE regexp_matches(token, '^\\p{{Cyrillic}}')
 ), first AS (SELECT batch, count(*) AS fresh FROM (SELECT word, min(batch) AS batch FROM met GROUP BY word) GROUP BY batch)
 SELECT batch, count(*) AS words, any_value(coalesce(fresh, 0)) AS fresh, count(*) AS held FROM met LEFT JOIN first USING (batch) GROUP BY batch""",
+        "completions": f"""WITH {_WORDS}, began AS (SELECT left(word, k) AS prefix, word, n FROM words, range(1, 4) t(k) WHERE length(word) >= k)
+SELECT prefix, rank, word, n FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY n DESC, word)::INT AS rank FROM began) WHERE rank <= 5""",
         "word_features": _features_sql(),
         "rule_firings": _rules_sql(),
         "word_shapes": f"WITH {_WORDS} SELECT length(regexp_replace(word, '[^{VOWELS}]', '', 'g'))::INT AS syllables, NOT regexp_matches(word, '[^{LETTERS}{LETTERS.upper()}{APOSTROPHES.replace(chr(39), chr(39) * 2)}-]') AS sound, count(*) AS words, sum(n)::BIGINT AS n FROM words GROUP BY ALL",

@@ -10,6 +10,7 @@ from wordloom.functions.rules import RULES, TO_N, TO_T, e_to_eh
 from wordloom.functions.translit import detect_script, transliterate_word, transliterated
 from wordloom.operators import classifier
 from wordloom.operators import evaluate as ev
+from wordloom.operators import word_index
 from wordloom.operators.alignment import with_differences
 from wordloom.operators.candidates import numbered, spread
 from wordloom.operators.convert import convert, converted_words, text_of, words_of
@@ -204,6 +205,16 @@ def growing_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "batch int, words long, fresh long, held long")
 
 
+def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(prefix, rank, word, n): the five most frequent words of the documents, read as Lacinka, for each beginning of one to three letters that a word has; from a sorted index."""
+    words = cyrillic_words(spark, sf_dir).groupBy(F.col("cyrillic").alias("word")).agg(F.sum("n").alias("n"))
+    path = scratch(spark, "index")
+    word_index.write_index(words, path)
+    index = word_index.open_index(spark, path)
+    beginnings = F.transform(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(3))), lambda k: F.substring(F.col("word"), F.lit(1), k))
+    return word_index.completions(index, index.filter("word <> ''").select(F.explode(beginnings).alias("prefix")), 5, F.desc("n"))
+
+
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = cyrillic_words(spark, sf_dir).select(F.col("cyrillic").alias("word"), "n")
     return ev.coverage(words, Options())
@@ -219,4 +230,4 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_words(tokens, "doc_id", 1).select(F.lower("token").alias("word"), F.lower(F.get("after", F.lit(0))).alias("next")).groupBy("word", "next").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (source_profile, token_kinds, word_frequencies, tokens_joined, word_cases, sanitized, scripts, quality_intervals, length_percentiles, cyrillic_words, cyrillic_documents, resolved_words, method_shares, converted_documents, coverage, round_trip, neighbours, spread_documents, word_features, model_documents, paired_sentences, edit_shapes, stem_curve, rule_outcomes, rule_firings, growing_dictionary)}
+QUERIES = {f.__name__: f for f in (source_profile, token_kinds, word_frequencies, tokens_joined, word_cases, sanitized, scripts, quality_intervals, length_percentiles, cyrillic_words, cyrillic_documents, resolved_words, method_shares, converted_documents, coverage, round_trip, neighbours, spread_documents, word_features, model_documents, paired_sentences, edit_shapes, stem_curve, rule_outcomes, rule_firings, growing_dictionary, completions)}
