@@ -1,0 +1,56 @@
+"""Versions of tables: the same contents are the same version; changed and incomplete ones are refused."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from wordloom.plans.queries import cyrillic_words
+from wordloom.sources.versions import VersionError, load, publish, table_digest
+
+
+def test_versions(spark, tmp_path):
+    root = str(tmp_path / "tables")
+    with pytest.raises(VersionError):
+        load(spark, root)
+    words = cyrillic_words(spark, "/root/testdata/sf0.001")
+    marks = spark.createDataFrame([("ы", {"a": 1, "b": 2}, None), ("і", {}, [1.5])], "mark string, uses map<string, int>, weights array<double>")
+    first = publish({"words": words, "marks": marks}, root)
+    got = load(spark, root)
+    assert sorted(map(tuple, got["words"].collect())) == sorted(map(tuple, words.collect()))
+    # Neither order nor files count, repeated rows and columns do.
+    assert publish({"marks": marks.orderBy("mark"), "words": words.repartition(5).select("n", "word", "cyrillic")}, root) == first
+    assert sorted(p.name for p in (tmp_path / "tables").iterdir() if not p.name.startswith(".")) == sorted(["current", first])
+    second = publish({"words": words.union(words.orderBy("word").limit(1)), "marks": marks}, root)
+    assert second != first and load(spark, root)["words"].count() == words.count() + 1
+    assert load(spark, root, first)["words"].count() == words.count()
+    assert table_digest(words)["digest"] != table_digest(words.withColumnRenamed("n", "k"))["digest"] != table_digest(words.withColumn("k", F.col("n").cast("int")).drop("n"))["digest"]
+    assert table_digest(words.limit(0))["rows"] == 0
+
+    # A changed table, one without its manifest, and a manifest that was changed.
+    words.limit(3).write.mode("append").parquet(f"{root}/{second}/words")
+    with pytest.raises(VersionError, match="words was changed"):
+        load(spark, root)
+    assert load(spark, root, verify=False)["marks"].count() == 2
+    (tmp_path / "tables" / "f00d" / "words").mkdir(parents=True)
+    with pytest.raises(VersionError, match="no complete version"):
+        load(spark, root, "f00d")
+    manifest = tmp_path / "tables" / first / "manifest.json"
+    held = json.loads(manifest.read_text())
+    held["words"]["rows"] += 1
+    manifest.write_text(json.dumps(held, sort_keys=True))
+    (tmp_path / "tables" / first / ".manifest.json.crc").unlink(missing_ok=True)
+    with pytest.raises(VersionError, match="manifest was changed"):
+        load(spark, root, first)
+    with pytest.raises(VersionError):
+        publish({"not a name": marks}, root)
+
+
+def test_a_broken_publication_leaves_the_current_version(spark, tmp_path):
+    root = str(tmp_path / "tables")
+    good = spark.createDataFrame([("а",)], "word string")
+    first = publish({"words": good}, root)
+    with pytest.raises(Exception, match="lost"):
+        publish({"words": good, "zeal": good.select(F.raise_error(F.lit("lost")).cast("string").alias("word"))}, root)
+    assert [tuple(r) for r in load(spark, root)["words"].collect()] == [("а",)]
+    assert publish({"words": good}, root) == first
