@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from wordloom import catalog
 from wordloom.functions import text as tx
 from wordloom.functions.sql_functions import register
-from wordloom.functions.translit import detect_script, transliterated
+from wordloom.functions.translit import ODD, detect_script, transliterate_word, transliterated
 from wordloom.operators import evaluate as ev
 from wordloom.operators.tokens import kind_of, tokenize
+from wordloom.sources.reference_tables import scheme
 
 TEXTS = ["Сьнег ідзе, 12,5 %", "cнег и Ўільям’ў", "Łacinka ćicha, LACH i šlach", "aб'ект й ё", "", None, "a​b\n\tc", "ŁAŁA-lala Ĺ", "плян-пляцоўка", "É1̀ \U0001f389 o", "McDonald ПАП Пап пАп", "ляля люлю эх ґонта"]
 PAIRS = [("план", "плян"), ("яго", "ягоны"), ("хата", "хату"), ("снег", "сьнег"), ("", "а"), (None, "а"), ("абвг", "абвгаў"), ("ейскі", "эйскі"), ("адзін", "зусім")]
@@ -58,3 +59,20 @@ def test_names_are_registered_once():
     with pytest.raises(ValueError, match="registered twice: a"):
         catalog.merged({"a": 1}, {"a": 2})
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+SEAMED = ["ŁAŁA lalaŁala la", "«Łacinka» d’Ivoire, (Ćicha)", "Ch CH cH dŹ Ź", "ab Lja Dzie", "İstanbul ΑΣ.Β ljuba", "жla Жla aЖla ѣLa 1Łuk", "Л-La l-L ’La"]
+
+
+def test_whole_texts_are_read_as_their_tokens(spark):
+    register(spark)
+    low = lambda x: transliterate_word(F.lower(x), scheme("lacinka_reverse"))["out"]
+    by_token = F.array_join(F.transform(tokenize(F.col("t")), lambda x: F.when(x.rlike("^[\\p{L}\\p{IsCyrillic}]"), tx.recase(x, low(x))).otherwise(x)), "")
+    df = spark.createDataFrame([(t,) for t in TEXTS + SEAMED], "t string").select("t", by_token.alias("wanted"), transliterated(F.col("t"), "lacinka_reverse").alias("a"), F.expr("read_lacinka(t)").alias("b"))
+    for row in df.collect():
+        assert row["a"] == row["b"] == row["wanted"], row["t"]
+
+
+def test_only_odd_stretches_go_token_by_token(spark):
+    df = spark.createDataFrame([("Łacinka i «šlach» (Minsk), McDonald d'Ivoire.",)], "t string")
+    assert df.select(F.regexp_extract_all("t", F.lit(ODD), F.lit(0))).first()[0] == ["McDonald", "d'Ivoire."]

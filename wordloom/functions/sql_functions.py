@@ -17,7 +17,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from wordloom.functions import text as tx
-from wordloom.functions.translit import ONLY, replacement_order
+from wordloom.functions.translit import LETTERED, ODD, ONLY, SEAM, replacement_steps, text_order
 from wordloom.operators import evaluate as ev
 from wordloom.operators.tokens import TOKEN
 from wordloom.sources.reference_tables import FOLDER, scheme
@@ -80,18 +80,23 @@ def _hygiene() -> list[Function]:
 
 
 def _spelling(folder: Path) -> list[Function]:
-    order = replacement_order(scheme("lacinka_reverse", folder))
+    order = text_order(scheme("lacinka_reverse", folder))
     if order is None:
         raise ValueError("the reverse scheme is no chain of replacements")
-    word = quoted("^[\\p{L}\\p{IsCyrillic}]")
+    word = quoted(LETTERED)
     kinds = f"CASE WHEN t RLIKE '^[ \\n]' THEN 'space' WHEN t RLIKE {quoted('^' + chr(92) + 'p{IsCyrillic}')} THEN 'word' WHEN t RLIKE {quoted('^' + chr(92) + 'p{L}')} THEN 'latin' WHEN t RLIKE {quoted('(?U)^' + chr(92) + 'd')} THEN 'number' WHEN t RLIKE {quoted('(?U)^' + chr(92) + 's')} THEN 'space' ELSE 'punct' END"
     chain = [(m.source, m.target) for m in order]
     tokens = f"regexp_extract_all(t, {quoted(TOKEN)}, 0)"
+    replacements, letters, targets = replacement_steps(order)
+    seam = quoted(SEAM)
+    plain = f"translate({_chain(f'array_join(split(t, {quoted(ODD)}), {seam})', replacements)}, {quoted(letters)}, {quoted(targets)})"
     outside = quoted("[^\\p{L}]")
     counts = f"named_struct('letters', length(regexp_replace(t, {outside}, '')), 'cyrillic', length(regexp_replace(regexp_replace(t, {outside}, ''), {quoted('[^' + chr(92) + 'u0400-' + chr(92) + 'u04FF]')}, '')), 'l', t RLIKE '[{ONLY['lacinka']}]', 'o', t RLIKE '[{ONLY['official']}]')"
     return [
         Function("read_lacinka_word", "w STRING", "STRING", _chain("w", chain)),
-        Function("read_lacinka", "t STRING", "STRING", f"array_join(transform({tokens}, w -> CASE WHEN NOT w RLIKE {word} THEN w WHEN w = lower(w) THEN {_chain('w', chain)} ELSE {_apply_case(_chain('lower(w)', chain), '(' + _case_of('w') + ')')} END), '')"),
+        Function("read_lacinka_tokens", "t STRING", "STRING", f"array_join(transform({tokens}, w -> CASE WHEN NOT w RLIKE {word} THEN w WHEN w = lower(w) THEN {_chain('w', chain)} ELSE {_apply_case(_chain('lower(w)', chain), '(' + _case_of('w') + ')')} END), '')"),
+        # Most of the text at once, the rest token by token: see translit.transliterated.
+        Function("read_lacinka", "t STRING", "STRING", f"CASE WHEN contains(t, {seam}) THEN read_lacinka_tokens(t) ELSE array_join(zip_with(split({plain}, {seam}), split(read_lacinka_tokens(array_join(regexp_extract_all(t, {quoted(ODD)}, 0), {seam})), {seam}), (a, b) -> concat(a, coalesce(b, ''))), '') END"),
         Function("script_counts", "t STRING", "STRUCT<letters INT, cyrillic INT, l BOOLEAN, o BOOLEAN>", counts),
         Function("script_by", "c STRUCT<letters INT, cyrillic INT, l BOOLEAN, o BOOLEAN>", "STRUCT<script STRING, certain BOOLEAN>", "CASE WHEN coalesce(c.letters, 0) = 0 THEN named_struct('script', CAST(NULL AS STRING), 'certain', false) WHEN 2 * c.cyrillic > c.letters THEN named_struct('script', 'cyrillic', 'certain', true) WHEN c.l AND c.o THEN named_struct('script', CAST(NULL AS STRING), 'certain', false) ELSE named_struct('script', CASE WHEN c.o THEN 'official' ELSE 'lacinka' END, 'certain', c.l OR c.o) END"),
         Function("script_of", "t STRING", "STRUCT<script STRING, certain BOOLEAN>", "script_by(script_counts(t))"),
