@@ -16,10 +16,13 @@ def _query(name: str, about: str, text: str):
     return run
 
 
-#: Distinct words of the texts read as Cyrillic, with their numbers.
+#: Distinct words of the texts read as Cyrillic, with their numbers. Asking for n keeps the filter behind the count of tokens.
 _WORDS = """words AS (
   SELECT read_lacinka_word(low) AS word, sum(n) AS n
-  FROM (SELECT lower(token) AS low, count(*) AS n FROM {documents} AS d, LATERAL tokens(d.text) WHERE kind = 'latin' GROUP BY lower(token))
+  FROM (
+    SELECT lower(token) AS low, sum(n) AS n FROM (SELECT token, count(*) AS n FROM {documents} AS d, LATERAL tokens(d.text) GROUP BY token)
+    WHERE CASE WHEN n > 0 THEN kind_of(token) END = 'latin' GROUP BY lower(token)
+  )
   GROUP BY read_lacinka_word(low)
 )"""
 
