@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordloom.functions.translit import transliterated
+from wordloom.operators import classifier
 from wordloom.operators.tokens import kind_of, tokenize
 from wordloom.plans import queries, sql_queries
 
@@ -38,3 +39,14 @@ def test_dictionary_meets_the_words_of_whole_texts(spark, tables):
     read = F.transform(F.filter(tokenize(transliterated(F.col("text"), "lacinka_reverse")), lambda t: kind_of(t) == "word"), F.lower)
     wanted = docs.select(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(4)).cast("int").alias("batch"), F.explode(read).alias("word")).distinct()
     assert sorted(map(tuple, queries.met_words(docs).collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_features_are_counted_by_single_words(spark, monkeypatch):
+    rows = [("сонца", None, "й"), ("сонца", "э-э", None), ("й", "сонца", "ён"), ("й", "сонца", "ён"), ("ёсць", None, None), (None, "й", "й")]
+    places = spark.createDataFrame(rows, "source string, before string, after string")
+    wanted = classifier.featurize(places).select(F.explode("named").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"))
+    sizes, settle = [], classifier.settle
+    monkeypatch.setattr(classifier, "settle", lambda df: (out := settle(df), sizes.append(out.count()))[0])
+    assert sorted(map(tuple, classifier.feature_counts(places).collect())) == sorted(map(tuple, wanted.collect()))
+    # Three words and a null as sources and before, two and a null after.
+    assert sizes == [11]

@@ -33,8 +33,8 @@ def with_neighbours(rows: DataFrame) -> DataFrame:
     return found.withColumn("before", beside(-1)).withColumn("after", beside(1)).drop("_words", "_at")
 
 
-def named_features(word: Column, before: Column, after: Column, clitics: list[str]) -> Column:
-    """array<string>: a feature as often as it counts: n-grams, beginnings, ends, letters and neighbours."""
+def word_features(word: Column) -> Column:
+    """array<string>: a feature as often as it counts, of the word alone: n-grams, beginnings, ends and letters."""
     low = F.lower(word)
     # A lambda with a second parameter would be given the place there.
     named = lambda grams, name: F.transform(grams, lambda g: F.concat(F.lit(name), g))
@@ -42,8 +42,33 @@ def named_features(word: Column, before: Column, after: Column, clitics: list[st
     ends = F.array(*[F.when(F.length(low) >= k, F.concat(F.lit(f"suf{k}="), F.right(low, F.lit(k)))) for k in (1, 2, 3, 4)])
     begins = F.array(*[F.when(F.length(low) >= k, F.concat(F.lit(f"pre{k}="), F.left(low, F.lit(k)))) for k in (1, 2, 3)])
     letters = F.array(*[F.when(low.contains(c), F.lit(name)) for c, name in ((tx.APOSTROPHE, "has_apos"), ("-", "has_hyphen"), ("э", "has_e"), ("ё", "has_yo"))])
-    beside = F.array(F.concat(F.lit("prev="), before), F.concat(F.lit("next="), after), F.concat(F.lit("next_pre2="), F.left(after, F.lit(2))), F.when(after.isNull(), "no_next"), F.when(tx.first_syllable_stressed(after, clitics), "next_stress_first"))
-    return F.filter(F.concat(*grams, ends, begins, letters, beside), lambda f: f.isNotNull())
+    return F.filter(F.concat(*grams, ends, begins, letters), lambda f: f.isNotNull())
+
+
+def before_features(before: Column) -> Column:
+    return F.filter(F.array(F.concat(F.lit("prev="), before)), lambda f: f.isNotNull())
+
+
+def after_features(after: Column, clitics: list[str]) -> Column:
+    beside = F.array(F.concat(F.lit("next="), after), F.concat(F.lit("next_pre2="), F.left(after, F.lit(2))), F.when(after.isNull(), "no_next"), F.when(tx.first_syllable_stressed(after, clitics), "next_stress_first"))
+    return F.filter(beside, lambda f: f.isNotNull())
+
+
+def named_features(word: Column, before: Column, after: Column, clitics: list[str]) -> Column:
+    """array<string>: a feature as often as it counts: those of the word, then those of its neighbours."""
+    return F.concat(word_features(word), before_features(before), after_features(after, clitics))
+
+
+def feature_counts(places: DataFrame, options: Options = Options(TO_T)) -> DataFrame:
+    """(feature, n): how often named_features() has each over rows (source, before, after).
+
+    No feature reads two of the three words, so each column is counted by its
+    distinct words before they are taken apart; all three in one pass.
+    """
+    columns = F.array(*[F.struct(F.lit(k).alias("of"), F.col(c).alias("word")) for k, c in enumerate(("source", "before", "after"))])
+    counted = settle(places.select(F.explode(columns).alias("x")).groupBy("x.of", "x.word").agg(F.count("*").alias("k")))
+    each = F.when(F.col("of") == 0, word_features(F.col("word"))).when(F.col("of") == 1, before_features(F.col("word"))).otherwise(after_features(F.col("word"), options.forms("clitic")))
+    return counted.select("k", F.explode(each).alias("feature")).groupBy("feature").agg(F.sum("k").alias("n"))
 
 
 def featurize(rows: DataFrame, options: Options = Options(TO_T)) -> DataFrame:
