@@ -7,11 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as tx
+from wordloom.functions.rules import RULES
 from wordloom.functions.translit import detect_script, from_script, to_script
 from wordloom.operators import evaluate as ev
 from wordloom.operators import word_store
 from wordloom.operators.convert import convert
 from wordloom.operators.resolve import Options
+from wordloom.operators.stems import STEM
 from wordloom.operators.tokens import kind_of, tokenize
 from wordloom.operators.word_store import WordStore
 from wordloom.streaming.convert_stream import convert_stream
@@ -135,3 +137,10 @@ def test_a_long_store_is_merged(spark, tmp_path, monkeypatch):
     assert sorted(p.name for p in (tmp_path / "words").glob("merged=*")) == ["merged=2", "merged=4"]
     assert [store.fresh(k).count() for k in range(5)] == [2, 1, 1, 1, 1]
     assert store.known(5).count() == 6
+
+
+def test_softness_chains_as_far_as_the_reference_takes_it(spark):
+    rule = next(r for r in RULES if r.id == "palat.geminate")
+    made = lambda w: spark.range(1).select(rule.change(F.lit(w), F.lit(None).cast(STEM)).alias("x")).first()["x"]
+    assert made("энссссссе") == "энсьсьсьсьсьсе" and made("энссссе") == "энсьсьсьсе"
+    assert [r["x"] for r in spark.createDataFrame([("а\n",), ("",), ("Ўё’-",), ("щ",), ("и",)], "w string").select(tx.is_word(F.col("w")).alias("x")).collect()] == [False, True, True, False, False]
