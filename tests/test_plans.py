@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordloom.functions.translit import transliterated
-from wordloom.operators import classifier
+from wordloom.operators import classifier, convert
+from wordloom.operators.resolve import Options
 from wordloom.operators.tokens import kind_of, tokenize
 from wordloom.plans import queries, sql_queries
 
@@ -50,3 +51,13 @@ def test_features_are_counted_by_single_words(spark, monkeypatch):
     assert sorted(map(tuple, classifier.feature_counts(places).collect())) == sorted(map(tuple, wanted.collect()))
     # Three words and a null as sources and before, two and a null after.
     assert sizes == [11]
+
+
+def test_words_that_stay_are_not_joined(spark, monkeypatch):
+    monkeypatch.setattr(convert, "BROADCAST_WORDS", 1)
+    docs = spark.createDataFrame([(1, "снег ляжаў тут доўга, а мы там былі")], "k long, text string")
+    rows = convert.with_words(docs, "k", F.col("text"), Options())
+    # One word has a rule; the texts are dealt by key, as their tokens need not move.
+    assert "REPARTITION_BY_COL" in rows._jdf.queryExecution().executedPlan().toString()
+    words = {w["token"]: (w["low"], w["target"], w["method"], w["stressed"], w["names"]) for w in rows.first()["words"]}
+    assert words["снег"][:3] == ("снег", "сьнег", "rule") and words["тут"] == ("тут", "тут", "unknown", False, [])
