@@ -41,3 +41,15 @@ def test_nothing_to_do(spark, pairs):
     none = spark.createDataFrame([], "rank int, stem string, codes array<string>, target string")
     assert [r["stems"] for r in recall_curve(pairs, none).collect()] == [0]
     assert [tuple(r)[:5] for r in recall_curve(pairs.limit(0), none).collect()] == [(0, 0, 0, 0, 0.0)]
+
+
+def test_more_pairs_than_an_integer_holds_the_square_of(spark):
+    """4 * 23,171 * 23,171 is beyond 32 bits."""
+    n = 23_171
+    pairs = spark.range(n).select(F.lit("марке").alias("source"), F.lit("марка").alias("expected")).unionByName(spark.range(n).select(F.lit("карпасінтез").alias("source"), F.lit("карпасынтэз").alias("expected")))
+    candidates = spark.createDataFrame([(1, "карпасінтез", [], "карпасынтэз")], "rank int, stem string, codes array<string>, target string")
+    curve = recall_curve(pairs, candidates)
+    first, last = curve.orderBy("stems").collect()
+    assert (first["hits"], last["hits"], last["in_scope"], last["wrong"], last["recall"], last["precision"]) == (0, n, n, 0, 1.0, 1.0)
+    assert last["recall_low"] == last["precision_low"] == pytest.approx(1 - 1.96**2 / (n + 1.96**2), abs=1e-12) and last["recall_high"] == 1.0
+    assert dict(curve.dtypes)["in_scope"] == "bigint"

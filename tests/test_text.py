@@ -70,6 +70,15 @@ def test_wilson(spark):
         assert abs(r.w.low - max(0, centre - margin)) < 1e-12 and abs(r.w.high - min(1, centre + margin)) < 1e-12
 
 
+@pytest.mark.parametrize(("kind", "hits", "n"), [("int", 20_000, 23_171), ("int", 2_000_000_000, 2_100_000_000), ("long", 3_000_000_000, 4_000_000_000)])
+def test_wilson_of_counts_whose_squares_are_no_integers(spark, kind, hits, n):
+    """As of numbers that don't end; a count of either width may be up to its type's end."""
+    low, high = spark.createDataFrame([(hits, n)], f"s {kind}, n {kind}").select(ev.wilson(F.col("s"), F.col("n")).alias("w")).first().w
+    p, z = hits / n, 1.96
+    centre, margin = p + z * z / (2 * n), z * math.sqrt(p * (1 - p) / n + z * z / (4 * n**2))
+    assert (low, high) == pytest.approx(((centre - margin) / (1 + z * z / n), (centre + margin) / (1 + z * z / n)), abs=1e-12)
+
+
 def test_evaluation(spark):
     pairs = spark.createDataFrame([(1, "Снег і план", "Сьнег і плян"), (2, "адно слова", "тры словы тут"), (3, "лес", "лес")], "id long, n string, t string")
     words = ev.aligned(pairs, "id", "n", "t").cache()

@@ -74,7 +74,7 @@ def recall_curve(pairs: DataFrame, candidates: DataFrame, options: Options = Opt
     points = given.select("rank").distinct().unionByName(pairs.sparkSession.range(1).select(F.col("id").alias("rank"))).join(gains, "rank", "left").select("rank", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("wrong", F.lit(0)).alias("wrong"))
     summed = _running(settle(points))
     total = counted.agg(F.coalesce(F.sum(F.when(F.col("in_scope"), F.col("n"))), F.lit(0)).alias("n")).first()["n"]
-    made_changes, scope = F.col("hits") + F.col("wrong"), F.lit(total)
+    made_changes, scope = F.col("hits") + F.col("wrong"), F.lit(total).cast("long")
     r, p = wilson(F.col("hits"), scope), wilson(F.col("hits"), made_changes)
     return summed.select(F.col("rank").alias("stems"), "hits", scope.alias("in_scope"), "wrong", ratio(F.col("hits"), scope).alias("recall"), r["low"].alias("recall_low"), r["high"].alias("recall_high"), ratio(F.col("hits"), made_changes).alias("precision"), p["low"].alias("precision_low"), p["high"].alias("precision_high"))
 
