@@ -153,3 +153,10 @@ def test_softness_chains_as_far_as_the_reference_takes_it(spark):
     made = lambda w: spark.range(1).select(rule.change(F.lit(w), F.lit(None).cast(STEM)).alias("x")).first()["x"]
     assert made("энссссссе") == "энсьсьсьсьсьсе" and made("энссссе") == "энсьсьсьсе"
     assert [r["x"] for r in spark.createDataFrame([("а\n",), ("",), ("Ўё’-",), ("щ",), ("и",)], "w string").select(tx.is_word(F.col("w")).alias("x")).collect()] == [False, True, True, False, False]
+
+
+def test_look_alikes_are_folded_in_mixed_runs_only(spark):
+    # A sign of the script that is no letter stands beside its run, not in it.
+    given = ["мaма cat", "a҃ б", "x1ж", "жxж’a-бc", "cat", "бaб́a oo", ""]
+    rows = spark.createDataFrame(list(enumerate(given)), "k int, t string").orderBy("k")
+    assert [r[0] for r in rows.select(tx.fold_homoglyphs(F.col("t"))).collect()] == ["мама cat", "a҃ б", "x1ж", "жхж’a-бс", "cat", "баб́a oo", ""]
